@@ -1 +1,444 @@
-ORACLE_SQL = {}
+"""Equivalent SQL for every catalog query, written for DuckDB over the raw
+driver views (region nation customer supplier part orders lineitem).
+
+Written independently of the DataFrame code: the fixture is re-derived with
+CTEs, the first month comes from a self-join instead of ``min_by``, ranks
+from plain SQL window functions, observable sellers from a non-equi count.
+Every output column is cast to the type the Spark side produces.
+"""
+
+from __future__ import annotations
+
+_DIV = "CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0)"
+
+
+def _div(a: str, b: str) -> str:
+    return _DIV.format(a=a, b=b)
+
+
+def _key(x: str) -> str:
+    """City key: lower, drop qualifiers, fold accents, collapse, trim."""
+    return ("NULLIF(trim(regexp_replace(translate(regexp_replace(lower(" + x + "), '[/,(].*$', ''), "
+            "'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g')), '')")
+
+
+def _dirty(name: str, region: str, key: str) -> str:
+    return (f"CASE {key} % 4 WHEN 0 THEN upper({name}) WHEN 1 THEN '  ' || lower({name}) || ' ' "
+            f"WHEN 2 THEN replace({name}, '_', '-') ELSE {name} || ' / ' || {region} END")
+
+
+def _month(m: str) -> str:
+    return f"printf('%04d-%02d', CAST({m} // 12 AS INTEGER), CAST({m} % 12 + 1 AS INTEGER))"
+
+
+BASE = [
+    ("fx", """
+  SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_extendedprice, l.l_linestatus,
+         o.o_custkey, o.o_orderstatus, o.o_orderdate, o.o_orderpriority,
+         l.l_suppkey * 10 + l.l_partkey % 10 AS seller_id
+  FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey"""),
+    ("fx2", """
+  SELECT *, (seller_id * 37) % 53 AS k0,
+         CASE WHEN seller_id % 11 = 0 THEN 1 + (seller_id * 13) % 11
+              ELSE 1 + (seller_id * 13) % 31 END AS klen,
+         year(o_orderdate) * 12 + month(o_orderdate) - (1995 * 12 + 1) AS fx_month,
+         (l_orderkey * 7 + l_partkey * 13 + l_suppkey * 31 + l_linenumber * 29) % 97 AS h,
+         (l_orderkey * 11 + l_linenumber * 5) % 23 AS h2
+  FROM fx"""),
+    ("fx3", """
+  SELECT f.*,
+         greatest(0, 1 + f.h % 12 + p.p_size // 8 - f.klen // 10
+                     + CASE WHEN f.seller_id % 11 IN (0, 3) THEN 6 ELSE 0 END) AS ship_d,
+         9 + CAST(substr(f.o_orderpriority, 1, 1) AS INTEGER) AS limit_d,
+         2 + abs(s.s_nationkey - c.c_nationkey) % 6 + f.h2 % 9 AS transit_d
+  FROM fx2 f
+  JOIN part p ON p.p_partkey = f.l_partkey
+  JOIN supplier s ON s.s_suppkey = f.l_suppkey
+  JOIN customer c ON c.c_custkey = f.o_custkey
+  WHERE f.fx_month BETWEEN f.k0 AND f.k0 + f.klen - 1"""),
+    ("fulfilment_lines", """
+  SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id, seller_id,
+         o_custkey AS customer_id, o_orderdate AS ordered_at,
+         o_orderdate + to_days(CAST(limit_d AS INTEGER)) AS ship_limit_at,
+         o_orderdate + to_days(CAST(ship_d AS INTEGER)) AS shipped_at,
+         CASE WHEN o_orderstatus = 'P' AND l_linestatus = 'O' AND h % 5 = 0 THEN NULL
+              ELSE o_orderdate + to_days(CAST(ship_d + transit_d AS INTEGER)) END AS delivered_at,
+         o_orderdate + to_days(CAST(limit_d + 9 AS INTEGER)) AS estimated_at,
+         CAST(l_extendedprice AS DECIMAL(12, 2)) AS price
+  FROM fx3"""),
+    ("el", """
+  SELECT *,
+         CAST(date_diff('day', ship_limit_at, shipped_at) AS INTEGER) AS dispatch_delay,
+         CAST(date_diff('day', estimated_at, delivered_at) AS INTEGER) AS delivery_delay,
+         CAST(date_diff('day', ordered_at, shipped_at) AS INTEGER) AS ship_days,
+         CAST(year(ordered_at) * 12 + month(ordered_at) - 1 AS INTEGER) AS m_idx
+  FROM fulfilment_lines"""),
+    ("el2", """
+  SELECT *,
+         CASE WHEN delivery_delay IS NULL THEN NULL WHEN delivery_delay > 0 THEN 1 ELSE 0 END AS late,
+         CASE WHEN dispatch_delay IS NULL THEN NULL WHEN dispatch_delay > 0 THEN 1 ELSE 0 END AS dispatch_late
+  FROM el"""),
+    ("el3", """
+  SELECT *,
+         CASE WHEN late IS NULL THEN 'undelivered'
+              WHEN late = 1 AND dispatch_late = 1 THEN 'seller'
+              WHEN late = 1 AND dispatch_late = 0 THEN 'carrier'
+              WHEN late = 1 THEN 'unknown'
+              WHEN dispatch_late = 1 THEN 'absorbed'
+              ELSE 'on_time' END AS cause,
+         CASE WHEN late = 1 THEN least(delivery_delay, greatest(dispatch_delay, 0)) END AS seller_days
+  FROM el2"""),
+    ("lines", "SELECT *, delivery_delay - seller_days AS carrier_days FROM el3"),
+]
+
+DIMS = [
+    ("geo", """
+  SELECT n.n_nationkey, n.n_name, r.r_name
+  FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey"""),
+    ("sellers", f"""
+  SELECT CAST(s_suppkey * 10 + slot AS BIGINT) AS seller_id,
+         {_dirty('n_name', 'r_name', 's_suppkey')} AS city_raw, r_name AS state
+  FROM (SELECT s.s_suppkey, g.n_name, g.r_name, unnest(range(10)) AS slot
+        FROM supplier s JOIN geo g ON g.n_nationkey = s.s_nationkey)"""),
+    ("customers", f"""
+  SELECT c.c_custkey AS customer_id, {_dirty('g.n_name', 'g.r_name', 'c.c_custkey')} AS city_raw,
+         g.r_name AS state
+  FROM customer c JOIN geo g ON g.n_nationkey = c.c_nationkey"""),
+    ("products", """
+  SELECT p_partkey AS product_id, p_type AS category, p_size AS weight, p_size AS length,
+         1 + p_partkey % 5 AS width, 1 + p_partkey % 3 AS height
+  FROM part"""),
+    ("cities", f"SELECT {_key('n_name')} AS city_key, n_name AS city, r_name AS state FROM geo"),
+    ("lookup", """
+  SELECT city_key, state, min(city) AS city FROM cities
+  WHERE city_key IS NOT NULL GROUP BY city_key, state"""),
+]
+
+SELLER_MONTH = [
+    ("sm", """
+  SELECT seller_id, m_idx, count(*) AS lines, count(DISTINCT order_id) AS orders,
+         sum(price) AS revenue, count(late) AS delivered,
+         count(*) FILTER (WHERE late = 1) AS late,
+         count(*) FILTER (WHERE cause = 'seller') AS seller_late,
+         count(*) FILTER (WHERE cause = 'carrier') AS carrier_late,
+         count(dispatch_late) AS dispatch_known,
+         count(*) FILTER (WHERE dispatch_late = 1) AS dispatch_late,
+         CAST(sum(delivery_delay) AS BIGINT) AS delay_sum,
+         CAST(sum(CASE WHEN late = 1 THEN delivery_delay END) AS BIGINT) AS late_delay_sum
+  FROM lines GROUP BY seller_id, m_idx"""),
+    ("sagg", """
+  SELECT seller_id, min(m_idx) AS first_m, max(m_idx) AS last_m,
+         CAST(sum(orders) AS BIGINT) AS orders, sum(revenue) AS revenue,
+         CAST(sum(delivered) AS BIGINT) AS delivered, CAST(sum(late) AS BIGINT) AS late,
+         CAST(sum(seller_late) AS BIGINT) AS seller_late,
+         CAST(sum(dispatch_known) AS BIGINT) AS dispatch_known,
+         CAST(sum(dispatch_late) AS BIGINT) AS dispatch_late,
+         CAST(sum(delay_sum) AS BIGINT) AS delay_sum,
+         CAST(sum(late_delay_sum) AS BIGINT) AS late_delay_sum
+  FROM sm GROUP BY seller_id"""),
+    ("profile", f"""
+  SELECT a.*, CAST(a.last_m - a.first_m + 1 AS INTEGER) AS tenure,
+         {_div('a.late', 'a.delivered')} AS late_rate,
+         f.delivered AS first_delivered, f.late AS first_late, f.revenue AS first_revenue
+  FROM sagg a JOIN sm f ON f.seller_id = a.seller_id AND f.m_idx = a.first_m"""),
+    ("cohorts", f"""
+  SELECT seller_id, first_m, {_month('first_m')} AS first_month,
+         first_delivered AS delivered, first_late AS late,
+         {_div('first_late', 'first_delivered')} AS rate,
+         CASE WHEN first_delivered = 0 THEN 'unrated'
+              WHEN {_div('first_late', 'first_delivered')} <= 0.0 THEN 'excellent'
+              WHEN {_div('first_late', 'first_delivered')} >= 0.5 THEN 'severe'
+              ELSE 'normal' END AS label,
+         CAST(first_revenue AS DOUBLE) AS first_revenue
+  FROM profile"""),
+]
+
+RFM = [
+    ("rfm_base", """
+  SELECT p.seller_id, CAST(t.data_last - p.last_m AS INTEGER) AS recency, p.orders AS frequency,
+         p.revenue AS monetary, t.total, p.delivered, p.late AS late_lines
+  FROM profile p, (SELECT max(last_m) AS data_last, sum(revenue) AS total FROM profile) t"""),
+    ("rfm", f"""
+  SELECT seller_id, recency, frequency, CAST(monetary AS DOUBLE) AS monetary,
+         {_div('monetary', 'total')} AS revenue_share,
+         CAST(ntile(5) OVER (ORDER BY recency DESC, seller_id) AS INTEGER) AS r_score,
+         CAST(ntile(5) OVER (ORDER BY frequency, seller_id) AS INTEGER) AS f_score,
+         CAST(ntile(5) OVER (ORDER BY monetary, seller_id) AS INTEGER) AS m_score,
+         delivered, late_lines, {_div('late_lines', 'delivered')} AS late_rate
+  FROM rfm_base"""),
+]
+
+LOCATED_SELLERS = [
+    ("loc", f"""
+  SELECT s.seller_id, s.city_raw, s.state, s.city_key, k.city
+  FROM (SELECT *, {_key('city_raw')} AS city_key FROM sellers) s
+  LEFT JOIN lookup k ON k.city_key = s.city_key AND k.state = s.state"""),
+]
+
+
+def _party(key: str) -> list[tuple[str, str]]:
+    return [("pp", f"""
+  SELECT {key}, count(late) AS delivered, count(*) FILTER (WHERE late = 1) AS late,
+         count(*) FILTER (WHERE cause = 'seller') AS seller_late,
+         count(*) FILTER (WHERE cause = 'carrier') AS carrier_late
+  FROM lines GROUP BY {key}""")]
+
+
+_REGION_MEASURES = """CAST(sum(pp.delivered) AS BIGINT) AS delivered_lines,
+         CAST(sum(pp.late) AS BIGINT) AS late_lines,
+         CAST(sum(pp.seller_late) AS BIGINT) AS seller_late,
+         CAST(sum(pp.carrier_late) AS BIGINT) AS carrier_late"""
+
+_REGION_RATES = f"""{_div('late_lines', 'delivered_lines')} AS late_rate,
+       {_div('seller_late', 'delivered_lines')} AS seller_rate,
+       {_div('carrier_late', 'delivered_lines')} AS carrier_rate,
+       CASE WHEN late_lines = 0 THEN 'none' WHEN seller_late > carrier_late THEN 'seller'
+            WHEN carrier_late > seller_late THEN 'carrier' ELSE 'tie' END AS bottleneck"""
+
+BLAME = [
+    ("sg", """
+  SELECT l.seller_id,
+         count(*) FILTER (WHERE l.late = 1) AS late,
+         count(*) FILTER (WHERE l.cause = 'seller') AS seller_late,
+         CAST(sum(p.weight) AS DOUBLE) / NULLIF(count(p.weight), 0) AS avg_weight,
+         CAST(sum(p.length * p.width * p.height) AS DOUBLE)
+           / NULLIF(count(p.length * p.width * p.height), 0) AS avg_volume,
+         CAST(sum(l.ship_days) AS DOUBLE) / NULLIF(count(l.ship_days), 0) AS avg_ship_days
+  FROM lines l LEFT JOIN products p ON p.product_id = l.product_id
+  GROUP BY l.seller_id
+  HAVING count(*) FILTER (WHERE l.late = 1) >= 1"""),
+    ("shares", f"""
+  SELECT seller_id, late, seller_late, {_div('seller_late', 'late')} AS blame_share,
+         avg_weight, avg_volume, avg_ship_days
+  FROM sg"""),
+    ("ranked", """
+  SELECT *, CAST(ntile(10) OVER (ORDER BY blame_share, seller_id) AS INTEGER) AS decile
+  FROM shares"""),
+]
+
+CATEGORY_BLAME = [
+    ("cg", """
+  SELECT p.category,
+         count(*) FILTER (WHERE l.late = 1) AS late,
+         count(*) FILTER (WHERE l.cause = 'seller') AS seller_late,
+         CAST(sum(p.weight) AS DOUBLE) / NULLIF(count(p.weight), 0) AS avg_weight,
+         CAST(sum(p.length * p.width * p.height) AS DOUBLE)
+           / NULLIF(count(p.length * p.width * p.height), 0) AS avg_volume,
+         CAST(sum(l.ship_days) AS DOUBLE) / NULLIF(count(l.ship_days), 0) AS avg_ship_days
+  FROM lines l LEFT JOIN products p ON p.product_id = l.product_id
+  GROUP BY p.category
+  HAVING count(*) FILTER (WHERE l.late = 1) >= 1"""),
+    ("ranked", f"""
+  SELECT *, {_div('seller_late', 'late')} AS blame_share,
+         CAST(ntile(4) OVER (ORDER BY {_div('seller_late', 'late')}, category) AS INTEGER) AS decile
+  FROM cg"""),
+]
+
+_DECILE_SELECT = f"""
+SELECT decile, count(*) AS members, min(blame_share) AS min_share, max(blame_share) AS max_share,
+       CAST(sum(late) AS BIGINT) AS late_lines, CAST(sum(seller_late) AS BIGINT) AS seller_late_lines,
+       round(avg(avg_weight), 6) AS avg_weight, round(avg(avg_volume), 6) AS avg_volume,
+       round(avg(avg_ship_days), 6) AS avg_ship_days,
+       {_div('sum(seller_late)', 'sum(late)')} AS pooled_share
+FROM ranked GROUP BY decile"""
+
+_BUCKET = ("CASE WHEN tenure <= 1 THEN '1' WHEN tenure <= 6 THEN '2-6' "
+           "WHEN tenure < 13 THEN '7-12' ELSE '13+' END")
+
+RETENTION = [
+    ("coh", "SELECT seller_id, first_m, label FROM cohorts"),
+    ("sizes", "SELECT label, count(*) AS cohort_size FROM coh GROUP BY label"),
+    ("data_last", "SELECT max(m_idx) AS last_m FROM lines"),
+    ("act", """
+  SELECT c.label, sm.m_idx - c.first_m AS k, count(*) AS active
+  FROM sm JOIN coh c ON c.seller_id = sm.seller_id GROUP BY c.label, sm.m_idx - c.first_m"""),
+]
+
+
+def _retention_select(keys: str) -> str:
+    return f"""
+, keys AS ({keys})
+, obs AS (
+  SELECT g.label, g.k, count(c.seller_id) AS observable
+  FROM keys g LEFT JOIN coh c
+    ON c.label = g.label AND c.first_m + g.k <= (SELECT last_m FROM data_last)
+  GROUP BY g.label, g.k)
+SELECT g.label, CAST(g.k AS INTEGER) AS k, s.cohort_size, o.observable,
+       CAST(coalesce(a.active, 0) AS BIGINT) AS active,
+       {_div('coalesce(a.active, 0)', 's.cohort_size')} AS retention,
+       {_div('coalesce(a.active, 0)', 'o.observable')} AS retention_observable
+FROM keys g
+JOIN sizes s ON s.label = g.label
+JOIN obs o ON o.label = g.label AND o.k = g.k
+LEFT JOIN act a ON a.label = g.label AND a.k = g.k"""
+
+
+def _with(ctes: list[tuple[str, str]], select: str) -> str:
+    body = ",\n".join(f"{name} AS ({sql}\n)" for name, sql in ctes)
+    return f"WITH {body}\n{select.strip()}"
+
+
+PROFILE = BASE + SELLER_MONTH
+
+ORACLE_SQL: dict[str, str] = {
+    "delay_attribution": _with(BASE, """
+SELECT cause, count(*) AS lines, count(DISTINCT seller_id) AS sellers,
+       CAST(sum(price) AS DOUBLE) AS revenue,
+       CAST(sum(delivery_delay) AS BIGINT) AS delay_days,
+       CAST(sum(seller_days) AS BIGINT) AS seller_days,
+       CAST(sum(carrier_days) AS BIGINT) AS carrier_days
+FROM lines GROUP BY cause"""),
+
+    "delay_attribution_lines": _with(BASE, """
+SELECT order_id, line_no, product_id, seller_id, dispatch_delay, delivery_delay, late,
+       dispatch_late, ship_days, cause, seller_days, carrier_days
+FROM lines"""),
+
+    "late_revenue_monthly": _with(BASE + [
+        ("per_order", """
+  SELECT order_id, m_idx, sum(price) AS revenue,
+         sum(CASE WHEN late = 1 THEN price END) AS late_revenue, max(late) AS any_late
+  FROM lines GROUP BY order_id, m_idx"""),
+        ("monthly", """
+  SELECT m_idx, sum(revenue) AS revenue, coalesce(sum(late_revenue), 0) AS late_revenue,
+         count(*) AS orders, count(*) FILTER (WHERE any_late = 1) AS late_orders
+  FROM per_order GROUP BY m_idx""")], f"""
+SELECT {_month('m_idx')} AS month, CAST(revenue AS DOUBLE) AS revenue,
+       CAST(late_revenue AS DOUBLE) AS late_revenue, orders, late_orders,
+       {_div('late_orders', 'orders')} AS late_order_share,
+       {_div('late_revenue', 'revenue')} AS late_revenue_share,
+       {_div('revenue', 'lag(revenue) OVER (ORDER BY m_idx)')} - 1 AS revenue_growth
+FROM monthly"""),
+
+    "seller_month": _with(PROFILE, """
+SELECT seller_id, m_idx, lines, orders, CAST(revenue AS DOUBLE) AS revenue, delivered, late,
+       seller_late, carrier_late, dispatch_known, dispatch_late, delay_sum, late_delay_sum
+FROM sm"""),
+
+    "rfm_scores": _with(PROFILE + RFM, "SELECT * FROM rfm"),
+
+    "black_sellers_rfm": _with(PROFILE + RFM, """
+SELECT * FROM rfm WHERE m_score >= 5 AND late_lines >= 3 AND late_rate >= 0.3"""),
+
+    "city_cleanse": _with(DIMS + LOCATED_SELLERS, "SELECT seller_id, city_raw, state, city_key, city FROM loc"),
+
+    "city_unmatched": _with(DIMS, f"""
+SELECT c.city_raw, c.city_key, c.state, count(*) AS rows
+FROM (SELECT *, {_key('city_raw')} AS city_key FROM customers) c
+WHERE NOT EXISTS (SELECT 1 FROM lookup k WHERE k.city_key = c.city_key AND k.state = c.state)
+GROUP BY c.city_raw, c.city_key, c.state"""),
+
+    "regional_bottlenecks": _with(BASE + DIMS + LOCATED_SELLERS + _party("seller_id") + [
+        ("g", f"""
+  SELECT loc.state, loc.city, {_REGION_MEASURES}
+  FROM pp LEFT JOIN loc ON loc.seller_id = pp.seller_id
+  GROUP BY loc.state, loc.city""")], f"""
+SELECT state, city, delivered_lines, late_lines, seller_late, carrier_late, {_REGION_RATES}
+FROM g"""),
+
+    "regional_bottlenecks_rollup": _with(BASE + DIMS + LOCATED_SELLERS + _party("seller_id") + [
+        ("g", f"""
+  SELECT loc.state, loc.city, {_REGION_MEASURES},
+         CAST(grouping(loc.state, loc.city) AS INTEGER) AS level_id
+  FROM pp LEFT JOIN loc ON loc.seller_id = pp.seller_id
+  GROUP BY ROLLUP (loc.state, loc.city)""")], f"""
+SELECT state, city, delivered_lines, late_lines, seller_late, carrier_late, level_id, {_REGION_RATES}
+FROM g"""),
+
+    "regional_bottlenecks_customer": _with(BASE + DIMS + _party("customer_id") + [
+        ("cloc", f"""
+  SELECT c.customer_id, c.state, k.city
+  FROM (SELECT *, {_key('city_raw')} AS city_key FROM customers) c
+  LEFT JOIN lookup k ON k.city_key = c.city_key AND k.state = c.state"""),
+        ("g", f"""
+  SELECT cloc.state, {_REGION_MEASURES}
+  FROM pp LEFT JOIN cloc ON cloc.customer_id = pp.customer_id
+  GROUP BY cloc.state""")], f"""
+SELECT state, delivered_lines, late_lines, seller_late, carrier_late, {_REGION_RATES}
+FROM g"""),
+
+    "seller_blame_shares": _with(BASE + DIMS + BLAME, "SELECT * FROM ranked"),
+
+    "seller_blame_deciles": _with(BASE + DIMS + BLAME, _DECILE_SELECT),
+
+    "category_blame_deciles": _with(BASE + DIMS + CATEGORY_BLAME, _DECILE_SELECT),
+
+    "spec_delay_correlation": _with(BASE + DIMS + BLAME, """
+SELECT round(corr(blame_share, avg_weight), 6) AS share_weight,
+       round(corr(blame_share, avg_volume), 6) AS share_volume,
+       round(corr(avg_weight, avg_ship_days), 6) AS weight_dispatch,
+       round(corr(blame_share, avg_ship_days), 6) AS share_dispatch,
+       count(*) AS grains
+FROM shares"""),
+
+    "tenure_vs_delay": _with(PROFILE, f"""
+SELECT {_BUCKET} AS bucket, count(*) AS sellers, CAST(sum(delivered) AS BIGINT) AS lines,
+       {_div('sum(delay_sum)', 'sum(delivered)')} AS avg_delay_all,
+       {_div('sum(late_delay_sum)', 'sum(late)')} AS avg_delay_late,
+       {_div('sum(late)', 'sum(delivered)')} AS late_rate
+FROM profile GROUP BY {_BUCKET}"""),
+
+    "tenure_gap": _with(PROFILE + [
+        ("t", f"""
+  SELECT {_div('sum(delay_sum) FILTER (WHERE tenure <= 1)', 'sum(delivered) FILTER (WHERE tenure <= 1)')} AS one_off_all,
+         {_div('sum(delay_sum) FILTER (WHERE tenure >= 13)', 'sum(delivered) FILTER (WHERE tenure >= 13)')} AS long_all,
+         {_div('sum(late_delay_sum) FILTER (WHERE tenure <= 1)', 'sum(late) FILTER (WHERE tenure <= 1)')} AS one_off_late,
+         {_div('sum(late_delay_sum) FILTER (WHERE tenure >= 13)', 'sum(late) FILTER (WHERE tenure >= 13)')} AS long_late
+  FROM profile""")], """
+SELECT one_off_all, long_all, one_off_late, long_late,
+       one_off_all - long_all AS gap_all, one_off_late - long_late AS gap_late
+FROM t"""),
+
+    "first_month_cohorts": _with(PROFILE, """
+SELECT seller_id, first_month, delivered, late, rate, label, first_revenue FROM cohorts"""),
+
+    "cohort_retention": _with(PROFILE + RETENTION, _retention_select(
+        "SELECT s.label, t.k FROM sizes s, (SELECT range AS k FROM range(0, 25)) t")),
+
+    "cohort_retention_active": _with(PROFILE + RETENTION, _retention_select(
+        "SELECT label, k FROM act")),
+
+    "seller_penalty_ranking": _with(PROFILE + [
+        ("b", f"""
+  SELECT seller_id, revenue, dispatch_known AS dispatch_lines,
+         {_div('dispatch_late', 'dispatch_known')} AS dispatch_late_rate
+  FROM profile"""),
+        ("p", """
+  SELECT *, CASE WHEN dispatch_lines >= 5 AND dispatch_late_rate >= 0.4 THEN 1 ELSE 0 END AS penalized
+  FROM b"""),
+        ("r", """
+  SELECT *, row_number() OVER (ORDER BY revenue DESC, seller_id) AS base_rank,
+         row_number() OVER (ORDER BY penalized, revenue DESC, seller_id) AS adjusted_rank
+  FROM p""")], """
+SELECT seller_id, CAST(revenue AS DOUBLE) AS revenue, dispatch_lines, dispatch_late_rate,
+       CAST(penalized AS INTEGER) AS penalized, base_rank, adjusted_rank,
+       adjusted_rank - base_rank AS rank_change
+FROM r"""),
+
+    "fulfilment_priority_groups": _with(BASE + DIMS + [
+        ("g", """
+  SELECT p.category,
+         CASE WHEN p.weight IS NULL THEN 'unknown' WHEN p.weight >= 35 THEN 'bulky'
+              ELSE 'regular' END AS size_band,
+         count(l.late) AS delivered, count(*) FILTER (WHERE l.late = 1) AS late,
+         count(*) FILTER (WHERE l.cause = 'seller') AS seller_late
+  FROM lines l LEFT JOIN products p ON p.product_id = l.product_id
+  GROUP BY 1, 2"""),
+        ("s", f"""
+  SELECT *, {_div('seller_late', 'late')} AS seller_share, {_div('late', 'delivered')} AS late_rate
+  FROM g""")], """
+SELECT category, size_band, delivered, late, seller_late, seller_share, late_rate,
+       CAST(CASE WHEN size_band = 'bulky' AND seller_share >= 0.5
+                  AND seller_share > coalesce(max(CASE WHEN size_band = 'regular' THEN seller_share END)
+                                              OVER (PARTITION BY category), -1.0)
+                 THEN 1 ELSE 0 END AS INTEGER) AS priority
+FROM s"""),
+
+    "new_seller_watchlist": _with(PROFILE, """
+SELECT seller_id, first_month, delivered, late, rate, first_revenue
+FROM cohorts WHERE label = 'severe' AND delivered >= 2"""),
+
+    "good_seller_badge": _with(PROFILE, """
+SELECT seller_id, tenure, delivered, late, late_rate, CAST(revenue AS DOUBLE) AS revenue
+FROM profile WHERE tenure >= 13 AND late_rate <= 0.05"""),
+}
