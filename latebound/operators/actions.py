@@ -75,8 +75,8 @@ def fulfilment_priority_groups(attributed: DataFrame, products: DataFrame,
               .agg(F.sum("delivered").cast("long").alias("delivered"),
                    F.sum("late").cast("long").alias("late"),
                    F.sum("seller_late").cast("long").alias("seller_late"))
-              .withColumn("seller_share", ratio("seller_late", "late"))
-              .withColumn("late_rate", ratio("late", "delivered")))
+              .withColumns({"seller_share": ratio("seller_late", "late"),
+                            "late_rate": ratio("late", "delivered")}))
     in_category = Window.partitionBy("category")
     regular_share = F.max(F.when(F.col("size_band") == REGULAR, F.col("seller_share"))).over(in_category)
     return groups.withColumn(

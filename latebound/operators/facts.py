@@ -28,15 +28,14 @@ def enrich(lines: DataFrame) -> DataFrame:
     validate(lines, FULFILMENT_LINES, "fulfilment_lines")
     dispatch_delay = day_diff("shipped_at", "ship_limit_at")
     delivery_delay = day_diff("delivered_at", "estimated_at")
-    return (lines
-            .withColumn("dispatch_delay", dispatch_delay)
-            .withColumn("delivery_delay", delivery_delay)
-            .withColumn("late", F.when(F.col("delivery_delay").isNotNull(),
-                                       (F.col("delivery_delay") > 0).cast("int")))
-            .withColumn("dispatch_late", F.when(F.col("dispatch_delay").isNotNull(),
-                                                (F.col("dispatch_delay") > 0).cast("int")))
-            .withColumn("ship_days", day_diff("shipped_at", "ordered_at"))
-            .withColumn("m_idx", month_index("ordered_at")))
+    return lines.select(
+        "*",
+        dispatch_delay.alias("dispatch_delay"),
+        delivery_delay.alias("delivery_delay"),
+        F.when(delivery_delay.isNotNull(), (delivery_delay > 0).cast("int")).alias("late"),
+        F.when(dispatch_delay.isNotNull(), (dispatch_delay > 0).cast("int")).alias("dispatch_late"),
+        day_diff("shipped_at", "ordered_at").alias("ship_days"),
+        month_index("ordered_at").alias("m_idx"))
 
 
 def delay_attribution(lines: DataFrame) -> DataFrame:
@@ -60,9 +59,8 @@ def delay_attribution(lines: DataFrame) -> DataFrame:
              .otherwise(F.lit(ON_TIME)))
     seller_days = F.when(late == 1, F.least(F.col("delivery_delay"),
                                             F.greatest(F.col("dispatch_delay"), F.lit(0))))
-    return (lines.withColumn("cause", cause)
-            .withColumn("seller_days", seller_days)
-            .withColumn("carrier_days", F.col("delivery_delay") - F.col("seller_days")))
+    return lines.select("*", cause.alias("cause"), seller_days.alias("seller_days"),
+                        (F.col("delivery_delay") - seller_days).alias("carrier_days"))
 
 
 def attribution_summary(attributed: DataFrame) -> DataFrame:
@@ -130,9 +128,10 @@ def seller_profile(sm: DataFrame) -> DataFrame:
                  F.sum("delay_sum").cast("long").alias("delay_sum"),
                  F.sum("late_delay_sum").cast("long").alias("late_delay_sum"),
                  first.alias("_first"))
-            .withColumn("tenure", (F.col("last_m") - F.col("first_m") + 1).cast("int"))
-            .withColumn("first_delivered", F.col("_first.d").cast("long"))
-            .withColumn("first_late", F.col("_first.l").cast("long"))
-            .withColumn("first_revenue", F.col("_first.r"))
-            .withColumn("late_rate", ratio("late", "delivered"))
+            .select("*",
+                    (F.col("last_m") - F.col("first_m") + 1).cast("int").alias("tenure"),
+                    F.col("_first.d").cast("long").alias("first_delivered"),
+                    F.col("_first.l").cast("long").alias("first_late"),
+                    F.col("_first.r").alias("first_revenue"),
+                    ratio("late", "delivered").alias("late_rate"))
             .drop("_first"))

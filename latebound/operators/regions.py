@@ -90,12 +90,12 @@ def regional_bottlenecks(attributed: DataFrame, parties: DataFrame, cities: Data
     else:
         raise ValueError(f"level must be state, city or rollup, not {level!r}")
     sl, cl = F.col("seller_late"), F.col("carrier_late")
-    return (out
-            .withColumn("late_rate", ratio("late_lines", "delivered_lines"))
-            .withColumn("seller_rate", ratio("seller_late", "delivered_lines"))
-            .withColumn("carrier_rate", ratio("carrier_late", "delivered_lines"))
-            .withColumn("bottleneck",
-                        F.when(F.col("late_lines") == 0, F.lit("none"))
-                        .when(sl > cl, F.lit("seller"))
-                        .when(cl > sl, F.lit("carrier"))
-                        .otherwise(F.lit("tie"))))
+    return out.withColumns({
+        "late_rate": ratio("late_lines", "delivered_lines"),
+        "seller_rate": ratio("seller_late", "delivered_lines"),
+        "carrier_rate": ratio("carrier_late", "delivered_lines"),
+        "bottleneck": (F.when(F.col("late_lines") == 0, F.lit("none"))
+                       .when(sl > cl, F.lit("seller"))
+                       .when(cl > sl, F.lit("carrier"))
+                       .otherwise(F.lit("tie"))),
+    })

@@ -51,8 +51,8 @@ def tenure_gap(profile: DataFrame, long_months: int = 13) -> DataFrame:
         ratio(part(lng, "delay_sum"), part(lng, "delivered")).alias("long_all"),
         ratio(part(one, "late_delay_sum"), part(one, "late")).alias("one_off_late"),
         ratio(part(lng, "late_delay_sum"), part(lng, "late")).alias("long_late"))
-        .withColumn("gap_all", F.col("one_off_all") - F.col("long_all"))
-        .withColumn("gap_late", F.col("one_off_late") - F.col("long_late")))
+        .withColumns({"gap_all": F.col("one_off_all") - F.col("long_all"),
+                      "gap_late": F.col("one_off_late") - F.col("long_late")}))
 
 
 def good_seller_badge(profile: DataFrame, long_months: int = 13,

@@ -55,17 +55,14 @@ def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
 
-    seller = F.col("l_suppkey") * SELLERS_PER_SUPPLIER + F.col("l_partkey") % SELLERS_PER_SUPPLIER
+    s = F.col("l_suppkey") * SELLERS_PER_SUPPLIER + F.col("l_partkey") % SELLERS_PER_SUPPLIER
     fx_month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")
                 - (FIRST_MONTH_YEAR * 12 + FIRST_MONTH))
-    s = F.col("seller_id")
     k0 = (s * 37) % 53
     klen = F.when(s % 11 == 0, 1 + (s * 13) % 11).otherwise(1 + (s * 13) % 31)
-
-    kept = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-            .withColumn("seller_id", seller)
-            .withColumn("klen", klen)
-            .where(fx_month.between(k0, k0 + F.col("klen") - 1)))
+    # the seller's active months: the filter runs right after the first join
+    kept = li.join(orders, li.l_orderkey == orders.o_orderkey).where(
+        fx_month.between(k0, k0 + klen - 1))
 
     h = (F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_suppkey") * 31
          + F.col("l_linenumber") * 29) % 97
@@ -73,9 +70,7 @@ def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     prio = F.substring("o_orderpriority", 1, 1).cast("int")
     slow = F.when((s % 11).isin(*HABITUALLY_SLOW_RESIDUES), SLOW_EXTRA_DAYS).otherwise(0)
     ship_days = F.greatest(
-        F.lit(0),
-        1 + h % 12 + F.floor(F.col("p_size") / 8) - F.floor(F.col("klen") / 10) + slow,
-    ).cast("int")
+        F.lit(0), 1 + h % 12 + F.floor(F.col("p_size") / 8) - F.floor(klen / 10) + slow).cast("int")
     limit_days = (9 + prio).cast("int")
     transit = (2 + F.abs(F.col("s_nationkey") - F.col("c_nationkey")) % 6 + h2 % 9).cast("int")
     undelivered = ((F.col("o_orderstatus") == "P") & (F.col("l_linestatus") == "O")
@@ -83,24 +78,21 @@ def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     joined = (kept.join(part, kept.l_partkey == part.p_partkey)
               .join(supp, kept.l_suppkey == supp.s_suppkey)
-              .join(cust, kept.o_custkey == cust.c_custkey)
-              .withColumn("_ship", ship_days)
-              .withColumn("_limit", limit_days)
-              .withColumn("_transit", transit)
-              .withColumn("_undelivered", undelivered))
+              .join(cust, kept.o_custkey == cust.c_custkey))
     ordered_at = F.col("o_orderdate")
+    # one projection for all derived columns (a chain of withColumn calls
+    # re-analyses the whole plan once per call on the driver)
     return joined.select(
         F.col("l_orderkey").alias("order_id"),
         F.col("l_linenumber").alias("line_no"),
         F.col("l_partkey").alias("product_id"),
-        F.col("seller_id"),
+        s.alias("seller_id"),
         F.col("o_custkey").alias("customer_id"),
         ordered_at.alias("ordered_at"),
-        add_days(ordered_at, F.col("_limit")).alias("ship_limit_at"),
-        add_days(ordered_at, F.col("_ship")).alias("shipped_at"),
-        F.when(~F.col("_undelivered"),
-               add_days(ordered_at, F.col("_ship") + F.col("_transit"))).alias("delivered_at"),
-        add_days(ordered_at, F.col("_limit") + ESTIMATE_MARGIN_DAYS).alias("estimated_at"),
+        add_days(ordered_at, limit_days).alias("ship_limit_at"),
+        add_days(ordered_at, ship_days).alias("shipped_at"),
+        F.when(~undelivered, add_days(ordered_at, ship_days + transit)).alias("delivered_at"),
+        add_days(ordered_at, limit_days + ESTIMATE_MARGIN_DAYS).alias("estimated_at"),
         F.col("l_extendedprice").cast("decimal(12,2)").alias("price"),
     )
 
