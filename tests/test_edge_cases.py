@@ -1,0 +1,159 @@
+"""Hand-made rows for the edge cases of FIXTURES.md §4."""
+
+from pyspark.sql import functions as F
+
+from helpers import frame, line
+from latebound import operators as op
+
+
+def _att(spark, lines):
+    return op.delay_attribution(op.enrich(frame(spark, lines)))
+
+
+def _cause(spark, ln):
+    r = _att(spark, [ln]).first()
+    return r["late"], r["dispatch_late"], r["cause"]
+
+
+def test_on_estimate_is_not_late(spark):
+    assert _cause(spark, line(1, 1, deliver=12, estimate=12, ship=3, limit=5)) == (0, 0, "on_time")
+
+
+def test_shipped_at_deadline_is_not_dispatch_late(spark):
+    assert _cause(spark, line(1, 1, ship=5, limit=5, deliver=20, estimate=12)) == (1, 0, "carrier")
+
+
+def test_late_dispatch_on_time_arrival_is_absorbed(spark):
+    assert _cause(spark, line(1, 1, ship=7, limit=5, deliver=11, estimate=12)) == (0, 1, "absorbed")
+
+
+def test_both_legs_late_is_seller(spark):
+    assert _cause(spark, line(1, 1, ship=8, limit=5, deliver=15, estimate=12)) == (1, 1, "seller")
+
+
+def test_late_without_deadline_is_unknown(spark):
+    assert _cause(spark, line(1, 1, no_limit=True, deliver=15, estimate=12)) == (1, None, "unknown")
+
+
+def test_day_split(spark):
+    r = _att(spark, [line(1, 1, ship=8, limit=5, deliver=20, estimate=12)]).first()
+    assert (r["seller_days"], r["carrier_days"]) == (3, 5)
+    r = _att(spark, [line(1, 1, ship=9, limit=5, deliver=14, estimate=12)]).first()
+    assert (r["seller_days"], r["carrier_days"]) == (2, 0)  # seller owns at most the delay
+
+
+def test_undelivered_in_revenue_not_in_rates(spark):
+    att = _att(spark, [line(1, 1, deliver=None, price="5.00"),
+                       line(2, 1, deliver=20, price="7.00")])
+    assert _cause(spark, line(1, 1, deliver=None)) == (None, 0, "undelivered")
+    m = op.late_revenue_monthly(att).first()
+    assert m["revenue"] == 12.0 and m["late_revenue"] == 7.0
+    assert m["orders"] == 2 and m["late_orders"] == 1
+    prof = op.seller_profile(op.seller_month(att)).first()
+    assert prof["delivered"] == 1 and prof["late_rate"] == 1.0
+
+
+def test_seller_without_delivery_is_unrated_and_not_in_deciles(spark, tmp_path):
+    att = _att(spark, [line(1, 1, deliver=None), line(2, 2, deliver=20, ship=8)])
+    coh = {r["seller_id"]: r for r in op.first_month_cohorts(op.seller_profile(op.seller_month(att))).collect()}
+    assert coh[1]["label"] == "unrated" and coh[1]["rate"] is None
+    assert coh[2]["label"] == "severe"
+    products = spark.createDataFrame([(1, "A", 10, 1, 1, 1)],
+                                     "product_id long, category string, weight int, length int, width int, height int")
+    shares = op.seller_blame_shares(att, products).collect()
+    assert [r["seller_id"] for r in shares] == [2]
+
+
+def test_seller_without_late_line_has_no_share(spark):
+    att = _att(spark, [line(1, 1, deliver=5), line(2, 2, deliver=20, ship=8)])
+    products = spark.createDataFrame([(1, "A", 10, 1, 1, 1)],
+                                     "product_id long, category string, weight int, length int, width int, height int")
+    g = op.blame_by_grain(att, products).collect()
+    assert [r["seller_id"] for r in g] == [2]
+
+
+def test_equal_shares_split_by_id_and_fewer_rows_than_bins(spark):
+    df = spark.createDataFrame([(i, 1.0) for i in range(1, 8)], "seller_id long, blame_share double")
+    out = dict((r["seller_id"], r["d"]) for r in op.ntile(df, 10, [("blame_share", True), ("seller_id", True)], out="d").collect())
+    assert out == {i: i for i in range(1, 8)}
+    out = dict((r["seller_id"], r["d"]) for r in op.ntile(df, 3, [("blame_share", True), ("seller_id", True)], out="d").collect())
+    assert out == {1: 1, 2: 1, 3: 1, 4: 2, 5: 2, 6: 3, 7: 3}
+
+
+def test_order_with_two_sellers(spark):
+    att = _att(spark, [line(1, 1, line_no=1), line(1, 2, line_no=2)])
+    m = op.late_revenue_monthly(att).first()
+    assert m["orders"] == 1
+    prof = {r["seller_id"]: r["orders"] for r in op.seller_profile(op.seller_month(att)).collect()}
+    assert prof == {1: 1, 2: 1}
+
+
+def test_order_with_one_late_line(spark):
+    att = _att(spark, [line(1, 1, line_no=1, deliver=20, price="3.00"),
+                       line(1, 1, line_no=2, deliver=5, price="4.00")])
+    m = op.late_revenue_monthly(att).first()
+    assert (m["late_orders"], m["late_revenue"], m["revenue"]) == (1, 3.0, 7.0)
+
+
+def _profile(spark, lines):
+    return op.seller_profile(op.seller_month(_att(spark, lines)))
+
+
+def test_tenure_buckets(spark):
+    lines = ([line(1, 1, month=0)]
+             + [line(10 + m, 2, month=m) for m in (0, 11)]
+             + [line(30 + m, 3, month=m) for m in (0, 12)])
+    t = {r["bucket"]: r["sellers"] for r in op.tenure_vs_delay(_profile(spark, lines)).collect()}
+    assert t == {"1": 1, "7-12": 1, "13+": 1}
+
+
+def test_retention_gap_censoring_and_zero_months(spark):
+    # seller 1: months 0, 2 (gap at 1); seller 2: months 2, 3 (data ends at 3)
+    lines = [line(1, 1, month=0), line(2, 1, month=2), line(3, 2, month=2), line(4, 2, month=3)]
+    att = _att(spark, lines)
+    sm = op.seller_month(att)
+    coh = op.first_month_cohorts(op.seller_profile(sm))
+    ret = {(r["k"]): r for r in op.cohort_retention(sm, coh, horizon=4).collect()}
+    assert len(ret) == 5  # one label (both excellent), k = 0..4
+    assert ret[0]["active"] == 2 and ret[0]["retention"] == 1.0
+    assert ret[1]["active"] == 1 and ret[1]["observable"] == 2  # gap month: seller 1 inactive
+    assert ret[2]["active"] == 1 and ret[2]["observable"] == 1  # seller 2 censored at k=2
+    assert ret[4]["active"] == 0 and ret[4]["observable"] == 0  # zero month kept
+    assert ret[4]["retention_observable"] is None
+
+
+def test_city_null_empty_unmatched(spark):
+    parties = spark.createDataFrame(
+        [(1, None, "S"), (2, "  ", "S"), (3, "Atlantis", "S"), (4, "São Paulo / SP", "S"),
+         (5, " sao-paulo ", "S"), (6, "SAO PAULO", "S")],
+        "seller_id long, city_raw string, state string")
+    cities = spark.createDataFrame([("sao paulo", "São Paulo", "S")], "city_key string, city string, state string")
+    out = {r["seller_id"]: r["city"] for r in op.city_cleanse(parties, cities).collect()}
+    assert out == {1: None, 2: None, 3: None, 4: "São Paulo", 5: "São Paulo", 6: "São Paulo"}
+    miss = {r["city_raw"] for r in op.unmatched_cities(parties, cities).collect()}
+    assert miss == {None, "  ", "Atlantis"}
+
+
+def test_product_without_specs_kept(spark):
+    att = _att(spark, [line(1, 1, product_id=1, deliver=20, ship=8),
+                       line(2, 1, product_id=99, deliver=20, ship=8)])
+    products = spark.createDataFrame([(1, "A", 10, 2, 3, 4)],
+                                     "product_id long, category string, weight int, length int, width int, height int")
+    g = op.blame_by_grain(att, products).first()
+    assert g["late"] == 2 and g["avg_weight"] == 10.0 and g["avg_volume"] == 24.0
+
+
+def test_penalty_ranking_moves_penalized_down(spark):
+    lines = ([line(i, 1, ship=8, limit=5, price="100.00") for i in range(1, 6)]
+             + [line(10, 2, price="50.00"), line(11, 3, price="20.00")])
+    r = {x["seller_id"]: (x["base_rank"], x["adjusted_rank"], x["penalized"])
+         for x in op.seller_penalty_ranking(_profile(spark, lines)).collect()}
+    assert r == {1: (1, 3, 1), 2: (2, 1, 0), 3: (3, 2, 0)}
+
+
+def test_schema_validation(spark):
+    import pytest
+
+    bad = spark.createDataFrame([(1,)], "order_id long")
+    with pytest.raises(ValueError):
+        op.enrich(bad)
