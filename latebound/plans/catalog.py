@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import operators as op
+from ..session import materialize
 from ..sources import fixture
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,14 +107,25 @@ def q_first_month_cohorts(spark, sf_dir):
     return cohorts(spark, sf_dir).drop("first_m")
 
 
+def _retention(spark, sf_dir, horizon):
+    # seller_month feeds both the activity and the cohort labels: written
+    # once (seller x month grain), so the line fact is read once.
+    sm = materialize(op.seller_month(attributed_lines(spark, sf_dir)), "seller_month")
+    return op.cohort_retention(sm, op.first_month_cohorts(op.seller_profile(sm)), horizon=horizon)
+
+
 def q_cohort_retention(spark, sf_dir):
-    sm = op.seller_month(attributed_lines(spark, sf_dir))
-    return op.cohort_retention(sm, op.first_month_cohorts(op.seller_profile(sm)), horizon=24)
+    return _retention(spark, sf_dir, 24)
 
 
 def q_cohort_retention_active(spark, sf_dir):
-    sm = op.seller_month(attributed_lines(spark, sf_dir))
-    return op.cohort_retention(sm, op.first_month_cohorts(op.seller_profile(sm)), horizon=None)
+    return _retention(spark, sf_dir, None)
+
+
+def q_first_month_cohorts_stream(spark, sf_dir):
+    from ..streaming import replay_first_month
+
+    return replay_first_month(spark, attributed_lines(spark, sf_dir))
 
 
 def q_seller_penalty_ranking(spark, sf_dir):
@@ -151,6 +163,7 @@ QUERIES: dict[str, Query] = {
     "tenure_vs_delay": q_tenure_vs_delay,
     "tenure_gap": q_tenure_gap,
     "first_month_cohorts": q_first_month_cohorts,
+    "first_month_cohorts_stream": q_first_month_cohorts_stream,
     "cohort_retention": q_cohort_retention,
     "cohort_retention_active": q_cohort_retention_active,
     "seller_penalty_ranking": q_seller_penalty_ranking,

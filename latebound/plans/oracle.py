@@ -442,3 +442,6 @@ FROM cohorts WHERE label = 'severe' AND delivered >= 2"""),
 SELECT seller_id, tenure, delivered, late, late_rate, CAST(revenue AS DOUBLE) AS revenue
 FROM profile WHERE tenure >= 13 AND late_rate <= 0.05"""),
 }
+
+# The streaming replay's final state is the batch cohort table.
+ORACLE_SQL["first_month_cohorts_stream"] = ORACLE_SQL["first_month_cohorts"]
