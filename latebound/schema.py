@@ -1,7 +1,7 @@
 """Canonical tables every operator consumes.
 
-Callers map their own source columns onto these names (for the Olist data:
-``order_items`` ⋈ ``orders`` gives ``fulfilment_lines``). ``validate`` checks
+Callers map their own source columns onto these names (for a marketplace
+export, order items joined to orders give ``fulfilment_lines``). ``validate`` checks
 names and type families at the entry of each operator, so a wrong mapping
 fails fast instead of producing NULL rates.
 """
