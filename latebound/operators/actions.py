@@ -36,10 +36,11 @@ def seller_penalty_ranking(profile: DataFrame, max_dispatch_rate: float = 0.4,
         .otherwise(0).alias("penalized"))
     base = materialize(base, "penalty_base")
     kw = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
-    ranked, _ = global_row_number(base, [("revenue", False), ("seller_id", True)],
+    ranked, n = global_row_number(base, [("revenue", False), ("seller_id", True)],
                                   out="base_rank", **kw)
     ranked, _ = global_row_number(ranked, [("penalized", True), ("revenue", False),
-                                           ("seller_id", True)], out="adjusted_rank", **kw)
+                                           ("seller_id", True)], out="adjusted_rank",
+                                  n_rows=n, source=base, **kw)
     return ranked.select(
         "seller_id", money_out("revenue").alias("revenue"), "dispatch_lines",
         "dispatch_late_rate", F.col("penalized").cast("int").alias("penalized"),

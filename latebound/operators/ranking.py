@@ -75,28 +75,37 @@ def _order_cols(order: OrderSpec) -> list[Column]:
 
 def global_row_number(df: DataFrame, order: OrderSpec, out: str = "rn",
                       rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
-                      sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, int]:
+                      sample_rows: int = SAMPLE_ROWS,
+                      n_rows: int | None = None,
+                      source: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Add ``out`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique key) over non-NULL
-    columns. Returns the frame and the row count.
+    columns. ``n_rows`` saves a count when the caller knows it. ``source``
+    (same rows and order columns as ``df``, typically the materialized table
+    ``df`` was derived from by earlier rankings) is what the sample and the
+    range counts read, so chained rankings never recompute earlier windows.
+    Returns the frame and the row count.
     """
     names = [n for n, _ in order]
-    n_rows = df.count()
+    src = df if source is None else source
+    if n_rows is None:
+        n_rows = src.count()
     n_ranges = max(1, min(MAX_RANGES, math.ceil(n_rows / max(1, rows_per_range))))
     cuts: list[tuple] = []
     if n_ranges > 1:
         fraction = min(1.0, 1.2 * sample_rows / n_rows)
-        sample = [tuple(r) for r in df.select(*names).sample(False, fraction, _SEED).collect()]
+        sample = [tuple(r) for r in src.select(*names).sample(False, fraction, _SEED).collect()]
         sample.sort(key=_compare(order))
         if sample:
             step = len(sample) / n_ranges
             picks = sorted({min(len(sample) - 1, int(round(step * (i + 1)))) for i in range(n_ranges - 1)})
             cuts = [sample[i] for i in picks]
     rid = "_range"
-    ranged = df.withColumn(rid, _range_id(order, cuts) if cuts else F.lit(0))
+    range_id = _range_id(order, cuts) if cuts else F.lit(0)
+    ranged = df.withColumn(rid, range_id)
     if cuts:
-        counts = dict(ranged.groupBy(rid).count().collect())
+        counts = dict(src.select(range_id.alias(rid)).groupBy(rid).count().collect())
         offsets, acc = [], 0
         for r in range(len(cuts) + 1):
             offsets.append(acc)
@@ -122,7 +131,9 @@ def ntile_from_row_number(rn: Column, n_rows: int, n_bins: int) -> Column:
 
 
 def ntile(df: DataFrame, n_bins: int, order: OrderSpec, out: str = "ntile",
-          rows_per_range: int = DEFAULT_ROWS_PER_RANGE) -> DataFrame:
+          rows_per_range: int = DEFAULT_ROWS_PER_RANGE, n_rows: int | None = None,
+          source: DataFrame | None = None) -> DataFrame:
     """Add ``out`` = NTILE(n_bins) over ``order`` (a total order, no NULLs)."""
-    ranked, n_rows = global_row_number(df, order, out="_rn", rows_per_range=rows_per_range)
+    ranked, n_rows = global_row_number(df, order, out="_rn", rows_per_range=rows_per_range,
+                                       n_rows=n_rows, source=source)
     return ranked.withColumn(out, ntile_from_row_number(F.col("_rn"), n_rows, n_bins)).drop("_rn")

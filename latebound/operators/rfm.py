@@ -28,13 +28,19 @@ def rfm_scores(profile: DataFrame, tiers: int = 5, basis: str = "any",
         "delivered",
         F.col(late_col).alias("late_lines"))
     base = materialize(base, "rfm_base")
-    totals = base.agg(F.max("last_m").alias("data_last"), F.sum("monetary").alias("total")).first()
+    totals = base.agg(F.max("last_m").alias("data_last"), F.sum("monetary").alias("total"),
+                      F.count(F.lit(1)).alias("n")).first()
     data_last, total = totals["data_last"], totals["total"]
     base = base.withColumn("recency", (F.lit(data_last) - F.col("last_m")).cast("int"))
-    kw = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
+    kw = {"n_rows": totals["n"]}
+    if rows_per_range is not None:
+        kw["rows_per_range"] = rows_per_range
     scored = ntile(base, tiers, [("recency", False), ("seller_id", True)], out="r_score", **kw)
-    scored = ntile(scored, tiers, [("frequency", True), ("seller_id", True)], out="f_score", **kw)
-    scored = ntile(scored, tiers, [("monetary", True), ("seller_id", True)], out="m_score", **kw)
+    # samples and range counts read the materialized base, not the windows
+    scored = ntile(scored, tiers, [("frequency", True), ("seller_id", True)], out="f_score",
+                   source=base, **kw)
+    scored = ntile(scored, tiers, [("monetary", True), ("seller_id", True)], out="m_score",
+                   source=base, **kw)
     return scored.select(
         "seller_id", "recency",
         F.col("frequency").cast("long").alias("frequency"),

@@ -3,6 +3,7 @@ driver tables, built from the canonical fixture and the operators."""
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +15,43 @@ from ..sources import fixture
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Lazy plans of the canonical tables, per session and folder. Only the plan
+# objects are reused (building them costs thousands of driver calls); every
+# action still reads and joins the raw Parquet files.
+_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
+
+
+def _plan(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    plans = _PLANS.setdefault(spark, {})
+    if key not in plans:
+        plans[key] = build()
+    return plans[key]
+
+
 def attributed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.delay_attribution(op.enrich(fixture.fulfilment_lines(spark, sf_dir)))
+    return _plan(spark, ("lines", sf_dir), lambda: op.delay_attribution(
+        op.enrich(fixture.fulfilment_lines(spark, sf_dir))))
+
+
+def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, ("sellers", sf_dir), lambda: fixture.sellers(spark, sf_dir))
+
+
+def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, ("customers", sf_dir), lambda: fixture.customers(spark, sf_dir))
+
+
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, ("products", sf_dir), lambda: fixture.products(spark, sf_dir))
+
+
+def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, ("cities", sf_dir), lambda: fixture.cities(spark, sf_dir))
 
 
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.seller_profile(op.seller_month(attributed_lines(spark, sf_dir)))
+    return _plan(spark, ("profile", sf_dir), lambda: op.seller_profile(
+        op.seller_month(attributed_lines(spark, sf_dir))))
 
 
 def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,44 +87,44 @@ def q_black_sellers_rfm(spark, sf_dir):
 
 
 def q_city_cleanse(spark, sf_dir):
-    return op.city_cleanse(fixture.sellers(spark, sf_dir), fixture.cities(spark, sf_dir)).select(
+    return op.city_cleanse(sellers(spark, sf_dir), cities(spark, sf_dir)).select(
         "seller_id", "city_raw", "state", "city_key", "city")
 
 
 def q_city_unmatched(spark, sf_dir):
-    return op.unmatched_cities(fixture.customers(spark, sf_dir), fixture.cities(spark, sf_dir))
+    return op.unmatched_cities(customers(spark, sf_dir), cities(spark, sf_dir))
 
 
 def q_regional_bottlenecks(spark, sf_dir):
-    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), fixture.sellers(spark, sf_dir),
-                                   fixture.cities(spark, sf_dir), role="seller", level="city")
+    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), sellers(spark, sf_dir),
+                                   cities(spark, sf_dir), role="seller", level="city")
 
 
 def q_regional_bottlenecks_rollup(spark, sf_dir):
-    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), fixture.sellers(spark, sf_dir),
-                                   fixture.cities(spark, sf_dir), role="seller", level="rollup")
+    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), sellers(spark, sf_dir),
+                                   cities(spark, sf_dir), role="seller", level="rollup")
 
 
 def q_regional_bottlenecks_customer(spark, sf_dir):
-    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), fixture.customers(spark, sf_dir),
-                                   fixture.cities(spark, sf_dir), role="customer", level="state")
+    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), customers(spark, sf_dir),
+                                   cities(spark, sf_dir), role="customer", level="state")
 
 
 def q_seller_blame_shares(spark, sf_dir):
-    return op.seller_blame_shares(attributed_lines(spark, sf_dir), fixture.products(spark, sf_dir))
+    return op.seller_blame_shares(attributed_lines(spark, sf_dir), products(spark, sf_dir))
 
 
 def q_seller_blame_deciles(spark, sf_dir):
-    return op.seller_blame_deciles(attributed_lines(spark, sf_dir), fixture.products(spark, sf_dir))
+    return op.seller_blame_deciles(attributed_lines(spark, sf_dir), products(spark, sf_dir))
 
 
 def q_category_blame_deciles(spark, sf_dir):
-    return op.seller_blame_deciles(attributed_lines(spark, sf_dir), fixture.products(spark, sf_dir),
+    return op.seller_blame_deciles(attributed_lines(spark, sf_dir), products(spark, sf_dir),
                                    n=4, grain="category")
 
 
 def q_spec_delay_correlation(spark, sf_dir):
-    return op.spec_delay_correlation(attributed_lines(spark, sf_dir), fixture.products(spark, sf_dir))
+    return op.spec_delay_correlation(attributed_lines(spark, sf_dir), products(spark, sf_dir))
 
 
 def q_tenure_vs_delay(spark, sf_dir):
@@ -133,7 +165,7 @@ def q_seller_penalty_ranking(spark, sf_dir):
 
 
 def q_fulfilment_priority_groups(spark, sf_dir):
-    return op.fulfilment_priority_groups(attributed_lines(spark, sf_dir), fixture.products(spark, sf_dir))
+    return op.fulfilment_priority_groups(attributed_lines(spark, sf_dir), products(spark, sf_dir))
 
 
 def q_new_seller_watchlist(spark, sf_dir):
