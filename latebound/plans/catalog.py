@@ -49,6 +49,22 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, ("cities", sf_dir), lambda: fixture.cities(spark, sf_dir))
 
 
+def prepare(spark: SparkSession, sf_dir: str, store: str) -> None:
+    """Derive the canonical tables of ``sf_dir`` once, write them to
+    ``store`` and let every later query of this session on ``sf_dir`` read
+    the prepared tables instead of re-deriving them."""
+    from ..sources.store import read_canonical, write_canonical
+
+    write_canonical(fixture.canonical(spark, sf_dir), store)
+    c = read_canonical(spark, store)
+    plans = _PLANS.setdefault(spark, {})
+    for key in [k for k in plans if k[1] == sf_dir]:
+        del plans[key]
+    plans[("lines", sf_dir)] = op.delay_attribution(op.enrich(c.lines))
+    for name in ("sellers", "customers", "products", "cities"):
+        plans[(name, sf_dir)] = getattr(c, name)
+
+
 def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, ("profile", sf_dir), lambda: op.seller_profile(
         op.seller_month(attributed_lines(spark, sf_dir))))
