@@ -95,7 +95,10 @@ def global_row_number(df: DataFrame, order: OrderSpec, out: str = "rn",
     cuts: list[tuple] = []
     if n_ranges > 1:
         fraction = min(1.0, 1.2 * sample_rows / n_rows)
-        sample = [tuple(r) for r in src.select(*names).sample(False, fraction, _SEED).collect()]
+        # the limit is a hard bound on what reaches the driver; the sample only
+        # decides how even the ranges are, never the result
+        picked = src.select(*names).sample(False, fraction, _SEED).limit(2 * sample_rows)
+        sample = [tuple(r) for r in picked.collect()]
         sample.sort(key=_compare(order))
         if sample:
             step = len(sample) / n_ranges

@@ -53,3 +53,18 @@ def test_row_number_ranges_and_plan(spark):
     assert n == 1000 and got == list(range(1, 1001))
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+
+
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.integers(min_value=0, max_value=4), min_size=1, max_size=120),
+       n=st.integers(min_value=1, max_value=15),
+       rows_per_range=st.integers(min_value=3, max_value=60),
+       ascending=st.booleans())
+def test_ntile_property(spark, values, n, rows_per_range, ascending):
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v int")
+    order = [("v", ascending), ("id", True)]
+    assert _ours(df, n, order, rows_per_range) == _reference(df, n, order)
