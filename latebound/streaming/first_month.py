@@ -8,8 +8,10 @@ passes the end of that month. A later line of an older month (still inside
 the watermark) moves the first month back.
 
 State per seller is five numbers, so the state store grows with the number
-of sellers, never with lines; a seller with a third of all lines is
-pre-reduced per micro-batch by Arrow batches of its group.
+of sellers, never with lines. Before the shuffle to the stateful step a
+stateless map-side combine reduces the lines to one row per (seller,
+month) and Arrow chunk, so a seller holding a third of all lines does not
+send its lines to one task.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from ..functions.dates import month_index, month_label
 from ..session import checkpoint_root
 
 EVENT_SCHEMA = "seller_id long, ordered_at timestamp, m_idx int, late int, cents long"
+COMBINED_SCHEMA = ("seller_id long, m_idx int, ordered_at timestamp, delivered long, late long, "
+                   "cents long")
 STATE_SCHEMA = "first_m int, delivered long, late long, cents long, closed boolean, seq long"
 OUTPUT_SCHEMA = ("seller_id long, first_m int, delivered long, late long, cents long, "
                  "final boolean, seq long")
@@ -61,8 +65,8 @@ def _first_month_step(key: tuple, batches: Iterator[pd.DataFrame],
             first_m, delivered, late, cents = m, 0, 0, 0
         part = pdf[pdf["m_idx"] == first_m]
         if not part.empty:
-            delivered += int(part["late"].notna().sum())
-            late += int((part["late"] == 1).sum())
+            delivered += int(part["delivered"].sum())
+            late += int(part["late"].sum())
             cents += int(part["cents"].sum())
             changed = True
     if first_m is None:
@@ -87,13 +91,30 @@ def line_events(attributed: DataFrame) -> DataFrame:
         (F.col("price") * 100).cast("long").alias("cents"))
 
 
+def _combine(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Map-side combine: one row per (seller, month) and Arrow chunk, so a
+    seller holding a third of all lines reaches the stateful step as a
+    handful of rows per input partition, not as its lines."""
+    for pdf in chunks:
+        if pdf.empty:
+            continue
+        pdf = pdf.assign(delivered=pdf["late"].notna().astype("int64"),
+                         late=(pdf["late"] == 1).astype("int64"))
+        yield (pdf.groupby(["seller_id", "m_idx"], as_index=False)
+               .agg(ordered_at=("ordered_at", "max"), delivered=("delivered", "sum"),
+                    late=("late", "sum"), cents=("cents", "sum")))
+
+
 def first_month_monitor(events: DataFrame, delay: str = "7 days") -> DataFrame:
     """Streaming first-month records per seller (see module doc).
 
     ``events`` has :data:`EVENT_SCHEMA` (see :func:`line_events`); ``delay``
-    is how late a line may arrive and still count.
+    is how late a line may arrive and still count. Lines are combined per
+    (seller, month) inside each input partition before the shuffle to the
+    stateful step.
     """
-    return (events.withWatermark("ordered_at", delay)
+    return (events.mapInPandas(_combine, COMBINED_SCHEMA)
+            .withWatermark("ordered_at", delay)
             .groupBy("seller_id")
             .applyInPandasWithState(_first_month_step, OUTPUT_SCHEMA, STATE_SCHEMA, "update",
                                     GroupStateTimeout.EventTimeTimeout))
@@ -119,20 +140,24 @@ def label_records(records: DataFrame, excellent_max: float = 0.0, severe_min: fl
 
 
 def replay_first_month(spark: SparkSession, attributed: DataFrame, slices: int = 8,
-                       delay: str = "7 days", timeout_s: int = 600) -> DataFrame:
+                       delay: str = "7 days", timeout_s: int = 3600,
+                       rows_per_slice: int = 2_000_000) -> DataFrame:
     """Replay attributed lines through the monitor as a stream and return
     the labelled final state (equal to the batch cohorts).
 
-    The lines are written as ``slices`` time-ordered files, one write after
-    the other (a file stream takes files in modification order), under the
-    checkpoint folder; the stream reads one file per micro-batch, and
+    The lines are written as time-ordered files, one write after the other
+    (a file stream takes files in modification order), under the checkpoint
+    folder: at least ``slices`` of them and more as the data grows, so that
+    no file (one writing task) holds more than ``rows_per_slice`` lines; the stream reads one file per micro-batch, and
     ``foreachBatch`` appends each batch's records as Parquet (idempotent per
     batch id), so no result passes through the driver.
     """
     root = f"{checkpoint_root(spark)}/latebound/stream-{uuid.uuid4().hex}"
     events = line_events(attributed)
-    bounds = events.agg(F.min("ordered_at").alias("lo"), F.max("ordered_at").alias("hi")).first()
+    bounds = events.agg(F.min("ordered_at").alias("lo"), F.max("ordered_at").alias("hi"),
+                        F.count(F.lit(1)).alias("n")).first()
     lo, hi = bounds["lo"], bounds["hi"]
+    slices = max(slices, -(-bounds["n"] // rows_per_slice))
     span = (hi - lo) / slices
     for i in range(slices):
         start = lo + span * i
