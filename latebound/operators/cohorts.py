@@ -86,6 +86,12 @@ def cohort_retention(sm: DataFrame, cohorts: DataFrame, horizon: int | None = 24
         ratio(act, "observable").alias("retention_observable"))
 
 
+def long_term_retention(retention: DataFrame, k: int = 12) -> DataFrame:
+    """The retention table at one offset (``k = 12``: still selling a year
+    after the first sale), one row per label."""
+    return retention.where(F.col("k") == k)
+
+
 def new_seller_watchlist(cohorts: DataFrame, min_delivered: int = 2) -> DataFrame:
     """Sellers whose first month was ``severe`` on at least
     ``min_delivered`` delivered lines: candidates for early monitoring."""

@@ -170,6 +170,10 @@ def q_cohort_retention_active(spark, sf_dir):
     return _retention(spark, sf_dir, None)
 
 
+def q_cohort_long_term_retention(spark, sf_dir):
+    return op.long_term_retention(_retention(spark, sf_dir, 24), k=12)
+
+
 def q_first_month_cohorts_stream(spark, sf_dir):
     from ..streaming import replay_first_month
 
@@ -214,6 +218,7 @@ QUERIES: dict[str, Query] = {
     "first_month_cohorts_stream": q_first_month_cohorts_stream,
     "cohort_retention": q_cohort_retention,
     "cohort_retention_active": q_cohort_retention_active,
+    "cohort_long_term_retention": q_cohort_long_term_retention,
     "seller_penalty_ranking": q_seller_penalty_ranking,
     "fulfilment_priority_groups": q_fulfilment_priority_groups,
     "new_seller_watchlist": q_new_seller_watchlist,

@@ -445,3 +445,7 @@ FROM profile WHERE tenure >= 13 AND late_rate <= 0.05"""),
 
 # The streaming replay's final state is the batch cohort table.
 ORACLE_SQL["first_month_cohorts_stream"] = ORACLE_SQL["first_month_cohorts"]
+
+# Retention one year after the first sale.
+ORACLE_SQL["cohort_long_term_retention"] = (
+    "SELECT * FROM (\n" + ORACLE_SQL["cohort_retention"] + "\n) WHERE k = 12")

@@ -1,9 +1,9 @@
 """Scans and sinks: raw Parquet readers and the canonical fixture tables."""
 
 from .fixture import Canonical, canonical, cities, customers, fulfilment_lines, products, sellers
-from .raw import read_table, write_result
+from .raw import read_city_lookup, read_table, write_result
 
 __all__ = [
     "Canonical", "canonical", "cities", "customers", "fulfilment_lines", "products",
-    "read_table", "sellers", "write_result",
+    "read_city_lookup", "read_table", "sellers", "write_result",
 ]

@@ -33,6 +33,19 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return df.select(*columns) if columns else df
 
 
+CITY_LOOKUP_SCHEMA = "city STRING, state STRING"
+
+
+def read_city_lookup(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """A clean city list (``city, state``) from CSV (with header) or Parquet,
+    with its lookup key added: the ``cities`` table of the canonical model."""
+    from ..functions.city import city_key
+
+    reader = spark.read.schema(CITY_LOOKUP_SCHEMA)
+    df = reader.option("header", "true").csv(path) if fmt == "csv" else reader.parquet(path)
+    return df.select(city_key("city").alias("city_key"), "city", "state")
+
+
 def write_result(df: DataFrame, path: str, partition_by: list[str] | None = None,
                  fmt: str = "parquet", mode: str = "overwrite") -> None:
     """Sink for a result table (Parquet by default, CSV for hand-off)."""

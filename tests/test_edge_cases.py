@@ -157,3 +157,12 @@ def test_schema_validation(spark):
     bad = spark.createDataFrame([(1,)], "order_id long")
     with pytest.raises(ValueError):
         op.enrich(bad)
+
+
+def test_city_lookup_from_csv(spark, tmp_path):
+    from latebound.sources import read_city_lookup
+
+    p = tmp_path / "cities.csv"
+    p.write_text("city,state\nSão Paulo,SP\nRio de Janeiro,RJ\n", encoding="utf-8")
+    got = sorted(tuple(r) for r in read_city_lookup(spark, str(p)).collect())
+    assert got == [("rio de janeiro", "Rio de Janeiro", "RJ"), ("sao paulo", "São Paulo", "SP")]
