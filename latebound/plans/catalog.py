@@ -7,6 +7,7 @@ import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import operators as op
 from ..session import materialize
@@ -85,11 +86,10 @@ def q_delay_attribution_lines(spark, sf_dir):
 
 
 def q_late_revenue_monthly(spark, sf_dir):
-    return op.late_revenue_monthly(attributed_lines(spark, sf_dir))
+    return op.late_revenue_monthly(attributed_lines(spark, sf_dir)).orderBy("month")
 
 
 def q_seller_month(spark, sf_dir):
-    from pyspark.sql import functions as F
     sm = op.seller_month(attributed_lines(spark, sf_dir))
     return sm.withColumn("revenue", F.col("revenue").cast("double"))
 
@@ -99,7 +99,7 @@ def q_rfm_scores(spark, sf_dir):
 
 
 def q_black_sellers_rfm(spark, sf_dir):
-    return op.black_sellers_rfm(profile(spark, sf_dir))
+    return op.black_sellers_rfm(profile(spark, sf_dir)).orderBy(F.desc("monetary"), "seller_id")
 
 
 def q_city_cleanse(spark, sf_dir):
@@ -131,7 +131,7 @@ def q_seller_blame_shares(spark, sf_dir):
 
 
 def q_seller_blame_deciles(spark, sf_dir):
-    return op.seller_blame_deciles(attributed_lines(spark, sf_dir), products(spark, sf_dir))
+    return op.seller_blame_deciles(attributed_lines(spark, sf_dir), products(spark, sf_dir)).orderBy("decile")
 
 
 def q_category_blame_deciles(spark, sf_dir):
@@ -144,7 +144,9 @@ def q_spec_delay_correlation(spark, sf_dir):
 
 
 def q_tenure_vs_delay(spark, sf_dir):
-    return op.tenure_vs_delay(profile(spark, sf_dir))
+    b = F.col("bucket")
+    rank = F.when(b == "1", 1).when(b == "2-6", 2).when(b.startswith("7-"), 3).otherwise(4)
+    return op.tenure_vs_delay(profile(spark, sf_dir)).orderBy(rank)
 
 
 def q_tenure_gap(spark, sf_dir):
@@ -163,7 +165,7 @@ def _retention(spark, sf_dir, horizon):
 
 
 def q_cohort_retention(spark, sf_dir):
-    return _retention(spark, sf_dir, 24)
+    return _retention(spark, sf_dir, 24).orderBy("label", "k")
 
 
 def q_cohort_retention_active(spark, sf_dir):
@@ -181,7 +183,7 @@ def q_first_month_cohorts_stream(spark, sf_dir):
 
 
 def q_seller_penalty_ranking(spark, sf_dir):
-    return op.seller_penalty_ranking(profile(spark, sf_dir))
+    return op.seller_penalty_ranking(profile(spark, sf_dir)).orderBy("adjusted_rank")
 
 
 def q_fulfilment_priority_groups(spark, sf_dir):

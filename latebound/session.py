@@ -16,7 +16,7 @@ _MATERIALIZE_SUBDIR = "latebound"
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
-                  app_name: str = "latebound") -> SparkSession:
+                  app_name: str = "latebound", java_options: str | None = None) -> SparkSession:
     """A local session configured the way a cluster job would be: AQE on
     (coalescing, skew-join splitting), UI off, UTC, Arrow enabled."""
     builder = (
@@ -32,6 +32,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "8g")
     )
+    if java_options:
+        builder = builder.config("spark.driver.extraJavaOptions", java_options)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
