@@ -58,21 +58,55 @@ def test_planted_directions(spark, att):
 
 
 LINE_GRAIN = ["delay_attribution", "late_revenue_monthly", "seller_month", "regional_bottlenecks",
-              "tenure_vs_delay", "cohort_retention", "fulfilment_priority_groups", "first_month_cohorts"]
+              "tenure_vs_delay", "tenure_gap", "spec_delay_correlation", "cohort_retention",
+              "fulfilment_priority_groups", "first_month_cohorts"]
+
+
+def _subtrees_below_single_partition(plan: str):
+    lines = plan.split("== Initial Plan ==")[0].split("\n")
+    for i, line in enumerate(lines):
+        if "Exchange SinglePartition" in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            sub = []
+            for nxt in lines[i + 1:]:
+                if len(nxt) - len(nxt.lstrip(" :+-")) <= depth:
+                    break
+                sub.append(nxt)
+            yield sub
 
 
 @pytest.mark.parametrize("name", LINE_GRAIN)
 def test_no_single_partition_over_lines(spark, name):
-    """No operator moves the line fact into one task: a SinglePartition
-    exchange may only appear above an aggregate of bounded size (months)."""
+    """No operator moves the line fact into one task: below any
+    SinglePartition exchange an aggregate comes before the fact scan."""
     df = QUERIES[name](spark, SF01)
+    df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString()
-    for chunk in plan.split("Exchange SinglePartition")[1:]:
-        below = chunk.split("\n")[1] if "\n" in chunk else ""
-        assert "HashAggregate" in below or "Project" in below, plan
+    for sub in _subtrees_below_single_partition(plan):
+        text = "\n".join(sub)
+        if "lineitem" not in text:
+            continue
+        first_agg = min((k for k, l in enumerate(sub) if "HashAggregate" in l), default=len(sub))
+        first_scan = min(k for k, l in enumerate(sub) if "lineitem" in l)
+        assert first_agg < first_scan, text
 
 
 def test_scans_are_pruned(spark):
     df = QUERIES["delay_attribution"](spark, SF01)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "l_quantity" not in plan and "l_shipdate" not in plan and "c_acctbal" not in plan
+
+
+def test_single_partition_check_detects_a_global_window(spark, att):
+    from pyspark.sql import Window
+
+    bad = att.withColumn("rn", F.row_number().over(Window.orderBy("order_id", "line_no", "seller_id")))
+    bad.write.format("noop").mode("overwrite").save()
+    plan = bad._jdf.queryExecution().executedPlan().toString()
+    flagged = []
+    for sub in _subtrees_below_single_partition(plan):
+        if any("lineitem" in line for line in sub):
+            first_agg = min((k for k, x in enumerate(sub) if "HashAggregate" in x), default=len(sub))
+            first_scan = min(k for k, x in enumerate(sub) if "lineitem" in x)
+            flagged.append(first_agg > first_scan)
+    assert flagged and all(flagged)
