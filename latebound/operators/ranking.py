@@ -1,72 +1,44 @@
-"""Global row numbers and NTILE without a single-partition window.
+"""Global row numbers and NTILE without moving all rows into one task.
 
 ``F.ntile(n).over(Window.orderBy(...))`` has no ``partitionBy``, so Spark
-moves every row to one task (``Exchange SinglePartition``). Here the order
-is split into contiguous ranges instead, the way a range partitioner does:
-
-1. a bounded sample of the sort keys gives P-1 cut tuples (driver sees at
-   most ``sample_rows`` small tuples);
-2. every row gets the number of cuts before it (a balanced CASE tree of
-   literal comparisons, log2(P) deep, stays in codegen);
-3. one aggregate counts rows per range (P numbers back to the driver) and
-   turns them into offsets;
-4. ``row_number()`` inside each range plus its offset is the global row
-   number; NTILE follows from it arithmetically.
-
-The cut tuples include a unique key, so ties in the value never pile into
-one range, and the result does not depend on the sample (only the balance
-does). The input is read three times; callers pass a materialized table.
+moves every row to one task (``Exchange SinglePartition``). Here, above
+``rows_per_range`` rows, the order is cut into contiguous ranges:
+
+1. ``repartitionByRange(P, order)`` places each row in its range (Spark's
+   range partitioner samples the keys, a bounded sample per input
+   partition, and binary-searches the bounds per row), and
+   ``sortWithinPartitions`` orders each range;
+2. the range id (``spark_partition_id``) and the position inside the range
+   (``monotonically_increasing_id`` minus the range's base) are written
+   with the rows to the checkpoint folder, so every later read sees the
+   same placement (a recomputed range partitioning could choose other
+   bounds);
+3. one aggregate counts rows per range (P numbers back to the driver),
+   which become offsets; global row number = offset + position + 1.
+   NTILE follows arithmetically.
+
+The order ends with a unique key, so ties in the value never pile into one
+range. Up to ``rows_per_range`` rows the window runs in one partition, a
+bounded amount of work.
 """
 
 from __future__ import annotations
 
-import functools
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # (column name, ascending)
 OrderSpec = Sequence[tuple[str, bool]]
 
 DEFAULT_ROWS_PER_RANGE = 250_000
-MAX_RANGES = 512
-SAMPLE_ROWS = 10_000
-_SEED = 17
-
-
-def _after(order: OrderSpec, cut: tuple) -> Column:
-    """Row tuple strictly after ``cut`` in the lexicographic order."""
-    expr = None
-    for (name, asc), value in reversed(list(zip(order, cut))):
-        col, lit = F.col(name), F.lit(value)
-        strictly = col > lit if asc else col < lit
-        expr = strictly if expr is None else (strictly | ((col == lit) & expr))
-    return expr
-
-
-def _range_id(order: OrderSpec, cuts: list[tuple]) -> Column:
-    """Number of cuts strictly before the row (0..len(cuts))."""
-
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_after(order, cuts[mid]), build(mid + 1, hi)).otherwise(build(lo, mid))
-
-    return build(0, len(cuts))
-
-
-def _compare(order: OrderSpec):
-    def cmp(a: tuple, b: tuple) -> int:
-        for (_, asc), x, y in zip(order, a, b):
-            if x != y:
-                less = x < y
-                return (-1 if less else 1) if asc else (1 if less else -1)
-        return 0
-
-    return functools.cmp_to_key(cmp)
+# offsets travel as an array literal up to this many ranges, as a joined
+# table (one row per range) beyond it
+_LITERAL_OFFSETS = 20_000
 
 
 def _order_cols(order: OrderSpec) -> list[Column]:
@@ -75,50 +47,42 @@ def _order_cols(order: OrderSpec) -> list[Column]:
 
 def global_row_number(df: DataFrame, order: OrderSpec, out: str = "rn",
                       rows_per_range: int = DEFAULT_ROWS_PER_RANGE,
-                      sample_rows: int = SAMPLE_ROWS,
                       n_rows: int | None = None,
                       source: DataFrame | None = None) -> tuple[DataFrame, int]:
     """Add ``out`` = 1-based position of each row in ``order``.
 
     ``order`` must be a total order (end it with a unique key) over non-NULL
-    columns. ``n_rows`` saves a count when the caller knows it. ``source``
-    (same rows and order columns as ``df``, typically the materialized table
-    ``df`` was derived from by earlier rankings) is what the sample and the
-    range counts read, so chained rankings never recompute earlier windows.
-    Returns the frame and the row count.
+    columns. ``n_rows`` saves a count when the caller knows it; ``source``
+    (same rows as ``df``, e.g. the materialized table ``df`` derives from)
+    is what that count reads. Returns the frame and the row count.
     """
-    names = [n for n, _ in order]
-    src = df if source is None else source
     if n_rows is None:
-        n_rows = src.count()
-    n_ranges = max(1, min(MAX_RANGES, math.ceil(n_rows / max(1, rows_per_range))))
-    cuts: list[tuple] = []
-    if n_ranges > 1:
-        fraction = min(1.0, 1.2 * sample_rows / n_rows)
-        # the limit is a hard bound on what reaches the driver; the sample only
-        # decides how even the ranges are, never the result
-        picked = src.select(*names).sample(False, fraction, _SEED).limit(2 * sample_rows)
-        sample = [tuple(r) for r in picked.collect()]
-        sample.sort(key=_compare(order))
-        if sample:
-            step = len(sample) / n_ranges
-            picks = sorted({min(len(sample) - 1, int(round(step * (i + 1)))) for i in range(n_ranges - 1)})
-            cuts = [sample[i] for i in picks]
-    rid = "_range"
-    range_id = _range_id(order, cuts) if cuts else F.lit(0)
-    ranged = df.withColumn(rid, range_id)
-    if cuts:
-        counts = dict(src.select(range_id.alias(rid)).groupBy(rid).count().collect())
-        offsets, acc = [], 0
-        for r in range(len(cuts) + 1):
-            offsets.append(acc)
-            acc += counts.get(r, 0)
-        offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(rid) + 1)
+        n_rows = (df if source is None else source).count()
+    cols = _order_cols(order)
+    n_ranges = max(1, math.ceil(n_rows / max(1, rows_per_range)))
+    if n_ranges == 1:
+        ranked = df.withColumn(out, F.row_number().over(Window.orderBy(*cols)).cast("long"))
+        return ranked, n_rows
+
+    placed = (df.repartitionByRange(n_ranges, *cols)
+              .sortWithinPartitions(*cols)
+              .withColumn("_range", F.spark_partition_id())
+              .withColumn("_pos", F.monotonically_increasing_id()
+                          - F.shiftleft(F.col("_range").cast("long"), 33)))
+    placed = materialize(placed, "ranged")
+    counts = dict(placed.groupBy("_range").count().collect())
+    offsets, acc = [], 0
+    for r in range(max(counts) + 1):
+        offsets.append(acc)
+        acc += counts.get(r, 0)
+    if len(offsets) <= _LITERAL_OFFSETS:
+        offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_range") + 1)
+        placed = placed.withColumn("_offset", offset)
     else:
-        offset = F.lit(0).cast("long")
-    w = Window.partitionBy(rid).orderBy(*_order_cols(order))
-    ranked = ranged.withColumn(out, (F.row_number().over(w) + offset).cast("long")).drop(rid)
-    return ranked, n_rows
+        table = df.sparkSession.createDataFrame(list(enumerate(offsets)), "_range int, _offset long")
+        placed = placed.join(F.broadcast(table), "_range")  # one row per range: bounded by P
+    ranked = placed.withColumn(out, (F.col("_offset") + F.col("_pos") + 1).cast("long"))
+    return ranked.drop("_range", "_pos", "_offset"), n_rows
 
 
 def ntile_from_row_number(rn: Column, n_rows: int, n_bins: int) -> Column:
