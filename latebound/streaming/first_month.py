@@ -141,7 +141,8 @@ def label_records(records: DataFrame, excellent_max: float = 0.0, severe_min: fl
 
 def replay_first_month(spark: SparkSession, attributed: DataFrame, slices: int = 8,
                        delay: str = "7 days", timeout_s: int = 3600,
-                       rows_per_slice: int = 2_000_000) -> DataFrame:
+                       rows_per_slice: int = 2_000_000,
+                       state_partitions: int | None = None) -> DataFrame:
     """Replay attributed lines through the monitor as a stream and return
     the labelled final state (equal to the batch cohorts).
 
@@ -173,12 +174,21 @@ def replay_first_month(spark: SparkSession, attributed: DataFrame, slices: int =
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (first_month_monitor(stream, delay).writeStream
-             .outputMode("update")
-             .option("checkpointLocation", f"{root}/checkpoint")
-             .foreachBatch(sink)
-             .trigger(availableNow=True)
-             .start())
+    # The state store is split into as many partitions as the shuffle has
+    # when the query first starts (then fixed by its checkpoint): size it to
+    # the cluster's cores, not to the batch-query setting.
+    parts = state_partitions or spark.sparkContext.defaultParallelism
+    previous = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        query = (first_month_monitor(stream, delay).writeStream
+                 .outputMode("update")
+                 .option("checkpointLocation", f"{root}/checkpoint")
+                 .foreachBatch(sink)
+                 .trigger(availableNow=True)
+                 .start())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", previous)
     query.awaitTermination(timeout_s)
     if query.isActive:
         query.stop()
