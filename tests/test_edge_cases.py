@@ -1,6 +1,5 @@
 """Hand-made rows for the edge cases of FIXTURES.md §4."""
 
-from pyspark.sql import functions as F
 
 from helpers import frame, line
 from latebound import operators as op
