@@ -20,3 +20,19 @@ def test_prepared_store_same_results(spark):
         assert after == before
     finally:
         catalog._PLANS.pop(spark, None)
+
+
+def test_prepared_fact_prunes_months(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from latebound.sources import fixture
+    from latebound.sources.store import months_between_filter, read_canonical, write_canonical
+
+    write_canonical(fixture.canonical(spark, SF001), str(tmp_path / "store"))
+    c = read_canonical(spark, str(tmp_path / "store"))
+    picked = months_between_filter(c.lines, "1996-01", "1996-06")
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_month" in plan
+    months = {r[0] for r in picked.select(F.date_format("ordered_at", "yyyy-MM")).distinct().collect()}
+    assert months and all("1996-01" <= m <= "1996-06" for m in months)
+    assert c.lines.count() == fixture.fulfilment_lines(spark, SF001).count()
