@@ -60,10 +60,10 @@ def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                 - (FIRST_MONTH_YEAR * 12 + FIRST_MONTH))
     k0 = (s * 37) % 53
     klen = F.when(s % 11 == 0, 1 + (s * 13) % 11).otherwise(1 + (s * 13) % 31)
-    # Customers join the orders, not the lines: at scale that shuffles the
-    # order table (a quarter of the lines) instead of the kept lines. The
-    # seller's active-month filter runs as part of the first line join.
-    orders = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    # The seller's active-month filter runs as part of the first join. (The
+    # customer table joins last: joined to the orders first, its size
+    # estimate without table statistics is a product, and the planner would
+    # then broadcast the line side instead.)
     kept = li.join(orders, li.l_orderkey == orders.o_orderkey).where(
         fx_month.between(k0, k0 + klen - 1))
 
@@ -80,7 +80,8 @@ def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                    & (h % 5 == 0))
 
     joined = (kept.join(part, kept.l_partkey == part.p_partkey)
-              .join(supp, kept.l_suppkey == supp.s_suppkey))
+              .join(supp, kept.l_suppkey == supp.s_suppkey)
+              .join(cust, kept.o_custkey == cust.c_custkey))
     ordered_at = F.col("o_orderdate")
     # one projection for all derived columns (a chain of withColumn calls
     # re-analyses the whole plan once per call on the driver)

@@ -110,3 +110,20 @@ def test_single_partition_check_detects_a_global_window(spark, att):
             first_scan = min(k for k, x in enumerate(sub) if "lineitem" in x)
             flagged.append(first_agg > first_scan)
     assert flagged and all(flagged)
+
+
+@pytest.mark.parametrize("sf", [SF01, "/root/testdata/sf0.1"])
+def test_fact_is_never_broadcast(spark, sf):
+    """Joins stream the line fact and build from the dimension side; a
+    broadcast of the fact would collect it on the driver."""
+    df = QUERIES["delay_attribution"](spark, sf)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    lines = plan.split("\n")
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            depth = len(line) - len(line.lstrip(" :+-"))
+            for nxt in lines[i + 1:]:
+                if len(nxt) - len(nxt.lstrip(" :+-")) <= depth:
+                    break
+                assert "lineitem" not in nxt, plan
