@@ -108,10 +108,11 @@ def seller_profile(sm: DataFrame) -> DataFrame:
     calendar tenure, totals, and the first month's delivery record.
 
     ``min_by`` picks the first month's figures inside the same
-    partial-aggregable pass (no window, no self-join).
+    partial-aggregable hash aggregate (no window, no self-join).
     """
-    first = F.min_by(F.struct(F.col("delivered").alias("d"), F.col("late").alias("l"),
-                              F.col("revenue").alias("r")), F.col("m_idx"))
+    # one min_by per fixed-width value (a struct buffer would force a
+    # sort-based aggregate); revenue travels as exact cents
+    cents = (F.col("revenue") * 100).cast("long")
     return (sm.groupBy("seller_id")
             .agg(F.min("m_idx").alias("first_m"),
                  F.max("m_idx").alias("last_m"),
@@ -127,11 +128,12 @@ def seller_profile(sm: DataFrame) -> DataFrame:
                  F.sum("dispatch_late").cast("long").alias("dispatch_late"),
                  F.sum("delay_sum").cast("long").alias("delay_sum"),
                  F.sum("late_delay_sum").cast("long").alias("late_delay_sum"),
-                 first.alias("_first"))
+                 F.min_by("delivered", "m_idx").cast("long").alias("first_delivered"),
+                 F.min_by("late", "m_idx").cast("long").alias("first_late"),
+                 F.min_by(cents, "m_idx").alias("_first_cents"))
             .select("*",
                     (F.col("last_m") - F.col("first_m") + 1).cast("int").alias("tenure"),
-                    F.col("_first.d").cast("long").alias("first_delivered"),
-                    F.col("_first.l").cast("long").alias("first_late"),
-                    F.col("_first.r").alias("first_revenue"),
+                    (F.col("_first_cents").cast("decimal(20,0)") / 100).cast("decimal(22,2)")
+                    .alias("first_revenue"),
                     ratio("late", "delivered").alias("late_rate"))
-            .drop("_first"))
+            .drop("_first_cents"))

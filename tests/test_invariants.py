@@ -127,3 +127,27 @@ def test_fact_is_never_broadcast(spark, sf):
                 if len(nxt) - len(nxt.lstrip(" :+-")) <= depth:
                     break
                 assert "lineitem" not in nxt, plan
+
+
+@pytest.mark.parametrize("name", LINE_GRAIN)
+def test_fact_shuffles_are_pre_aggregated(spark, name):
+    """Every hash exchange above the line fact moves partial aggregates,
+    never raw lines: a hot key is reduced map-side first."""
+    df = QUERIES[name](spark, SF01)
+    df.collect()
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].split("\n")
+    checked = 0
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" not in line:
+            continue
+        depth = len(line) - len(line.lstrip(" :+-"))
+        sub = []
+        for nxt in lines[i + 1:]:
+            if len(nxt) - len(nxt.lstrip(" :+-")) <= depth:
+                break
+            sub.append(nxt)
+        if any("lineitem" in x for x in sub):
+            first_op = next(x for x in sub if "Project" not in x and "Filter" not in x)
+            assert "HashAggregate" in first_op, "\n".join([line] + sub[:4])
+            checked += 1
+    assert checked > 0 or "lineitem" not in "\n".join(lines)
