@@ -10,3 +10,36 @@ def test_stream_replay_equals_batch(spark):
     got = replay_first_month(spark, att, slices=4)
     want = catalog.q_first_month_cohorts(spark, SF001).select(*got.columns)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_out_of_order_month_moves_first_month_back_and_closes(spark, tmp_path):
+    """Batch 1 brings month 3 of seller 7, batch 2 (inside the watermark)
+    brings month 2: the first month becomes 2. A third batch far later
+    advances the watermark, and the first month is emitted as final."""
+    import datetime as dt
+    import time
+
+    from latebound.streaming.first_month import EVENT_SCHEMA, OUTPUT_SCHEMA, first_month_monitor
+
+    def write(rows):
+        spark.createDataFrame(rows, EVENT_SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # file stream takes files in modification order
+
+    ts = lambda y, m, d: dt.datetime(y, m, d)
+    m = lambda y, mo: y * 12 + mo - 1
+    write([(7, ts(2020, 3, 5), m(2020, 3), 1, 1000), (7, ts(2020, 3, 6), m(2020, 3), 0, 500)])
+    write([(7, ts(2020, 2, 20), m(2020, 2), 0, 200), (7, ts(2020, 2, 21), m(2020, 2), None, 300)])
+    write([(8, ts(2020, 9, 1), m(2020, 9), 0, 100)])
+
+    stream = spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    q = (first_month_monitor(stream, delay="30 days").writeStream.outputMode("update")
+         .option("checkpointLocation", str(tmp_path / "ck"))
+         .foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{out}/batch={i}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    recs = spark.read.schema(OUTPUT_SCHEMA + ", batch long").parquet(out)
+    seven = sorted((r["seq"], r["first_m"], r["delivered"], r["late"], r["cents"], r["final"])
+                   for r in recs.where("seller_id = 7").collect())
+    assert seven[0][1] == m(2020, 3)                      # first seen: March
+    assert seven[-1][1:] == (m(2020, 2), 1, 0, 500, True)  # moved back to February, then closed
