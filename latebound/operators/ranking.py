@@ -13,9 +13,10 @@ moves every row to one task (``Exchange SinglePartition``). Here, above
    with the rows to the checkpoint folder, so every later read sees the
    same placement (a recomputed range partitioning could choose other
    bounds);
-3. one aggregate counts rows per range (P numbers back to the driver),
-   which become offsets; global row number = offset + position + 1.
-   NTILE follows arithmetically.
+3. one aggregate counts rows per range; a running sum turns the counts
+   into offsets (on the driver for up to 20,000 ranges, on the cluster
+   beyond); global row number = offset + position + 1. NTILE follows
+   arithmetically.
 
 The order ends with a unique key, so ties in the value never pile into one
 range. Up to ``rows_per_range`` rows the window runs in one partition, a
@@ -36,8 +37,8 @@ from ..session import materialize
 OrderSpec = Sequence[tuple[str, bool]]
 
 DEFAULT_ROWS_PER_RANGE = 250_000
-# offsets travel as an array literal up to this many ranges, as a joined
-# table (one row per range) beyond it
+# offsets travel as an array literal up to this many ranges, beyond it as a
+# table computed and joined on the cluster
 _LITERAL_OFFSETS = 20_000
 
 
@@ -70,17 +71,23 @@ def global_row_number(df: DataFrame, order: OrderSpec, out: str = "rn",
               .withColumn("_pos", F.monotonically_increasing_id()
                           - F.shiftleft(F.col("_range").cast("long"), 33)))
     placed = materialize(placed, "ranged")
-    counts = dict(placed.groupBy("_range").count().collect())
-    offsets, acc = [], 0
-    for r in range(max(counts) + 1):
-        offsets.append(acc)
-        acc += counts.get(r, 0)
-    if len(offsets) <= _LITERAL_OFFSETS:
+    if n_ranges <= _LITERAL_OFFSETS:
+        # P counts to the driver, offsets back as one array literal
+        counts = dict(placed.groupBy("_range").count().collect())
+        offsets, acc = [], 0
+        for r in range(max(counts) + 1):
+            offsets.append(acc)
+            acc += counts.get(r, 0)
         offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_range") + 1)
         placed = placed.withColumn("_offset", offset)
     else:
-        table = df.sparkSession.createDataFrame(list(enumerate(offsets)), "_range int, _offset long")
-        placed = placed.join(F.broadcast(table), "_range")  # one row per range: bounded by P
+        # many ranges: running sum over the per-range counts (one row per
+        # range, N / rows_per_range rows), joined back; nothing via the driver
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        table = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+                 .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")
+                         .alias("_offset")))
+        placed = placed.join(table, "_range")
     ranked = placed.withColumn(out, (F.col("_offset") + F.col("_pos") + 1).cast("long"))
     return ranked.drop("_range", "_pos", "_offset"), n_rows
 

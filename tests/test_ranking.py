@@ -68,3 +68,13 @@ def test_ntile_property(spark, values, n, rows_per_range, ascending):
     df = spark.createDataFrame(list(enumerate(values)), "id long, v int")
     order = [("v", ascending), ("id", True)]
     assert _ours(df, n, order, rows_per_range) == _reference(df, n, order)
+
+
+def test_many_ranges_offsets_on_the_cluster(spark, monkeypatch):
+    from latebound.operators import ranking
+
+    monkeypatch.setattr(ranking, "_LITERAL_OFFSETS", 2)
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(i, float(rnd.randint(0, 3))) for i in range(400)], "seller_id long, share double")
+    order = [("share", True), ("seller_id", True)]
+    assert _ours(df, 10, order, 30) == _reference(df, 10, order)
