@@ -3,8 +3,7 @@
 At scale the canonical fact should not be re-derived by every analysis.
 ``write_canonical`` writes the five tables once as Parquet: the fact is
 partitioned by order month (month-bounded analyses prune whole folders) and
-clustered by seller inside each month (per-seller aggregates read compact
-runs, row-group statistics skip sellers). ``read_canonical`` reads them back
+clustered by seller inside each month (row-group statistics skip sellers). ``read_canonical`` reads them back
 with their declared schemas.
 """
 
@@ -20,15 +19,21 @@ TABLES = ("lines", "sellers", "customers", "products", "cities")
 MONTH_COL = "order_month"
 
 
-def write_canonical(tables: Canonical, path: str, files_per_month: int | None = None) -> None:
-    """Write ``tables`` under ``path`` (one folder per table)."""
+def write_canonical(tables: Canonical, path: str, files: int | None = None) -> None:
+    """Write ``tables`` under ``path`` (one folder per table).
+
+    The fact is range-partitioned on (month, seller, order) into ``files``
+    tasks (default: the session's shuffle partitions): every task writes a
+    contiguous, balanced slice, so a month is spread over many tasks, a
+    seller's lines sit together inside a month, and the order key splits a
+    seller holding a third of all lines over several tasks.
+    """
     path = path.rstrip("/")
+    spark = tables.lines.sparkSession
+    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = tables.lines.withColumn(MONTH_COL, month_label(month_index("ordered_at")))
-    if files_per_month:
-        lines = lines.repartition(files_per_month, MONTH_COL, "seller_id")
-    else:
-        lines = lines.repartition(MONTH_COL)
-    (lines.sortWithinPartitions(MONTH_COL, "seller_id")
+    (lines.repartitionByRange(n, MONTH_COL, "seller_id", "order_id")
+     .sortWithinPartitions(MONTH_COL, "seller_id")
      .write.mode("overwrite").partitionBy(MONTH_COL).parquet(f"{path}/lines"))
     for name in TABLES[1:]:
         getattr(tables, name).write.mode("overwrite").parquet(f"{path}/{name}")
