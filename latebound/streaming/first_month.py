@@ -140,34 +140,34 @@ def label_records(records: DataFrame, excellent_max: float = 0.0, severe_min: fl
 
 
 def replay_first_month(spark: SparkSession, attributed: DataFrame, slices: int = 8,
-                       delay: str = "7 days", timeout_s: int = 3600,
-                       rows_per_slice: int = 2_000_000,
+                       timeout_s: int = 3600, files_per_trigger: int = 8,
                        state_partitions: int | None = None) -> DataFrame:
     """Replay attributed lines through the monitor as a stream and return
     the labelled final state (equal to the batch cohorts).
 
-    The lines are written as time-ordered files, one write after the other
-    (a file stream takes files in modification order), under the checkpoint
-    folder: at least ``slices`` of them and more as the data grows, so that
-    no file (one writing task) holds more than ``rows_per_slice`` lines; the stream reads one file per micro-batch, and
-    ``foreachBatch`` appends each batch's records as Parquet (idempotent per
-    batch id), so no result passes through the driver.
+    The lines are written as ``slices`` consecutive time slices, one write
+    job after the other (a file stream takes files in modification order),
+    each with as many files as its partitions give, under the checkpoint
+    folder. The watermark delay is one slice span plus a day, so no line is
+    ever late, whatever the order of the files inside a slice, and a first
+    month closes only after all its lines were read. ``foreachBatch`` writes
+    each batch's records as Parquet (overwrite per batch id, idempotent on
+    retry), so no result passes through the driver.
     """
     root = f"{checkpoint_root(spark)}/latebound/stream-{uuid.uuid4().hex}"
     events = line_events(attributed)
-    bounds = events.agg(F.min("ordered_at").alias("lo"), F.max("ordered_at").alias("hi"),
-                        F.count(F.lit(1)).alias("n")).first()
+    bounds = events.agg(F.min("ordered_at").alias("lo"), F.max("ordered_at").alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
-    slices = max(slices, -(-bounds["n"] // rows_per_slice))
     span = (hi - lo) / slices
+    delay = f"{int(span.total_seconds()) + 86400} seconds"
     for i in range(slices):
-        start = lo + span * i
-        cond = F.col("ordered_at") >= F.lit(start)
+        cond = F.col("ordered_at") >= F.lit(lo + span * i)
         if i < slices - 1:
             cond = cond & (F.col("ordered_at") < F.lit(lo + span * (i + 1)))
-        events.where(cond).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        events.where(cond).write.mode("append").parquet(f"{root}/in")
 
-    stream = (spark.readStream.schema(EVENT_SCHEMA).option("maxFilesPerTrigger", 1)
+    stream = (spark.readStream.schema(EVENT_SCHEMA)
+              .option("maxFilesPerTrigger", files_per_trigger)
               .parquet(f"{root}/in"))
     out = f"{root}/out"
 
