@@ -16,14 +16,23 @@ def tenure_bucket(tenure: Column, long_months: int = 13) -> Column:
             .otherwise(F.lit(f"{long_months}+")))
 
 
-def tenure_vs_delay(profile: DataFrame, long_months: int = 13) -> DataFrame:
+def _tenure(basis: str) -> Column:
+    """``span``: calendar months from first to last sale; ``active``: months
+    with a sale."""
+    if basis not in ("span", "active"):
+        raise ValueError(f"tenure basis must be span or active, not {basis!r}")
+    return F.col("tenure") if basis == "span" else F.col("active_months")
+
+
+def tenure_vs_delay(profile: DataFrame, long_months: int = 13, basis: str = "span") -> DataFrame:
     """``bucket, sellers, lines, avg_delay_all, avg_delay_late, late_rate``.
 
-    Tenure is the calendar span from first to last month of order. Both
+    Tenure is the calendar span from first to last month of order
+    (``basis='active'``: the number of months with a sale). Both
     averages are line-weighted: over all delivered lines, and over the late
     ones only. Descriptive: survivorship makes long tenure look better.
     """
-    bucketed = profile.withColumn("bucket", tenure_bucket(F.col("tenure"), long_months))
+    bucketed = profile.withColumn("bucket", tenure_bucket(_tenure(basis), long_months))
     return (bucketed.groupBy("bucket")
             .agg(F.count(F.lit(1)).alias("sellers"),
                  F.sum("delivered").cast("long").alias("lines"),
@@ -36,11 +45,11 @@ def tenure_vs_delay(profile: DataFrame, long_months: int = 13) -> DataFrame:
                     ratio("_l", "lines").alias("late_rate")))
 
 
-def tenure_gap(profile: DataFrame, long_months: int = 13) -> DataFrame:
+def tenure_gap(profile: DataFrame, long_months: int = 13, basis: str = "span") -> DataFrame:
     """One row: average delay of one-off sellers minus that of sellers
     active ``long_months``+ months, over all delivered lines and over late
     lines (positive = long-tenure sellers deliver with less delay)."""
-    t = F.col("tenure")
+    t = _tenure(basis)
     one, lng = t <= 1, t >= long_months
 
     def part(cond: Column, col: str) -> Column:
@@ -56,10 +65,10 @@ def tenure_gap(profile: DataFrame, long_months: int = 13) -> DataFrame:
 
 
 def good_seller_badge(profile: DataFrame, long_months: int = 13,
-                      max_late_rate: float = 0.05) -> DataFrame:
+                      max_late_rate: float = 0.05, basis: str = "span") -> DataFrame:
     """Sellers active ``long_months``+ months whose late rate is at most
     ``max_late_rate`` (sellers with nothing delivered have no rate)."""
-    return (profile.where((F.col("tenure") >= long_months)
+    return (profile.where((_tenure(basis) >= long_months)
                           & (F.col("late_rate") <= max_late_rate))
             .select("seller_id", "tenure", "delivered", "late", "late_rate",
                     money_out("revenue").alias("revenue")))

@@ -165,3 +165,18 @@ def test_city_lookup_from_csv(spark, tmp_path):
     p.write_text("city,state\nSão Paulo,SP\nRio de Janeiro,RJ\n", encoding="utf-8")
     got = sorted(tuple(r) for r in read_city_lookup(spark, str(p)).collect())
     assert got == [("rio de janeiro", "Rio de Janeiro", "RJ"), ("sao paulo", "São Paulo", "SP")]
+
+
+def test_second_granularity_and_active_tenure(spark):
+    from datetime import timedelta
+
+    ln = list(line(1, 1, deliver=12, estimate=12))
+    ln[8] = ln[8] + timedelta(hours=3)  # delivered three hours after the promise
+    day = op.enrich(frame(spark, [tuple(ln)])).first()
+    sec = op.enrich(frame(spark, [tuple(ln)]), granularity="second").first()
+    assert (day["late"], sec["late"]) == (0, 1)
+
+    lines = [line(1, 1, month=0), line(2, 1, month=14)]  # span 15, active 2
+    prof = op.seller_profile(op.seller_month(_att(spark, lines)))
+    assert {r["bucket"] for r in op.tenure_vs_delay(prof).collect()} == {"13+"}
+    assert {r["bucket"] for r in op.tenure_vs_delay(prof, basis="active").collect()} == {"2-6"}
