@@ -2,7 +2,8 @@
 data to the driver beyond bounded samples, per-range counts and scalars."""
 
 from .actions import fulfilment_priority_groups, seller_penalty_ranking
-from .cohorts import cohort_retention, first_month_cohorts, long_term_retention, new_seller_watchlist
+from .cohorts import (cohort_retention, first_month_cohorts, long_term_retention, new_seller_watchlist,
+                      signup_month_cohorts)
 from .deciles import blame_by_grain, seller_blame_deciles, seller_blame_shares, spec_delay_correlation
 from .facts import attribution_summary, delay_attribution, enrich, seller_month, seller_profile
 from .monthly import late_revenue_monthly
@@ -17,6 +18,6 @@ __all__ = [
     "fulfilment_priority_groups", "global_row_number", "good_seller_badge",
     "late_revenue_monthly", "long_term_retention", "new_seller_watchlist", "ntile", "regional_bottlenecks",
     "rfm_scores", "seller_blame_deciles", "seller_blame_shares", "seller_month",
-    "seller_penalty_ranking", "seller_profile", "spec_delay_correlation", "tenure_gap",
+    "seller_penalty_ranking", "seller_profile", "signup_month_cohorts", "spec_delay_correlation", "tenure_gap",
     "tenure_vs_delay", "unmatched_cities",
 ]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_label
+from ..functions.dates import month_index, month_label
 from ..functions.rates import money_out, ratio
 
 # Cohort labels.
@@ -13,6 +13,13 @@ EXCELLENT, NORMAL, SEVERE, UNRATED = "excellent", "normal", "severe", "unrated"
 LABELS = (EXCELLENT, NORMAL, SEVERE, UNRATED)
 
 
+def _label(rate, excellent_max: float, severe_min: float):
+    return (F.when(rate.isNull(), F.lit(UNRATED))
+            .when(rate <= excellent_max, F.lit(EXCELLENT))
+            .when(rate >= severe_min, F.lit(SEVERE))
+            .otherwise(F.lit(NORMAL)))
+
+
 def first_month_cohorts(profile: DataFrame, excellent_max: float = 0.0,
                         severe_min: float = 0.5) -> DataFrame:
     """One row per seller: its first month of sales, that month's delivered
@@ -20,10 +27,7 @@ def first_month_cohorts(profile: DataFrame, excellent_max: float = 0.0,
     ``excellent_max``, ``severe`` at least ``severe_min``, ``normal``
     between, ``unrated`` when nothing of that month was delivered)."""
     rate = ratio("first_late", "first_delivered")
-    label = (F.when(rate.isNull(), F.lit(UNRATED))
-             .when(rate <= excellent_max, F.lit(EXCELLENT))
-             .when(rate >= severe_min, F.lit(SEVERE))
-             .otherwise(F.lit(NORMAL)))
+    label = _label(rate, excellent_max, severe_min)
     return profile.select(
         "seller_id", "first_m",
         month_label("first_m").alias("first_month"),
@@ -34,6 +38,28 @@ def first_month_cohorts(profile: DataFrame, excellent_max: float = 0.0,
         money_out("first_revenue").alias("first_revenue"))
 
 
+def signup_month_cohorts(sm: DataFrame, signups: DataFrame, signup_col: str = "signed_up_at",
+                         excellent_max: float = 0.0, severe_min: float = 0.5) -> DataFrame:
+    """Cohorts by the month of sign-up, for data that has it (``signups``:
+    ``seller_id`` and a sign-up timestamp). That month's figures come from
+    :func:`seller_month` by an equi-join on (seller, month); a seller with
+    no sale in its sign-up month is ``unrated``. Same columns as
+    :func:`first_month_cohorts`, so :func:`cohort_retention` takes either."""
+    start = signups.select("seller_id", month_index(F.col(signup_col)).alias("first_m"))
+    month = sm.select("seller_id", F.col("m_idx").alias("first_m"), "delivered", "late", "revenue")
+    joined = start.join(month, ["seller_id", "first_m"], "left")
+    delivered = F.coalesce(F.col("delivered"), F.lit(0)).cast("long")
+    rate = ratio(F.col("late"), delivered)
+    return joined.select(
+        "seller_id", "first_m",
+        month_label("first_m").alias("first_month"),
+        delivered.alias("delivered"),
+        F.coalesce(F.col("late"), F.lit(0)).cast("long").alias("late"),
+        rate.alias("rate"),
+        _label(rate, excellent_max, severe_min).alias("label"),
+        money_out(F.coalesce(F.col("revenue"), F.lit(0).cast("decimal(22,2)"))).alias("first_revenue"))
+
+
 def cohort_retention(sm: DataFrame, cohorts: DataFrame, horizon: int | None = 24) -> DataFrame:
     """``label, k, cohort_size, observable, active, retention,
     retention_observable`` for month offsets ``k`` since the first sale.

@@ -180,3 +180,18 @@ def test_second_granularity_and_active_tenure(spark):
     prof = op.seller_profile(op.seller_month(_att(spark, lines)))
     assert {r["bucket"] for r in op.tenure_vs_delay(prof).collect()} == {"13+"}
     assert {r["bucket"] for r in op.tenure_vs_delay(prof, basis="active").collect()} == {"2-6"}
+
+
+def test_signup_month_cohorts(spark):
+    from datetime import datetime
+
+    # seller 1 signs up in January, first sells in March; seller 2 sells late in its sign-up month
+    lines = [line(1, 1, month=2), line(2, 2, month=0, deliver=20)]
+    sm = op.seller_month(_att(spark, lines))
+    signups = spark.createDataFrame([(1, datetime(2020, 1, 3)), (2, datetime(2020, 1, 5))],
+                                    "seller_id long, signed_up_at timestamp_ntz")
+    coh = {r["seller_id"]: r for r in op.signup_month_cohorts(sm, signups).collect()}
+    assert coh[1]["first_month"] == "2020-01" and coh[1]["label"] == "unrated" and coh[1]["delivered"] == 0
+    assert coh[2]["label"] == "severe" and coh[2]["rate"] == 1.0
+    ret = {(r["label"], r["k"]): r["active"] for r in op.cohort_retention(sm, op.signup_month_cohorts(sm, signups), 3).collect()}
+    assert ret[("unrated", 2)] == 1 and ret[("unrated", 0)] == 0
