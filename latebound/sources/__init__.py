@@ -2,8 +2,10 @@
 
 from .fixture import Canonical, canonical, cities, customers, fulfilment_lines, products, sellers
 from .raw import read_city_lookup, read_table, write_result
+from .store import read_canonical, write_canonical
 
 __all__ = [
     "Canonical", "canonical", "cities", "customers", "fulfilment_lines", "products",
-    "read_city_lookup", "read_table", "sellers", "write_result",
+    "read_canonical", "read_city_lookup", "read_table", "sellers", "write_canonical",
+    "write_result",
 ]
