@@ -18,7 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Lazy plans of the canonical tables, per session and folder. Only the plan
 # objects are reused (building them costs thousands of driver calls); every
-# action still reads and joins the raw Parquet files.
+# action still reads and joins the raw Parquet files. A reused plan keeps its
+# file listing: after files under a folder change, call reset().
 _PLANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
 
 
@@ -29,6 +30,15 @@ def _plan(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> Da
     return plans[key]
 
 
+def reset(spark: SparkSession, sf_dir: str | None = None) -> None:
+    """Forget the reused plans (of one folder, or all) of this session."""
+    plans = _PLANS.get(spark)
+    if plans is None:
+        return
+    for key in [k for k in plans if sf_dir is None or k[1] == sf_dir]:
+        del plans[key]
+
+
 def attributed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, ("lines", sf_dir), lambda: op.delay_attribution(
         op.enrich(fixture.fulfilment_lines(spark, sf_dir))))
@@ -58,9 +68,8 @@ def prepare(spark: SparkSession, sf_dir: str, store: str) -> None:
 
     write_canonical(fixture.canonical(spark, sf_dir), store)
     c = read_canonical(spark, store)
+    reset(spark, sf_dir)
     plans = _PLANS.setdefault(spark, {})
-    for key in [k for k in plans if k[1] == sf_dir]:
-        del plans[key]
     plans[("lines", sf_dir)] = op.delay_attribution(op.enrich(c.lines))
     for name in ("sellers", "customers", "products", "cities"):
         plans[(name, sf_dir)] = getattr(c, name)

@@ -19,7 +19,7 @@ def test_prepared_store_same_results(spark):
         after = {n: sorted(map(tuple, QUERIES[n](spark, SF001).collect())) for n in names}
         assert after == before
     finally:
-        catalog._PLANS.pop(spark, None)
+        catalog.reset(spark, SF001)
 
 
 def test_prepared_fact_prunes_months(spark, tmp_path):
