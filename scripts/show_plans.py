@@ -30,7 +30,21 @@ def summarise(plan: str) -> dict:
             cols = re.sub(r"#\d+L?", "", m.group(1))
             table = re.search(r"/([a-z_]+)(\.parquet)?[,\]]", line)
             scans.append(f"{table.group(1) if table else '?'}[{cols}] pushed[{m.group(2)[:60]}]")
+    stages = {int(x) for x in re.findall(r"\*\((\d+)\)", plan)}
+    outside = set()
+    for line in lines:
+        op = re.sub(r"^[\s:+\-]*", "", line)
+        if not op or op.startswith("*(") or op.startswith("=="):
+            continue
+        name = re.match(r"[A-Za-z]+", op)
+        if name and name.group(0) not in {
+                "AdaptiveSparkPlan", "ResultQueryStage", "ShuffleQueryStage", "BroadcastQueryStage",
+                "AQEShuffleRead", "Exchange", "BroadcastExchange", "ReusedExchange", "TableCacheQueryStage",
+                "ColumnarToRow", "FileScan", "Scan", "Subquery", "WriteFiles", "Execute"}:
+            outside.add(name.group(0))
     return {
+        "codegen_stages": len(stages),
+        "outside_codegen": sorted(outside),
         "shuffles": len(re.findall(r"Exchange hashpartitioning|Exchange rangepartitioning", plan)),
         "reused": plan.count("ReusedExchange"),
         "broadcast_joins": plan.count("BroadcastHashJoin"),
@@ -56,7 +70,8 @@ def main(argv):
         s = summarise(df._jdf.queryExecution().executedPlan().toString())
         print(f"## {name}")
         print(f"shuffles {s['shuffles']} (reused {s['reused']}), broadcast joins {s['broadcast_joins']}, "
-              f"sort-merge joins {s['sort_merge_joins']}, windows {s['windows']}")
+              f"sort-merge joins {s['sort_merge_joins']}, windows {s['windows']}, "
+              f"codegen stages {s['codegen_stages']}, outside codegen {s['outside_codegen'] or '-'}")
         for x in s["single_partition"]:
             print(f"  single partition over: {x}")
         for x in s["scans"]:
