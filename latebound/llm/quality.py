@@ -62,8 +62,9 @@ RULES = (
 )
 
 
-def quality_counts(docs: DataFrame, text_col: str = "text", stop_words: list[str] = STOP_WORDS) -> DataFrame:
-    """``docs`` plus the counts. The steps are separate projections because
+def quality_counts(docs: DataFrame, text_col: str = "text", stop_words: list[str] = STOP_WORDS,
+                   number: str | None = None) -> DataFrame:
+    """``docs`` plus the counts, and a row number called ``number`` if asked for. The steps are separate projections because
     each uses an array several times; Spark runs them in one stage."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     arrays = docs.select(
@@ -101,7 +102,19 @@ def quality_counts(docs: DataFrame, text_col: str = "text", stop_words: list[str
         "n_stop_words": F.size(F.filter(plain, lambda w: w.isin(list(stop_words)))).cast("long"),
     }
     return hashed.select(*[F.col(c) for c in docs.columns if c not in counts],
-                         *[c.alias(name) for name, c in counts.items()])
+                         *[c.alias(name) for name, c in counts.items()],
+                         *([F.monotonically_increasing_id().alias(number)] if number else []))
+
+
+def passing_documents(docs: DataFrame, **options) -> DataFrame:
+    """The documents that the rules keep, with the columns of ``docs``."""
+    cols = docs.columns
+    # Catalyst moves a filter below projections by writing their expressions out in it, here many times over. It
+    # does not pass a projection that numbers rows, so the counts are computed once.
+    numbered = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
+    judged = quality_rules(numbered, text_col=f"c{cols.index('text')}", number="_row", **options)
+    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 
 def compile_rules(rules: tuple[Rule, ...] = RULES) -> tuple[list[Column], Column]:
@@ -122,10 +135,10 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> tuple[list[Column], Column
 
 
 def quality_rules(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
-                  stop_words: list[str] = STOP_WORDS) -> DataFrame:
+                  stop_words: list[str] = STOP_WORDS, number: str | None = None) -> DataFrame:
     """``docs`` plus the counts, ``ok_<rule>``, ``base_failed`` (fewer than 20
     words, or over 30 % of words in repeated windows) and ``kept``."""
-    counted = quality_counts(docs, text_col, stop_words)
+    counted = quality_counts(docs, text_col, stop_words, number)
     flags, verdict = compile_rules(rules)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     names = {f"ok_{r.name}" for r in rules} | {"base_failed", "kept"}

@@ -13,9 +13,13 @@ from pyspark.sql import functions as F
 
 from .bin_completion import pack_documents
 from .mixing import mix_sources
+from .phrase_dedup import repeated_phrases
 from .pii import KINDS, find_personal_data, span_text
 from .quality import quality_rules
 from .simhash import simhash_groups
+from .suffix_dedup import repeated_passages
+from .token_bins import pack_token_rows
+from .token_counts import token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +51,27 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"), shingle=4, max_bits=4)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"), min_words=50)
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["from"].cast("string"), s["to"].cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_repeated", spans.alias("spans"))
+
+
+def op6_token_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pack_token_rows(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return rows.select("shard", "row", "n_tokens", F.crc32("ids").alias("ids_crc32"), "cu_seqlens", "doc_ids", "pieces",
+                       "starts")
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op8_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_phrases(table(spark, sf_dir, "documents"), window=13).select(
+        "doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,6 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_token_bins": op6_token_bins,
+    "op7_token_counts": op7_token_counts,
+    "op8_phrase_dedup": op8_phrase_dedup,
     "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
