@@ -6,7 +6,7 @@ compiled into sharded Aho-Corasick automata, and documents are streamed
 through the automata to locate every occurrence:
 
 1. Of every window, the least hash of its ``gram``-word groups is kept. Two
-   documents that share a window share this value, and only about one of five
+   documents that share a window share this value, and only about one of four
    groups is ever a least one. Values of two documents or more are kept.
 2. In documents that have such a value, the windows with it are hashed.
    Windows of two documents or more are confirmed; the smallest id owns them.
@@ -163,7 +163,7 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_phrases(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13,
-                     gram: int = 5, block: int = 7, shard_words: int = 100_000,
+                     gram: int = 7, block: int = 7, shard_words: int = 100_000,
                      chunk_bytes: int = 16_000_000) -> DataFrame:
     """Per document: ``doc_id, n_words, n_removed, kept_sha256`` and
     ``kept_text`` (the kept words; null where none was removed)."""

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .bin_completion import pack_documents
 from .mixing import mix_sources
+from .nn_descent import near_vectors
 from .phrase_dedup import repeated_phrases
 from .pii import KINDS, find_personal_data, span_text
 from .quality import quality_rules
@@ -33,6 +34,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal_data(table(spark, sf_dir, "documents"))
     base = span_text(F.col("base"))
@@ -81,6 +86,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nn_descent": op1_nn_descent,
     "op2_pii": op2_pii,
     "op3_quality_rules": op3_quality_rules,
     "op4_simhash": op4_simhash,

@@ -7,7 +7,8 @@ hash. So every window of ``min_words`` words holds a kept suffix that goes on
 for at least ``key_words`` words inside the window, at the same place in every
 copy, and about one position of thirteen is kept (50 and 25 words).
 
-1. Suffixes are keyed by a hash of their first ``key_words`` words; keys that
+1. Documents with equal texts are found by a digest, and one stands for all.
+   Suffixes are keyed by a hash of their first ``key_words`` words; keys that
    occur once have no copy and go (a count, summed before the shuffle).
 2. The others are cut out with the words around them and sorted over the
    cluster, twice: by the words from the position on, and by the words before
@@ -168,10 +169,15 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         raise ValueError("gram <= key_words < min_words")
     # Written with a row number: texts are joined with what is found in them, and ids may repeat.
     source = written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"),
+                                 F.sha2(F.col(text_col).cast("binary"), 256).alias("sha"),
                                  F.monotonically_increasing_id().alias("row")), "suffix_docs")
-    keys = source.select("row", "text").mapInPandas(
-        _suffix_keys(min_words, key_words, gram), "row long, place long, key long")
-    shared = written(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"), "suffix_keys")
+    # Exact copies need no search: one of them stands for all.
+    classes = written(source.groupBy("sha").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")),
+                      "suffix_classes")
+    keys = written(source.select("row", "text").mapInPandas(
+        _suffix_keys(min_words, key_words, gram), "row long, place long, key long").join(classes.select("row"), "row"),
+        "suffix_keys")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
     places = written(keys.join(shared, "key").groupBy("row").agg(
         F.collect_list(F.struct("place", "key")).alias("found")), "suffix_places")
     suffixes = written(source.select("row", "text").join(places, "row").mapInPandas(
@@ -180,12 +186,17 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spans = written(found.distinct().groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("found"))
                     .mapInPandas(_spans, "row long, n_repeated long, spans array<struct<from: int, to: int>>"),
                     "suffix_spans")
-    counted = source.mapInPandas(_count_words, f"id {source.schema['id'].dataType.simpleString()}, row long, n_words long")
-    return counted.join(spans, "row", "left").select(
-        F.col("id").alias("doc_id"), "n_words", F.coalesce("n_repeated", F.lit(0)).cast("long").alias("n_repeated"),
-        F.coalesce("spans", F.array().cast("array<struct<from: int, to: int>>")).alias("spans"))
+    classes = classes.join(spans, "row", "left").select("sha", "copies", "n_repeated", "spans")
+    counted = source.mapInPandas(_count_words, f"id {source.schema['id'].dataType.simpleString()}, sha string, n_words long")
+    whole = (F.col("copies") > 1) & (F.col("n_words") >= min_words)
+    span = F.struct(F.lit(0).alias("from"), F.col("n_words").cast("int").alias("to"))
+    return counted.join(classes, counted["sha"].eqNullSafe(classes["sha"])).select(
+        F.col("id").alias("doc_id"), "n_words",
+        F.when(whole, F.col("n_words")).otherwise(F.coalesce("n_repeated", F.lit(0))).cast("long").alias("n_repeated"),
+        F.when(whole, F.array(span)).otherwise(F.coalesce("spans", F.array().cast("array<struct<from: int, to: int>>")))
+        .alias("spans"))
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"id": pdf["id"], "row": pdf["row"], "n_words": [len(byte_words(t)) for t in pdf["text"]]})
+        yield pd.DataFrame({"id": pdf["id"], "sha": pdf["sha"], "n_words": [len(byte_words(t)) for t in pdf["text"]]})
