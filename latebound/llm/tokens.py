@@ -2,11 +2,14 @@
 
 A text is encoded chunk by chunk at places where the tokenizer splits anyway,
 and a bounded memory of chunks already seen spares most calls: natural text
-repeats its words. The ids equal those of encoding the text at once.
+repeats its words. The ids equal those of encoding the text at once. They are
+kept as bytes, little-endian unsigned 32-bit integers, so that a text's ids
+are one join of byte strings.
 """
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from functools import partial
 
@@ -14,20 +17,60 @@ import numpy as np
 import pandas as pd
 
 #: Chunks remembered by a task; beyond it the memory starts anew.
-MEMORY = 300_000
+MEMORY = 600_000
 
+#: How the word-level vocabulary cuts lower-cased text (fixed value of that public tokenizer), with its classes
+#: of letters and numbers written out for characters below U+0250.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ɏ0-9²³¹¼½¾]+"
 
-def word_bpe(path: str) -> tuple[Callable[[str], list[str]], Callable[[list[str]], list[np.ndarray]]]:
+
+def word_bpe(path: str) -> tuple[Callable[[str], list[str]], Callable[[list[str]], list[bytes]]]:
     """A splitter and an encoder for a ``tokenizers`` file that drops white
-    space between words: chunks are the runs between ASCII white space."""
+    space between words: chunks are the runs between ASCII white space.
+
+    Chunks of Latin letters, digits and signs need none of the normaliser's
+    rules but lower case; they are cut into the vocabulary's words here, and
+    the model merges each different word once. Other chunks, and those that
+    may hold a special token, go through the whole tokenizer."""
+    import re
+    from array import array
+
     from tokenizers import Tokenizer
 
+    from .token_counts import byte_symbols
+
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
-
-    def encode(chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
+    merge, cut, known = t.model.tokenize, re.compile(WORD_PATTERN).findall, {}
+    symbols = dict(enumerate(byte_symbols()))
+    # Visible characters below U+0250 are composed already, and all but one become one letter in lower case.
+    latin = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]*").fullmatch
+
+    def as_bytes(ids: list[int]) -> bytes:
+        raw = array("I", ids)
+        if sys.byteorder == "big":
+            raw.byteswap()
+        return raw.tobytes()
+
+    def word_ids(word: str) -> bytes:
+        ids = known.get(word)
+        if ids is None:
+            marks = word if word.isascii() else word.encode().decode("latin-1").translate(symbols)
+            ids = as_bytes([x.id for x in merge(marks)])
+            if len(word) <= 64:
+                known[word] = ids
+        return ids
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        if len(known) > MEMORY:
+            known.clear()
+        out: list[bytes | None] = [
+            b"".join([word_ids(w) for w in cut(c.lower())])
+            if (c.isascii() and c.isprintable() or latin(c)) and "<|" not in c else None for c in chunks]
+        rest = [c for c, ids in zip(chunks, out) if ids is None]
+        whole = iter(t.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
+        return [np.array(next(whole).ids, dtype="<u4").tobytes() if ids is None else ids for ids in out]
 
     return _ascii_words, encode
 
@@ -40,7 +83,7 @@ def _ascii_words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
-def byte_bpe(path: str, pattern: str) -> tuple[Callable[[str], list[str]], Callable[[list[str]], list[np.ndarray]]]:
+def byte_bpe(path: str, pattern: str) -> tuple[Callable[[str], list[str]], Callable[[list[str]], list[bytes]]]:
     """The same for a ``tiktoken`` rank file whose pattern puts a single space
     before a word into the word's token: chunks start at such spaces."""
     import base64
@@ -53,8 +96,8 @@ def byte_bpe(path: str, pattern: str) -> tuple[Callable[[str], list[str]], Calla
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     cut = re.compile(r"(?<=.)(?= \S)", re.S)
 
-    def encode(chunks: list[str]) -> list[np.ndarray]:
-        return [np.array(enc.encode_ordinary(c), dtype="<u4") for c in chunks]
+    def encode(chunks: list[str]) -> list[bytes]:
+        return [np.array(enc.encode_ordinary(c), dtype="<u4").tobytes() for c in chunks]
 
     return partial(_cut, cut), encode
 
@@ -66,24 +109,24 @@ def _cut(cut, text: str) -> list[str]:
 class Encoder:
     """Ids of whole texts by a splitter and an encoder of chunks."""
 
-    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[np.ndarray]]):
+    def __init__(self, split: Callable[[str], list[str]], encode: Callable[[list[str]], list[bytes]]):
         self.split, self.encode, self.seen = split, encode, {}
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None) -> bytes:
         chunks = [] if text is None else self.split(text)
-        if not chunks:
-            return np.empty(0, dtype="<u4")
         if len(self.seen) > MEMORY:
             self.seen = {}
-        seen = self.seen
-        new = [c for c in dict.fromkeys(chunks) if c not in seen]
-        if new:
+        seen, long = self.seen, {}
+        found = list(map(seen.get, chunks))
+        if None not in found:
+            return b"".join(found)
+        new = list({c for c, ids in zip(chunks, found) if ids is None})
+        for c, ids in zip(new, self.encode(new)):
             # Long chunks are not worth remembering beyond this text.
-            own = dict(zip(new, self.encode(new)))
-            seen.update((c, ids) for c, ids in own.items() if len(c) <= 64)
-            if len(own) != sum(len(c) <= 64 for c in own):
-                return np.concatenate([seen[c] if c in seen else own[c] for c in chunks])
-        return np.concatenate([seen[c] for c in chunks])
+            (seen if len(c) <= 64 else long)[c] = ids
+        if long:
+            return b"".join([seen[c] if c in seen else long[c] for c in chunks])
+        return b"".join([seen[c] for c in chunks])
 
 
 def pieces_of(make: Callable[[], Encoder], end_id: int, capacity: int, with_ids: bool):
@@ -94,15 +137,15 @@ def pieces_of(make: Callable[[], Encoder], end_id: int, capacity: int, with_ids:
     import zlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = make()
+        encoder, end = make(), end_id.to_bytes(4, "little")
         cols = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
         for pdf in batches:
             rows, held = [], 0
             for ident, text in zip(pdf["id"], pdf["text"]):
-                ids = np.append(encoder(text), np.array([end_id], dtype="<u4"))
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    raw = ids[at:at + capacity].tobytes()
-                    rows.append((ident, k, at, len(raw) // 4, zlib.crc32(raw)) + ((raw,) if with_ids else ()))
+                ids = encoder(text) + end
+                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                    raw = ids[at:at + 4 * capacity]
+                    rows.append((ident, k, at // 4, len(raw) // 4, zlib.crc32(raw)) + ((raw,) if with_ids else ()))
                     held += len(raw) * with_ids + 64
                 if held > 8_000_000:
                     yield pd.DataFrame(rows, columns=cols)
