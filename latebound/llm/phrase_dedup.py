@@ -12,9 +12,11 @@ through the automata to locate every occurrence:
    Windows of two documents or more are confirmed; the smallest id owns them.
 3. The owner's runs of confirmed windows are passages. Passages are dealt to
    shards by owner, about ``shard_words`` words each.
-4. A document goes to the shards whose passages share a value of step 1 with
-   it. A shard's documents are cut into chunks of about ``chunk_bytes``, so a
-   passage that a third of all documents share is located by many tasks.
+4. Every document is cut into stretches for the shards: the windows that have
+   a value of step 1 in common with the shard's passages. No window elsewhere
+   can match there. A shard's stretches are dealt into chunks of about
+   ``chunk_bytes``, so a passage that a third of all documents share is
+   located by many tasks.
 5. Each chunk compiles its shard's automaton. The patterns are the passages'
    blocks of ``block`` words, cut one after another; a window of at least
    2 * block - 1 words holds a whole block. A block found is extended word by
@@ -106,8 +108,28 @@ def _passages(window: int, gram: int):
     return run
 
 
+def _stretches(window: int, gram: int):
+    """For each shard the stretches of a document whose windows have a value of the shard's passages."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher()
+        for pdf in batches:
+            rows = []
+            for ident, text_hash, text, routes in zip(pdf["id"], pdf["hash"], pdf["text"], pdf["routes"]):
+                words = byte_words(text)
+                values = _values(hasher(words), window, gram)
+                shards: dict[int, list[int]] = {}
+                for r in routes:
+                    shards.setdefault(r["shard"], []).append(r["value"])
+                for shard, own in shards.items():
+                    for a, b in runs(np.isin(values, np.array(own, dtype=np.int64))):
+                        rows.append((ident, text_hash, shard, a, b" ".join(words[a:b + window - 1])))
+            yield pd.DataFrame(rows, columns=["id", "hash", "shard", "first", "words"])
+
+    return run
+
+
 def _locate(passages: list[tuple[object, bytes]], docs: pd.DataFrame, window: int, block: int) -> pd.DataFrame:
-    """Words of each document covered by matches with passages of smaller owners, as runs [from, to)."""
+    """Words of the stretches' documents covered by matches with passages of smaller owners, as runs [from, to)."""
     import ahocorasick
 
     automaton, places, texts = ahocorasick.Automaton(), [], []
@@ -124,8 +146,8 @@ def _locate(passages: list[tuple[object, bytes]], docs: pd.DataFrame, window: in
             places[slot].append((p, at))
     automaton.make_automaton()
     rows = []
-    for ident, text_hash, text in zip(docs["id"], docs["hash"], docs["text"]):
-        words = byte_words(text)
+    for ident, text_hash, first, raw in zip(docs["id"], docs["hash"], docs["first"], docs["words"]):
+        words = raw.split()
         line = " " + b" ".join(words).decode("latin-1") + " "
         stops = np.cumsum([len(w) + 1 for w in words])  # place of the space after each word
         mask, reached = np.zeros(len(words), dtype=bool), {}
@@ -144,7 +166,7 @@ def _locate(passages: list[tuple[object, bytes]], docs: pd.DataFrame, window: in
                 if lo + hi >= window:
                     mask[start - lo:start + hi] = True
         for a, b in runs(mask):
-            rows.append((ident, text_hash, a, b))
+            rows.append((ident, text_hash, first + a, first + b))
     return pd.DataFrame(rows, columns=["id", "hash", "from", "to"])
 
 
@@ -163,7 +185,7 @@ def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def repeated_phrases(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", window: int = 13,
-                     gram: int = 7, block: int = 7, shard_words: int = 100_000,
+                     gram: int = 7, block: int = 7, shard_words: int = 250_000,
                      chunk_bytes: int = 16_000_000) -> DataFrame:
     """Per document: ``doc_id, n_words, n_removed, kept_sha256`` and
     ``kept_text`` (the kept words; null where none was removed)."""
@@ -191,22 +213,24 @@ def repeated_phrases(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shards = max(1, math.ceil(n_words / shard_words))
     passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))
 
-    routes = (cands.select("id", "hash", F.octet_length("text").alias("bytes"), F.explode("vals").alias("value"))
+    routes = (cands.select("id", "hash", F.explode("vals").alias("value"))
               .join(passages.select("shard", F.explode("vals").alias("value")).distinct(), "value")
-              .select("id", "hash", "bytes", "shard").distinct())
-    routes = written(routes, "phrase_routes")
-    chunks = routes.groupBy("shard").agg(F.ceil(F.sum("bytes") / chunk_bytes).alias("chunks"))
-    dealt = (routes.join(chunks, "shard")
-             .withColumn("chunk", F.pmod(F.xxhash64("id", "hash"), "chunks")).select("id", "hash", "shard", "chunk"))
+              .distinct().groupBy("id", "hash")
+              .agg(F.collect_list(F.struct("shard", "value")).alias("routes")))
+    # Repeated rows stream once: their results are the same.
+    stretches = written(cands.select("id", "hash", "text").dropDuplicates(["id", "hash"]).join(routes, ["id", "hash"])
+                        .mapInPandas(_stretches(window, gram),
+                                     f"id {kind}, hash long, shard long, first int, words binary"), "phrase_stretches")
+    chunks = stretches.groupBy("shard").agg(F.ceil(F.sum(F.octet_length("words")) / chunk_bytes).alias("chunks"))
     left = passages.join(chunks, "shard").select(
         "shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "owner", "words")
-    # Repeated rows stream once: their results are the same.
-    right = cands.select("id", "hash", "text").join(dealt, ["id", "hash"]).dropDuplicates(["id", "hash", "shard"])
+    right = stretches.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("id", "hash", "first"), "chunks"))
 
     def locate(known: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         return _locate(list(dict.fromkeys(zip(known["owner"], known["words"]))), texts, window, block)
 
-    found = left.groupBy("shard", "chunk").cogroup(right.groupBy("shard", "chunk")).applyInPandas(
+    found = left.groupBy("shard", "chunk").cogroup(
+        right.select("shard", "chunk", "id", "hash", "first", "words").groupBy("shard", "chunk")).applyInPandas(
         locate, f"id {kind}, hash long, from int, to int")
     found = written(found.groupBy("id", "hash").agg(F.collect_list(F.struct("from", "to")).alias("found")), "phrase_found")
     cut = cands.select("id", "hash", "text").join(found, ["id", "hash"]).mapInPandas(
