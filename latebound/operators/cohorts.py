@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_index, month_label
@@ -10,10 +10,9 @@ from ..functions.rates import money_out, ratio
 
 # Cohort labels.
 EXCELLENT, NORMAL, SEVERE, UNRATED = "excellent", "normal", "severe", "unrated"
-LABELS = (EXCELLENT, NORMAL, SEVERE, UNRATED)
 
 
-def _label(rate, excellent_max: float, severe_min: float):
+def first_month_label(rate, excellent_max: float, severe_min: float):
     return (F.when(rate.isNull(), F.lit(UNRATED))
             .when(rate <= excellent_max, F.lit(EXCELLENT))
             .when(rate >= severe_min, F.lit(SEVERE))
@@ -27,7 +26,7 @@ def first_month_cohorts(profile: DataFrame, excellent_max: float = 0.0,
     ``excellent_max``, ``severe`` at least ``severe_min``, ``normal``
     between, ``unrated`` when nothing of that month was delivered)."""
     rate = ratio("first_late", "first_delivered")
-    label = _label(rate, excellent_max, severe_min)
+    label = first_month_label(rate, excellent_max, severe_min)
     return profile.select(
         "seller_id", "first_m",
         month_label("first_m").alias("first_month"),
@@ -56,7 +55,7 @@ def signup_month_cohorts(sm: DataFrame, signups: DataFrame, signup_col: str = "s
         delivered.alias("delivered"),
         F.coalesce(F.col("late"), F.lit(0)).cast("long").alias("late"),
         rate.alias("rate"),
-        _label(rate, excellent_max, severe_min).alias("label"),
+        first_month_label(rate, excellent_max, severe_min).alias("label"),
         money_out(F.coalesce(F.col("revenue"), F.lit(0).cast("decimal(22,2)"))).alias("first_revenue"))
 
 
@@ -69,47 +68,36 @@ def cohort_retention(sm: DataFrame, cohorts: DataFrame, horizon: int | None = 24
     fixed cohort size; ``retention_observable`` by the sellers whose month
     first+k is not after the data's last month (right censoring).
 
-    With ``horizon`` every k in 0..horizon appears (zero months included),
-    generated per label by ``sequence`` + ``explode``; without it only
-    offsets with activity appear. All joins after the first are between
-    label-by-offset tables of at most labels x (horizon+1) rows.
+    With ``horizon`` every k in 0..horizon appears (zero months included);
+    without it only offsets with activity appear. The seller-months are read
+    for one aggregate by (label, first month, k); with the cohort sizes by
+    (label, first month) it holds all that follows, at most labels x months
+    x months rows. Write ``cohorts`` first (it is read twice).
     """
     data_last = sm.agg(F.max("m_idx")).first()[0]
     members = cohorts.select("seller_id", "first_m", "label")
-    active = (sm.select("seller_id", "m_idx").join(members, "seller_id")
-              .withColumn("k", (F.col("m_idx") - F.col("first_m")).cast("int")))
-    if horizon is not None:
-        active = active.where(F.col("k") <= horizon)
-    active = active.groupBy("label", "k").agg(F.count(F.lit(1)).alias("active"))
-
-    last_k = F.lit(data_last) - F.col("first_m")
-    if horizon is not None:
-        last_k = F.least(last_k, F.lit(horizon))
-    reach = (members.withColumn("k", last_k.cast("int"))
-             .groupBy("label", "k").agg(F.count(F.lit(1)).alias("reach")))
-    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("cohort_size"))
-
-    if horizon is not None:
-        rows = (sizes.select("label", "cohort_size",
-                             F.explode(F.sequence(F.lit(0), F.lit(horizon))).alias("k"))
-                .join(active, ["label", "k"], "left")
-                .join(reach, ["label", "k"], "left"))
-    else:
-        rows = active.join(reach, ["label", "k"], "full").join(sizes, "label")
-    # observable(k) = members whose last observable offset is >= k
-    later = Window.partitionBy("label").orderBy(F.col("k").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("observable", F.sum(F.coalesce(F.col("reach"), F.lit(0))).over(later))
-    if horizon is None:
-        rows = rows.where(F.col("active").isNotNull())
+    k = (F.col("m_idx") - F.col("first_m")).cast("int")
+    active = (sm.select("seller_id", "m_idx").join(members, "seller_id").withColumn("k", k)
+              .groupBy("label", "first_m", "k").agg(F.count(F.lit(1)).alias("active"))
+              .groupBy("label", "k").agg(F.sum("active").alias("active")))
+    sizes = members.groupBy("label", "first_m").agg(F.count(F.lit(1)).alias("n"))
+    # a first month is observable at the offsets up to the data's last month
+    last_k = (F.lit(data_last) - F.col("first_m")).cast("int")
+    top = F.lit(horizon) if horizon is not None else F.greatest(last_k, F.lit(0))
+    spine = (sizes.withColumn("k", F.explode(F.sequence(F.lit(0), top)))
+             .groupBy("label", "k").agg(F.sum(F.when(F.col("k") <= last_k, F.col("n"))).alias("observable")))
+    totals = sizes.groupBy("label").agg(F.sum("n").alias("cohort_size"))
+    how = "left" if horizon is not None else "right"
+    rows = spine.join(active, ["label", "k"], how).join(totals, "label")
     act = F.coalesce(F.col("active"), F.lit(0)).cast("long")
+    observable = F.coalesce(F.col("observable"), F.lit(0)).cast("long")
     return rows.select(
         "label", "k",
         F.col("cohort_size").cast("long").alias("cohort_size"),
-        F.col("observable").cast("long").alias("observable"),
+        observable.alias("observable"),
         act.alias("active"),
         ratio(act, "cohort_size").alias("retention"),
-        ratio(act, "observable").alias("retention_observable"))
+        ratio(act, observable).alias("retention_observable"))
 
 
 def long_term_retention(retention: DataFrame, k: int = 12) -> DataFrame:

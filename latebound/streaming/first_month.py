@@ -1,197 +1,104 @@
 """Early monitoring of new sellers as a Structured Streaming job.
 
-Lines arrive as a stream (e.g. the day's completed order lines). Per seller
-the stateful step keeps the first month of sales and that month's delivered
-and late lines; it emits the seller's current first-month record whenever
-new lines change it, and a final record once the event-time watermark
-passes the end of that month. A later line of an older month (still inside
-the watermark) moves the first month back.
-
-State per seller is five numbers, so the state store grows with the number
-of sellers, never with lines. Before the shuffle to the stateful step a
-stateless map-side combine reduces the lines to one row per (seller,
-month) and Arrow chunk, so a seller holding a third of all lines does not
-send its lines to one task.
+Lines arrive as a stream (e.g. the day's completed order lines). A streaming
+aggregation with a watermark keeps, per seller and day of order, the delivered
+and late lines and the revenue; partial sums before the shuffle reduce a hot
+seller's lines to a row per task. Built-in functions only, no Python on the
+workers. Each micro-batch writes the rows it changed; the latest state of the
+rows gives each seller's first month and its label.
+
+A line is dropped when its day ended before the watermark of the batches
+before; whether other lines share its file makes no difference. Sellers known
+from before the stream began (``known``) keep their first month, so an
+established seller does not count as new when the monitor is switched on.
 """
 
 from __future__ import annotations
 
-import calendar
-import uuid
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.dates import month_index, month_label
-from ..session import checkpoint_root
-
-EVENT_SCHEMA = "seller_id long, ordered_at timestamp, m_idx int, late int, cents long"
-COMBINED_SCHEMA = ("seller_id long, m_idx int, ordered_at timestamp, delivered long, late long, "
-                   "cents long")
-STATE_SCHEMA = "first_m int, delivered long, late long, cents long, closed boolean, seq long"
-OUTPUT_SCHEMA = ("seller_id long, first_m int, delivered long, late long, cents long, "
-                 "final boolean, seq long")
-
-
-def _month_end_ms(m_idx: int) -> int:
-    year, month = divmod(m_idx + 1, 12)
-    return calendar.timegm((year, month + 1, 1, 0, 0, 0)) * 1000
-
-
-def _first_month_step(key: tuple, batches: Iterator[pd.DataFrame],
-                      state: GroupState) -> Iterator[pd.DataFrame]:
-    (seller_id,) = key
-    if state.exists:
-        first_m, delivered, late, cents, closed, seq = state.get
-    else:
-        first_m, delivered, late, cents, closed, seq = None, 0, 0, 0, False, 0
-
-    if state.hasTimedOut:
-        seq += 1
-        state.update((first_m, delivered, late, cents, True, seq))
-        yield pd.DataFrame([(seller_id, first_m, delivered, late, cents, True, seq)],
-                           columns=["seller_id", "first_m", "delivered", "late", "cents", "final", "seq"])
-        return
-
-    changed = False
-    for pdf in batches:
-        if closed or pdf.empty:
-            continue
-        m = int(pdf["m_idx"].min())
-        if first_m is None or m < first_m:
-            first_m, delivered, late, cents = m, 0, 0, 0
-        part = pdf[pdf["m_idx"] == first_m]
-        if not part.empty:
-            delivered += int(part["delivered"].sum())
-            late += int(part["late"].sum())
-            cents += int(part["cents"].sum())
-            changed = True
-    if first_m is None:
-        return
-    state.update((first_m, delivered, late, cents, closed, seq + int(changed)))
-    if not closed:
-        state.setTimeoutTimestamp(max(_month_end_ms(first_m), state.getCurrentWatermarkMs() + 1))
-    if changed:
-        yield pd.DataFrame([(seller_id, first_m, delivered, late, cents, False, seq + 1)],
-                           columns=["seller_id", "first_m", "delivered", "late", "cents", "final", "seq"])
+from ..operators.cohorts import first_month_label
+from ..session import owned_folder
 
 
 def line_events(attributed: DataFrame) -> DataFrame:
     """The columns the monitor needs, from attributed canonical lines (batch
     or streaming). ``ordered_at`` becomes a zoned timestamp for the
-    watermark; money travels as exact cents."""
+    watermark; money travels as exact cents. Ids keep their type."""
     return attributed.select(
         "seller_id",
         F.col("ordered_at").cast("timestamp").alias("ordered_at"),
-        month_index("ordered_at").alias("m_idx"),
         "late",
         (F.col("price") * 100).cast("long").alias("cents"))
 
 
-def _combine(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Map-side combine: one row per (seller, month) and Arrow chunk, so a
-    seller holding a third of all lines reaches the stateful step as a
-    handful of rows per input partition, not as its lines."""
-    for pdf in chunks:
-        if pdf.empty:
-            continue
-        pdf = pdf.assign(delivered=pdf["late"].notna().astype("int64"),
-                         late=(pdf["late"] == 1).astype("int64"))
-        yield (pdf.groupby(["seller_id", "m_idx"], as_index=False)
-               .agg(ordered_at=("ordered_at", "max"), delivered=("delivered", "sum"),
-                    late=("late", "sum"), cents=("cents", "sum")))
-
-
 def first_month_monitor(events: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Streaming first-month records per seller (see module doc).
-
-    ``events`` has :data:`EVENT_SCHEMA` (see :func:`line_events`); ``delay``
-    is how late a line may arrive and still count. Lines are combined per
-    (seller, month) inside each input partition before the shuffle to the
-    stateful step.
-    """
-    return (events.mapInPandas(_combine, COMBINED_SCHEMA)
-            .withWatermark("ordered_at", delay)
-            .groupBy("seller_id")
-            .applyInPandasWithState(_first_month_step, OUTPUT_SCHEMA, STATE_SCHEMA, "update",
-                                    GroupStateTimeout.EventTimeTimeout))
-
-
-def label_records(records: DataFrame, excellent_max: float = 0.0, severe_min: float = 0.5) -> DataFrame:
-    """Latest record per seller, labelled like the batch cohorts."""
-    latest = records.groupBy("seller_id").agg(
-        F.max_by(F.struct("first_m", "delivered", "late", "cents"), "seq").alias("r"))
-    rate = F.try_divide(F.col("r.late").cast("double"), F.col("r.delivered").cast("double"))
-    label = (F.when(rate.isNull(), F.lit("unrated"))
-             .when(rate <= excellent_max, F.lit("excellent"))
-             .when(rate >= severe_min, F.lit("severe"))
-             .otherwise(F.lit("normal")))
-    return latest.select(
-        "seller_id",
-        month_label(F.col("r.first_m")).alias("first_month"),
-        F.col("r.delivered").alias("delivered"),
-        F.col("r.late").alias("late"),
-        rate.alias("rate"),
-        label.alias("label"),
-        (F.col("r.cents").cast("decimal(20,0)") / 100).cast("double").alias("first_revenue"))
-
-
-def replay_first_month(spark: SparkSession, attributed: DataFrame, slices: int = 8,
-                       timeout_s: int = 3600, files_per_trigger: int = 8,
-                       state_partitions: int | None = None) -> DataFrame:
-    """Replay attributed lines through the monitor as a stream and return
-    the labelled final state (equal to the batch cohorts).
-
-    The lines are written as ``slices`` consecutive time slices, one write
-    job after the other (a file stream takes files in modification order),
-    each with as many files as its partitions give, under the checkpoint
-    folder. The watermark delay is one slice span plus a day, so no line is
-    ever late, whatever the order of the files inside a slice, and a first
-    month closes only after all its lines were read. ``foreachBatch`` writes
-    each batch's records as Parquet (overwrite per batch id, idempotent on
-    retry), so no result passes through the driver.
-    """
-    root = f"{checkpoint_root(spark)}/latebound/stream-{uuid.uuid4().hex}"
-    events = line_events(attributed)
-    bounds = events.agg(F.min("ordered_at").alias("lo"), F.max("ordered_at").alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    span = (hi - lo) / slices
-    delay = f"{int(span.total_seconds()) + 86400} seconds"
-    for i in range(slices):
-        cond = F.col("ordered_at") >= F.lit(lo + span * i)
-        if i < slices - 1:
-            cond = cond & (F.col("ordered_at") < F.lit(lo + span * (i + 1)))
-        events.where(cond).write.mode("append").parquet(f"{root}/in")
-
-    stream = (spark.readStream.schema(EVENT_SCHEMA)
-              .option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(f"{root}/in"))
-    out = f"{root}/out"
+    """Streaming ``seller_id, day, delivered, late, cents`` (update mode): the
+    sums of a seller's day so far, whenever they change. ``events`` is as
+    :func:`line_events` gives it; ``delay`` is how late a line may arrive."""
+    return (events.withWatermark("ordered_at", delay)
+            .groupBy("seller_id", F.window("ordered_at", "1 day").alias("day"))
+            .agg(F.count("late").alias("delivered"),
+                 F.sum(F.when(F.col("late") == 1, 1).otherwise(0)).cast("long").alias("late"),
+                 F.sum("cents").cast("long").alias("cents"))
+            .withColumn("day", F.col("day.start")))
+
+
+def label_records(records: DataFrame, known: DataFrame | None = None, excellent_max: float = 0.0,
+                  severe_min: float = 0.5) -> DataFrame:
+    """First month per seller from the monitor's rows (with the number of
+    their ``batch``), labelled like the batch cohorts. ``known`` has the
+    sellers of before, ``seller_id, first_m``; they are left out unless the
+    stream holds an earlier month."""
+    latest = (records.groupBy("seller_id", "day")
+              .agg(F.max_by(F.struct("delivered", "late", "cents"), "batch").alias("r"))
+              .withColumn("m", month_index(F.col("day"))))
+    months = latest.groupBy("seller_id", "m").agg(
+        *[F.sum(f"r.{c}").cast("long").alias(c) for c in ("delivered", "late", "cents")])
+    first = months.groupBy("seller_id").agg(
+        F.min("m").alias("first_m"),
+        *[F.min_by(c, "m").alias(c) for c in ("delivered", "late", "cents")])
+    if known is not None:
+        before = known.select("seller_id", F.col("first_m").alias("_known"))
+        first = (first.join(before, "seller_id", "left")
+                 .where(F.col("_known").isNull() | (F.col("first_m") < F.col("_known"))).drop("_known"))
+    rate = F.try_divide(F.col("late").cast("double"), F.col("delivered").cast("double"))
+    return first.select(
+        "seller_id", month_label(F.col("first_m")).alias("first_month"), "delivered", "late",
+        rate.alias("rate"), first_month_label(rate, excellent_max, severe_min).alias("label"),
+        (F.col("cents").cast("decimal(20,0)") / 100).cast("double").alias("first_revenue"))
+
+
+def run_monitor(stream: DataFrame, root: str, delay: str = "7 days") -> DataFrame:
+    """Run the monitor over what the stream has now and return its rows so
+    far. ``root`` keeps the query's checkpoint and the rows; calling again
+    with the same ``root`` goes on from there. ``foreachBatch`` overwrites a
+    batch's folder, so a batch that is repeated after a failure counts once."""
+    spark = stream.sparkSession
+    rows = first_month_monitor(stream, delay)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    # The state store is split into as many partitions as the shuffle has
-    # when the query first starts (then fixed by its checkpoint): size it to
-    # the cluster's cores, not to the batch-query setting.
-    parts = state_partitions or spark.sparkContext.defaultParallelism
-    previous = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
-    try:
-        query = (first_month_monitor(stream, delay).writeStream
-                 .outputMode("update")
-                 .option("checkpointLocation", f"{root}/checkpoint")
-                 .foreachBatch(sink)
-                 .trigger(availableNow=True)
-                 .start())
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", previous)
-    query.awaitTermination(timeout_s)
-    if query.isActive:
-        query.stop()
-        raise TimeoutError("first-month replay did not finish")
-    records = spark.read.schema(OUTPUT_SCHEMA + ", batch long").parquet(out)
-    return label_records(records)
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={batch_id}")
+
+    query = (rows.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint")
+             .foreachBatch(sink).trigger(availableNow=True).start())
+    query.awaitTermination()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return spark.read.schema(f"{schema}, batch long").parquet(f"{root}/out")
+
+
+def replay_first_month(spark: SparkSession, attributed: DataFrame, known: DataFrame | None = None,
+                       delay: str = "7 days", files_per_trigger: int | None = None) -> DataFrame:
+    """Replay attributed lines through the monitor and return the labelled
+    result (equal to the batch cohorts). The lines are derived and written
+    once. Files are not ordered by time, so with ``files_per_trigger`` the
+    ``delay`` must cover the span of the data; without it one batch reads all."""
+    root = owned_folder(spark, "stream")
+    events = line_events(attributed)
+    events.write.parquet(f"{root}/in")
+    reader = spark.readStream.schema(events.schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return label_records(run_monitor(reader.parquet(f"{root}/in"), root, delay), known)
