@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import count_true, money_out, ratio
 from ..session import materialize
+from ..schema import PRODUCTS, validate
+from .deciles import volume
 from .facts import SELLER
 from .ranking import global_row_number
 
@@ -55,7 +57,8 @@ def fulfilment_priority_groups(attributed: DataFrame, products: DataFrame,
     late_rate, priority`` per product group and size band.
 
     A product is bulky when its weight reaches ``bulk_weight`` (or its
-    volume ``bulk_volume``, when given). A bulky group is a fulfilment
+    volume ``bulk_volume``, when given); its size is unknown only when none
+    of these is known. A bulky group is a fulfilment
     priority when the seller causes at least ``min_share`` of its late
     lines and more than in the same category's regular band.
     Lines are reduced per product before the join with the product table.
@@ -64,12 +67,14 @@ def fulfilment_priority_groups(attributed: DataFrame, products: DataFrame,
                    .agg(F.count("late").alias("delivered"),
                         count_true(F.col("late") == 1).alias("late"),
                         count_true(F.col("cause") == SELLER).alias("seller_late")))
-    volume = F.col("length") * F.col("width") * F.col("height")
-    is_bulky = F.col("weight") >= bulk_weight
-    if bulk_volume is not None:
-        is_bulky = is_bulky | (volume >= bulk_volume)
-    band = (F.when(F.col("weight").isNull(), F.lit(UNKNOWN_SIZE))
-            .when(is_bulky, F.lit(BULKY)).otherwise(F.lit(REGULAR)))
+    validate(products, PRODUCTS, "products")
+    limits = [(F.col("weight"), bulk_weight)] + ([] if bulk_volume is None else [(volume(), bulk_volume)])
+    is_bulky, known = F.lit(False), F.lit(False)
+    for size, limit in limits:
+        is_bulky = is_bulky | F.coalesce(size >= limit, F.lit(False))
+        known = known | size.isNotNull()
+    band = (F.when(is_bulky, F.lit(BULKY)).when(known, F.lit(REGULAR))
+            .otherwise(F.lit(UNKNOWN_SIZE)))
     specs = products.select("product_id", "category", band.alias("size_band"))
     groups = (per_product.join(specs, "product_id", "left")
               .groupBy("category", "size_band")

@@ -3,17 +3,23 @@ weight, volume and dispatch time; A6: the matching correlations."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import count_true, ratio
 from ..session import materialize
+from ..schema import PRODUCTS, validate
 from .facts import SELLER
 from .ranking import ntile
 
 ROUND = 6  # doubles averaged in different orders differ in the last bits
 
 
+def volume() -> Column:
+    """length * width * height in doubles: fractions stay, and integer sides do not overflow."""
+    return F.col("length").cast("double") * F.col("width").cast("double") * F.col("height").cast("double")
+
+
 def blame_by_grain(attributed: DataFrame, products: DataFrame, grain: str = "seller_id",
                    min_late: int = 1) -> DataFrame:
     """Per ``grain`` (``seller_id`` or ``category``): late lines, seller-caused
@@ -21,20 +27,21 @@ def blame_by_grain(attributed: DataFrame, products: DataFrame, grain: str = "sel
     ``avg_volume`` (length*width*height) and ``avg_ship_days``. Grains with
     fewer than ``min_late`` late lines have no share and are dropped.
 
-    Lines are reduced to (seller, product) before the product join, so the
-    join shuffles pre-aggregated rows, not the fact; a missing product
-    keeps its lines with NULL specs (skipped by the means).
+    Lines are reduced to (grain, product) before the product join (to the
+    product alone where the grain is a product column), so the join shuffles
+    pre-aggregated rows, not the fact; a missing product keeps its lines with
+    NULL specs (skipped by the means).
     """
-    per_pair = (attributed.groupBy("seller_id", "product_id")
+    keys = ["product_id"] if grain == "category" else [grain, "product_id"]
+    per_pair = (attributed.groupBy(*keys)
                 .agg(F.count(F.lit(1)).alias("n"),
                      F.sum("ship_days").cast("long").alias("ship_sum"),
                      F.count("ship_days").alias("ship_n"),
                      count_true(F.col("late") == 1).alias("late"),
                      count_true(F.col("cause") == SELLER).alias("seller_late")))
-    specs = products.select(
-        "product_id", "category",
-        F.col("weight").cast("long").alias("weight"),
-        (F.col("length") * F.col("width") * F.col("height")).cast("long").alias("volume"))
+    validate(products, PRODUCTS, "products")
+    specs = products.select("product_id", "category", F.col("weight").cast("double").alias("weight"),
+                            volume().alias("volume"))
     joined = per_pair.join(specs, "product_id", "left")
     n = F.col("n")
     per_grain = (joined.groupBy(grain)

@@ -55,7 +55,8 @@ def delay_attribution(lines: DataFrame) -> DataFrame:
     ``carrier``; late with an unknown dispatch: ``unknown``; dispatched late
     but delivered in time: ``absorbed``; otherwise ``on_time``; not
     delivered: ``undelivered``. The seller owns at most the days it
-    dispatched late, the carrier the rest of the delivery delay.
+    dispatched late, the carrier the rest of the delivery delay; both are
+    NULL where the dispatch is unknown, so nobody is charged for those days.
     """
     if "late" not in lines.columns:
         lines = enrich(lines)
@@ -66,7 +67,7 @@ def delay_attribution(lines: DataFrame) -> DataFrame:
              .when(late == 1, F.lit(UNKNOWN))
              .when(dlate == 1, F.lit(ABSORBED))
              .otherwise(F.lit(ON_TIME)))
-    seller_days = F.when(late == 1, F.least(F.col("delivery_delay"),
+    seller_days = F.when((late == 1) & dlate.isNotNull(), F.least(F.col("delivery_delay"),
                                             F.greatest(F.col("dispatch_delay"), F.lit(0))))
     return lines.select("*", cause.alias("cause"), seller_days.alias("seller_days"),
                         (F.col("delivery_delay") - seller_days).alias("carrier_days"))

@@ -29,6 +29,8 @@ def late_revenue_monthly(attributed: DataFrame) -> DataFrame:
                     F.count(F.lit(1)).alias("orders"),
                     count_true(F.col("any_late") == 1).alias("late_orders")))
     by_month = Window.orderBy("m_idx")
+    # growth only against the month before: a gap of months has none
+    previous = F.when(F.lag("m_idx").over(by_month) == F.col("m_idx") - 1, F.lag("revenue").over(by_month))
     return monthly.select(
         month_label("m_idx").alias("month"),
         money_out("revenue").alias("revenue"),
@@ -37,5 +39,5 @@ def late_revenue_monthly(attributed: DataFrame) -> DataFrame:
         F.col("late_orders").cast("long").alias("late_orders"),
         ratio("late_orders", "orders").alias("late_order_share"),
         ratio("late_revenue", "revenue").alias("late_revenue_share"),
-        (ratio("revenue", F.lag("revenue").over(by_month)) - 1).alias("revenue_growth"),
+        (ratio("revenue", previous) - 1).alias("revenue_growth"),
     )

@@ -1,8 +1,8 @@
 """Global row numbers and NTILE without moving all rows into one task.
 
 ``F.ntile(n).over(Window.orderBy(...))`` has no ``partitionBy``, so Spark
-moves every row to one task (``Exchange SinglePartition``). Here, above
-``rows_per_range`` rows, the order is cut into contiguous ranges:
+moves every row to one task (``Exchange SinglePartition``). Here the order
+is cut into contiguous ranges of about ``rows_per_range`` rows, two at least:
 
 1. ``repartitionByRange(P, order)`` places each row in its range (Spark's
    range partitioner samples the keys, a bounded sample per input
@@ -14,13 +14,11 @@ moves every row to one task (``Exchange SinglePartition``). Here, above
    same placement (a recomputed range partitioning could choose other
    bounds);
 3. one aggregate counts rows per range; a running sum turns the counts
-   into offsets (on the driver for up to 20,000 ranges, on the cluster
-   beyond); global row number = offset + position + 1. NTILE follows
+   into offsets, which are joined; global row number = offset + position + 1. NTILE follows
    arithmetically.
 
 The order ends with a unique key, so ties in the value never pile into one
-range. Up to ``rows_per_range`` rows the window runs in one partition, a
-bounded amount of work.
+range.
 """
 
 from __future__ import annotations
@@ -37,10 +35,6 @@ from ..session import materialize
 OrderSpec = Sequence[tuple[str, bool]]
 
 DEFAULT_ROWS_PER_RANGE = 250_000
-# offsets travel as an array literal up to this many ranges, beyond it as a
-# table computed and joined on the cluster
-_LITERAL_OFFSETS = 20_000
-
 
 def _order_cols(order: OrderSpec) -> list[Column]:
     return [F.col(n).asc() if asc else F.col(n).desc() for n, asc in order]
@@ -60,35 +54,19 @@ def global_row_number(df: DataFrame, order: OrderSpec, out: str = "rn",
     if n_rows is None:
         n_rows = (df if source is None else source).count()
     cols = _order_cols(order)
-    n_ranges = max(1, math.ceil(n_rows / max(1, rows_per_range)))
-    if n_ranges == 1:
-        ranked = df.withColumn(out, F.row_number().over(Window.orderBy(*cols)).cast("long"))
-        return ranked, n_rows
-
+    n_ranges = max(2, math.ceil(n_rows / max(1, rows_per_range)))
     placed = (df.repartitionByRange(n_ranges, *cols)
               .sortWithinPartitions(*cols)
               .withColumn("_range", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id()
                           - F.shiftleft(F.col("_range").cast("long"), 33)))
     placed = materialize(placed, "ranged")
-    if n_ranges <= _LITERAL_OFFSETS:
-        # P counts to the driver, offsets back as one array literal
-        counts = dict(placed.groupBy("_range").count().collect())
-        offsets, acc = [], 0
-        for r in range(max(counts) + 1):
-            offsets.append(acc)
-            acc += counts.get(r, 0)
-        offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col("_range") + 1)
-        placed = placed.withColumn("_offset", offset)
-    else:
-        # many ranges: running sum over the per-range counts (one row per
-        # range, N / rows_per_range rows), joined back; nothing via the driver
-        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-        table = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-                 .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long")
-                         .alias("_offset")))
-        placed = placed.join(table, "_range")
-    ranked = placed.withColumn(out, (F.col("_offset") + F.col("_pos") + 1).cast("long"))
+    # running sum over the counts per range (one row per range), joined back
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).cast("long").alias("_offset")))
+    ranked = placed.join(offsets, "_range").withColumn(
+        out, (F.col("_offset") + F.col("_pos") + 1).cast("long"))
     return ranked.drop("_range", "_pos", "_offset"), n_rows
 
 

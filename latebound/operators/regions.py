@@ -7,34 +7,43 @@ from pyspark.sql import functions as F
 
 from ..functions.city import city_key
 from ..functions.rates import count_true, ratio
+from ..schema import CITIES, validate
 from .facts import CARRIER, SELLER
 
 
 def _lookup(cities: DataFrame) -> DataFrame:
     """One row per (key, state): a lookup with duplicate keys would
     multiply the rows it is joined to."""
+    validate(cities, CITIES, "cities")
     return (cities.groupBy("city_key", "state")
             .agg(F.min("city").alias("city"))
             .where(F.col("city_key").isNotNull()))
 
 
+def _state(state_col: str | None):
+    return None if state_col is None else F.col(state_col)
+
+
 def city_cleanse(df: DataFrame, cities: DataFrame, raw_col: str = "city_raw",
                  state_col: str | None = "state") -> DataFrame:
     """Add ``city_key`` (normalised ``raw_col``) and ``city`` (the clean
-    name from ``cities``, NULL when unmatched). Rows are never dropped.
+    name from ``cities``, NULL when unmatched). Rows are never dropped nor
+    repeated: without a state column, a name that several states have is
+    ambiguous and gets no city.
 
     The lookup is small (one row per city) and AQE broadcasts it when its
     runtime size is under the broadcast threshold; otherwise it is an
     ordinary sort-merge join.
     """
-    keyed = df.withColumn("city_key", city_key(F.col(raw_col)))
+    keyed = df.withColumn("city_key", city_key(F.col(raw_col), _state(state_col)))
     look = _lookup(cities)
     if state_col:
         look = look.withColumnRenamed("state", "_lk_state")
         cond = (keyed.city_key == look.city_key) & (keyed[state_col] == look._lk_state)
         joined = keyed.join(look, cond, "left").drop(look.city_key).drop("_lk_state")
     else:
-        look = look.drop("state")
+        look = look.groupBy("city_key").agg(
+            F.when(F.count(F.lit(1)) == 1, F.min("city")).alias("city"))
         joined = keyed.join(look, "city_key", "left")
     return joined
 
@@ -43,13 +52,13 @@ def unmatched_cities(df: DataFrame, cities: DataFrame, raw_col: str = "city_raw"
                      state_col: str | None = "state") -> DataFrame:
     """Raw city values that find no clean city, with how many rows hold
     them (``rows``). NULL and empty keys are reported too."""
-    keyed = df.withColumn("city_key", city_key(F.col(raw_col)))
+    keyed = df.withColumn("city_key", city_key(F.col(raw_col), _state(state_col)))
     look = _lookup(cities)
     if state_col:
         look = look.select("city_key", F.col("state").alias(state_col))
         keys = ["city_key", state_col]
     else:
-        look = look.select("city_key")
+        look = look.select("city_key").distinct()
         keys = ["city_key"]
     missing = keyed.join(look, keys, "left_anti")
     group = [raw_col, "city_key"] + ([state_col] if state_col else [])

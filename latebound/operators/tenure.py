@@ -9,11 +9,12 @@ from ..functions.rates import money_out, ratio
 
 
 def tenure_bucket(tenure: Column, long_months: int = 13) -> Column:
-    """``1`` (one-off), ``2-6``, ``7-<long-1>``, ``<long>+`` calendar months."""
-    return (F.when(tenure <= 1, F.lit("1"))
-            .when(tenure <= 6, F.lit("2-6"))
-            .when(tenure < long_months, F.lit(f"7-{long_months - 1}"))
-            .otherwise(F.lit(f"{long_months}+")))
+    """``<long>+`` calendar months, below it ``1`` (one-off), ``2-6`` and ``7-<long-1>``."""
+    middle = min(6, long_months - 1)
+    return (F.when(tenure >= long_months, F.lit(f"{long_months}+"))
+            .when(tenure <= 1, F.lit("1"))
+            .when(tenure <= middle, F.lit(f"2-{middle}"))
+            .otherwise(F.lit(f"7-{long_months - 1}")))
 
 
 def _tenure(basis: str) -> Column:

@@ -16,6 +16,9 @@ TS_TYPES = (T.TimestampType, T.TimestampNTZType)
 NUM_TYPES = (T.IntegerType, T.LongType, T.DoubleType, T.FloatType, T.DecimalType,
              T.ShortType)
 
+# Sums of money are exact in cents.
+MONEY = ("price",)
+
 # One row per order line. The order date, the seller's shipping deadline,
 # the hand-over to the carrier, the delivery and the promised date.
 FULFILMENT_LINES = {
@@ -68,6 +71,8 @@ def validate(df: DataFrame, spec: dict, name: str) -> DataFrame:
             problems.append(f"missing column {col!r}")
         elif not isinstance(fields[col], allowed):
             problems.append(f"{col!r} is {fields[col].simpleString()}")
+        elif col in MONEY and fields[col].scale > 2:
+            problems.append(f"{col!r} is {fields[col].simpleString()}: money has two decimals at most")
     if problems:
         raise ValueError(f"{name}: " + "; ".join(problems))
     return df
