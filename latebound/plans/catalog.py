@@ -1,9 +1,10 @@
-"""Named queries: each is ``(spark, sf_dir) -> DataFrame`` over the whole
-driver tables, built from the canonical fixture and the operators."""
+"""Named queries: each is ``(spark, source) -> DataFrame`` over the whole
+tables. ``source`` is a folder of the driver's tables, from which the canonical
+fixture is derived, or a :class:`Canonical` handle (a prepared store, or a
+user's own tables)."""
 
 from __future__ import annotations
 
-import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,76 +13,54 @@ from pyspark.sql import functions as F
 from .. import operators as op
 from ..session import materialize
 from ..sources import fixture
+from ..sources.fixture import Canonical
 
-Query = Callable[[SparkSession, str], DataFrame]
+Source = str | Canonical
+Query = Callable[[SparkSession, Source], DataFrame]
 
 
-# Lazy plans of the canonical tables, per session and folder. Only the plan
-# objects are reused (building them costs thousands of driver calls); every
-# action still reads and joins the raw Parquet files. A reused plan keeps its
-# file listing: after files under a folder change, call reset().
-_PLANS: "weakref.WeakKeyDictionary[SparkSession, dict]" = weakref.WeakKeyDictionary()
-
-
-def _plan(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    plans = _PLANS.setdefault(spark, {})
-    if key not in plans:
-        plans[key] = build()
-    return plans[key]
-
-
-def reset(spark: SparkSession, sf_dir: str | None = None) -> None:
-    """Forget the reused plans (of one folder, or all) of this session."""
-    plans = _PLANS.get(spark)
-    if plans is None:
-        return
-    for key in [k for k in plans if sf_dir is None or k[1] == sf_dir]:
-        del plans[key]
+def prepare(spark: SparkSession, sf_dir: str, store: str) -> Canonical:
+    """Derive the canonical tables of ``sf_dir`` once, write them to
+    ``store`` and return the handle that queries take instead of a folder."""
+    from ..sources.store import read_canonical, write_canonical
 
+    write_canonical(fixture.canonical(spark, sf_dir), store)
+    return read_canonical(spark, store)
 
-def attributed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, ("lines", sf_dir), lambda: op.delay_attribution(
-        op.enrich(fixture.fulfilment_lines(spark, sf_dir))))
 
+def attributed_lines(spark: SparkSession, source: Source, granularity: str = "day") -> DataFrame:
+    lines = source.lines if isinstance(source, Canonical) else fixture.fulfilment_lines(spark, source)
+    return op.delay_attribution(op.enrich(lines, granularity))
 
-def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, ("sellers", sf_dir), lambda: fixture.sellers(spark, sf_dir))
 
+def sellers(spark: SparkSession, source: Source) -> DataFrame:
+    return source.sellers if isinstance(source, Canonical) else fixture.sellers(spark, source)
 
-def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, ("customers", sf_dir), lambda: fixture.customers(spark, sf_dir))
 
+def customers(spark: SparkSession, source: Source) -> DataFrame:
+    return source.customers if isinstance(source, Canonical) else fixture.customers(spark, source)
 
-def products(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, ("products", sf_dir), lambda: fixture.products(spark, sf_dir))
 
+def products(spark: SparkSession, source: Source) -> DataFrame:
+    return source.products if isinstance(source, Canonical) else fixture.products(spark, source)
 
-def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, ("cities", sf_dir), lambda: fixture.cities(spark, sf_dir))
 
+def cities(spark: SparkSession, source: Source) -> DataFrame:
+    return source.cities if isinstance(source, Canonical) else fixture.cities(spark, source)
 
-def prepare(spark: SparkSession, sf_dir: str, store: str) -> None:
-    """Derive the canonical tables of ``sf_dir`` once, write them to
-    ``store`` and let every later query of this session on ``sf_dir`` read
-    the prepared tables instead of re-deriving them."""
-    from ..sources.store import read_canonical, write_canonical
 
-    write_canonical(fixture.canonical(spark, sf_dir), store)
-    c = read_canonical(spark, store)
-    reset(spark, sf_dir)
-    plans = _PLANS.setdefault(spark, {})
-    plans[("lines", sf_dir)] = op.delay_attribution(op.enrich(c.lines))
-    for name in ("sellers", "customers", "products", "cities"):
-        plans[(name, sf_dir)] = getattr(c, name)
+def seller_months(spark: SparkSession, source: Source) -> DataFrame:
+    if isinstance(source, Canonical) and source.seller_month is not None:
+        return source.seller_month
+    return op.seller_month(attributed_lines(spark, source))
 
 
-def profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _plan(spark, ("profile", sf_dir), lambda: op.seller_profile(
-        op.seller_month(attributed_lines(spark, sf_dir))))
+def profile(spark: SparkSession, source: Source) -> DataFrame:
+    return op.seller_profile(seller_months(spark, source))
 
 
-def cohorts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op.first_month_cohorts(profile(spark, sf_dir))
+def cohorts(spark: SparkSession, source: Source) -> DataFrame:
+    return op.first_month_cohorts(profile(spark, source))
 
 
 def q_delay_attribution(spark, sf_dir):
@@ -99,7 +78,7 @@ def q_late_revenue_monthly(spark, sf_dir):
 
 
 def q_seller_month(spark, sf_dir):
-    sm = op.seller_month(attributed_lines(spark, sf_dir))
+    sm = seller_months(spark, sf_dir)
     return sm.withColumn("revenue", F.col("revenue").cast("double"))
 
 
@@ -167,10 +146,13 @@ def q_first_month_cohorts(spark, sf_dir):
 
 
 def _retention(spark, sf_dir, horizon):
-    # seller_month feeds both the activity and the cohort labels: written
-    # once (seller x month grain), so the line fact is read once.
-    sm = materialize(op.seller_month(attributed_lines(spark, sf_dir)), "seller_month")
-    return op.cohort_retention(sm, op.first_month_cohorts(op.seller_profile(sm)), horizon=horizon)
+    # Only what the labels need, so the distinct order count is pruned; both
+    # tables are read more than once and written first.
+    sm = seller_months(spark, sf_dir)
+    if not isinstance(sf_dir, Canonical) or sf_dir.seller_month is None:
+        sm = materialize(sm.drop("orders"), "seller_month").withColumn("orders", F.lit(None).cast("long"))
+    labels = materialize(op.first_month_cohorts(op.seller_profile(sm)).select("seller_id", "first_m", "label"), "cohorts")
+    return op.cohort_retention(sm, labels, horizon=horizon)
 
 
 def q_cohort_retention(spark, sf_dir):
@@ -207,6 +189,40 @@ def q_good_seller_badge(spark, sf_dir):
     return op.good_seller_badge(profile(spark, sf_dir))
 
 
+def q_black_sellers_caused(spark, sf_dir):
+    return op.black_sellers_rfm(profile(spark, sf_dir), basis="caused")
+
+
+def q_regional_bottlenecks_customer_city(spark, sf_dir):
+    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), customers(spark, sf_dir),
+                                   cities(spark, sf_dir), role="customer", level="city")
+
+
+def q_regional_bottlenecks_customer_rollup(spark, sf_dir):
+    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), customers(spark, sf_dir),
+                                   cities(spark, sf_dir), role="customer", level="rollup")
+
+
+def q_seller_blame_deciles_min5(spark, sf_dir):
+    return op.seller_blame_deciles(attributed_lines(spark, sf_dir), products(spark, sf_dir), min_late=5)
+
+
+def q_tenure_vs_delay_active(spark, sf_dir):
+    return op.tenure_vs_delay(profile(spark, sf_dir), basis="active")
+
+
+def q_signup_month_cohorts(spark, sf_dir):
+    return op.signup_month_cohorts(seller_months(spark, sf_dir), fixture.signups(spark, sf_dir)).drop("first_m")
+
+
+def q_delay_attribution_seconds(spark, sf_dir):
+    return op.attribution_summary(attributed_lines(spark, sf_dir, granularity="second"))
+
+
+def q_fulfilment_priority_groups_volume(spark, sf_dir):
+    return op.fulfilment_priority_groups(attributed_lines(spark, sf_dir), products(spark, sf_dir), bulk_volume=400)
+
+
 QUERIES: dict[str, Query] = {
     "delay_attribution": q_delay_attribution,
     "delay_attribution_lines": q_delay_attribution_lines,
@@ -234,4 +250,12 @@ QUERIES: dict[str, Query] = {
     "fulfilment_priority_groups": q_fulfilment_priority_groups,
     "new_seller_watchlist": q_new_seller_watchlist,
     "good_seller_badge": q_good_seller_badge,
+    "black_sellers_caused": q_black_sellers_caused,
+    "regional_bottlenecks_customer_city": q_regional_bottlenecks_customer_city,
+    "regional_bottlenecks_customer_rollup": q_regional_bottlenecks_customer_rollup,
+    "seller_blame_deciles_min5": q_seller_blame_deciles_min5,
+    "tenure_vs_delay_active": q_tenure_vs_delay_active,
+    "signup_month_cohorts": q_signup_month_cohorts,
+    "delay_attribution_seconds": q_delay_attribution_seconds,
+    "fulfilment_priority_groups_volume": q_fulfilment_priority_groups_volume,
 }

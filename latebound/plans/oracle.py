@@ -16,15 +16,27 @@ def _div(a: str, b: str) -> str:
     return _DIV.format(a=a, b=b)
 
 
-def _key(x: str) -> str:
-    """City key: lower, drop qualifiers, fold accents, collapse, trim."""
-    return ("NULLIF(trim(regexp_replace(translate(regexp_replace(lower(" + x + "), '[/,(].*$', ''), "
+def _plain(x: str) -> str:
+    """Lower, drop marks and qualifiers, fold accents, collapse, trim."""
+    return ("NULLIF(trim(regexp_replace(translate(regexp_replace(regexp_replace(lower(" + x + "), '\\p{M}', '', 'g'), "
+            "'[/,(\\\\].*$', ''), "
             "'áàâãäåçéèêëíìîïñóòôõöúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[^a-z0-9]+', ' ', 'g')), '')")
 
 
+def _key(x: str, state: str | None = None) -> str:
+    """City key; with ``state``, without that state at the end."""
+    k = _plain(x)
+    if state is None:
+        return k
+    end = f"(' ' || {_plain(state)})"
+    return f"CASE WHEN coalesce(ends_with({k}, {end}), FALSE) THEN left({k}, length({k}) - length({end})) ELSE {k} END"
+
+
 def _dirty(name: str, region: str, key: str) -> str:
-    return (f"CASE {key} % 4 WHEN 0 THEN upper({name}) WHEN 1 THEN '  ' || lower({name}) || ' ' "
-            f"WHEN 2 THEN replace({name}, '_', '-') ELSE {name} || ' / ' || {region} END")
+    return (f"CASE {key} % 7 WHEN 0 THEN upper({name}) WHEN 1 THEN '  ' || lower({name}) || ' ' "
+            f"WHEN 2 THEN replace({name}, '_', '-') WHEN 3 THEN {name} || ' / ' || {region} "
+            f"WHEN 4 THEN translate(lower({name}), 'aeiou', 'áéíóú') WHEN 5 THEN {name} || ' - ' || {region} "
+            f"ELSE 'Nowhere ' || CAST({key} % 3 AS VARCHAR) END")
 
 
 def _month(m: str) -> str:
@@ -35,31 +47,34 @@ BASE = [
     ("fx", """
   SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_extendedprice, l.l_linestatus,
          o.o_custkey, o.o_orderstatus, o.o_orderdate, o.o_orderpriority,
-         l.l_suppkey * 10 + l.l_partkey % 10 AS seller_id
+         greatest(0, least(79, year(o.o_orderdate) * 12 + month(o.o_orderdate) - (1995 * 12 + 1))) AS fx_month,
+         l.l_partkey % 2 AS lane, (l.l_suppkey + 3 * (l.l_partkey % 2)) % 7 AS turn
   FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey"""),
+    ("lengths", "SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS i, unnest([1, 2, 5, 9, 14, 21, 28]) AS months"),
+    ("tiles", """
+  SELECT t.turn, p.i AS place, l.months AS klen,
+         sum(l.months) OVER (PARTITION BY t.turn ORDER BY p.i) - l.months AS k0
+  FROM (SELECT i AS turn FROM lengths) t, (SELECT i FROM lengths) p, lengths l
+  WHERE l.i = (t.turn + p.i) % 7"""),
     ("fx2", """
-  SELECT *, (seller_id * 37) % 53 AS k0,
-         CASE WHEN seller_id % 11 = 0 THEN 1 + (seller_id * 13) % 11
-              ELSE 1 + (seller_id * 13) % 31 END AS klen,
-         year(o_orderdate) * 12 + month(o_orderdate) - (1995 * 12 + 1) AS fx_month,
+  SELECT fx.*, t.klen, fx.l_suppkey * 14 + fx.lane * 7 + t.place AS seller_id,
          (l_orderkey * 7 + l_partkey * 13 + l_suppkey * 31 + l_linenumber * 29) % 97 AS h,
          (l_orderkey * 11 + l_linenumber * 5) % 23 AS h2
-  FROM fx"""),
+  FROM fx JOIN tiles t ON t.turn = fx.turn AND fx.fx_month >= t.k0 AND fx.fx_month < t.k0 + t.klen"""),
     ("fx3", """
   SELECT f.*,
          greatest(0, 1 + f.h % 12 + p.p_size // 8 - f.klen // 10
-                     + CASE WHEN f.seller_id % 11 IN (0, 3) THEN 6 ELSE 0 END) AS ship_d,
+                     + CASE WHEN f.seller_id % 11 = 3 OR (f.seller_id % 11 IN (0, 5) AND f.klen <= 9) THEN 6 ELSE 0 END) AS ship_d,
          9 + CAST(substr(f.o_orderpriority, 1, 1) AS INTEGER) AS limit_d,
          2 + abs(s.s_nationkey - c.c_nationkey) % 6 + f.h2 % 9 AS transit_d
   FROM fx2 f
   JOIN part p ON p.p_partkey = f.l_partkey
   JOIN supplier s ON s.s_suppkey = f.l_suppkey
-  JOIN customer c ON c.c_custkey = f.o_custkey
-  WHERE f.fx_month BETWEEN f.k0 AND f.k0 + f.klen - 1"""),
+  JOIN customer c ON c.c_custkey = f.o_custkey"""),
     ("fulfilment_lines", """
   SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS product_id, seller_id,
          o_custkey AS customer_id, o_orderdate AS ordered_at,
-         o_orderdate + to_days(CAST(limit_d AS INTEGER)) AS ship_limit_at,
+         CASE WHEN h2 <> 7 THEN o_orderdate + to_days(CAST(limit_d AS INTEGER)) END AS ship_limit_at,
          o_orderdate + to_days(CAST(ship_d AS INTEGER)) AS shipped_at,
          CASE WHEN o_orderstatus = 'P' AND l_linestatus = 'O' AND h % 5 = 0 THEN NULL
               ELSE o_orderdate + to_days(CAST(ship_d + transit_d AS INTEGER)) END AS delivered_at,
@@ -86,7 +101,8 @@ BASE = [
               WHEN late = 1 THEN 'unknown'
               WHEN dispatch_late = 1 THEN 'absorbed'
               ELSE 'on_time' END AS cause,
-         CASE WHEN late = 1 THEN least(delivery_delay, greatest(dispatch_delay, 0)) END AS seller_days
+         CASE WHEN late = 1 AND dispatch_late IS NOT NULL
+              THEN least(delivery_delay, greatest(dispatch_delay, 0)) END AS seller_days
   FROM el2"""),
     ("lines", "SELECT *, delivery_delay - seller_days AS carrier_days FROM el3"),
 ]
@@ -96,18 +112,23 @@ DIMS = [
   SELECT n.n_nationkey, n.n_name, r.r_name
   FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey"""),
     ("sellers", f"""
-  SELECT CAST(s_suppkey * 10 + slot AS BIGINT) AS seller_id,
+  SELECT CAST(s_suppkey * 14 + slot AS BIGINT) AS seller_id,
          {_dirty('n_name', 'r_name', 's_suppkey')} AS city_raw, r_name AS state
-  FROM (SELECT s.s_suppkey, g.n_name, g.r_name, unnest(range(10)) AS slot
+  FROM (SELECT s.s_suppkey, g.n_name, g.r_name, unnest(range(14)) AS slot
         FROM supplier s JOIN geo g ON g.n_nationkey = s.s_nationkey)"""),
     ("customers", f"""
   SELECT c.c_custkey AS customer_id, {_dirty('g.n_name', 'g.r_name', 'c.c_custkey')} AS city_raw,
          g.r_name AS state
   FROM customer c JOIN geo g ON g.n_nationkey = c.c_nationkey"""),
     ("products", """
-  SELECT p_partkey AS product_id, p_type AS category, p_size AS weight, p_size AS length,
-         1 + p_partkey % 5 AS width, 1 + p_partkey % 3 AS height
-  FROM part"""),
+  SELECT *, CAST(length AS DOUBLE) * CAST(width AS DOUBLE) * CAST(height AS DOUBLE) AS volume
+  FROM (SELECT p_partkey AS product_id, p_type AS category,
+               CASE WHEN p_partkey % 17 <> 5 THEN CAST(p_size AS DOUBLE) + (p_partkey % 4) / 4.0::DOUBLE END AS weight,
+               CASE WHEN p_partkey % 50 = 7 THEN 2000 ELSE p_size END AS length,
+               CASE WHEN p_partkey % 50 = 7 THEN 2000 ELSE 1 + p_partkey % 5 END AS width,
+               CASE WHEN p_partkey % 19 = 3 THEN NULL WHEN p_partkey % 50 = 7 THEN 2000
+                    ELSE 1 + p_partkey % 3 END AS height
+        FROM part)"""),
     ("cities", f"SELECT {_key('n_name')} AS city_key, n_name AS city, r_name AS state FROM geo"),
     ("lookup", """
   SELECT city_key, state, min(city) AS city FROM cities
@@ -127,7 +148,7 @@ SELLER_MONTH = [
          CAST(sum(CASE WHEN late = 1 THEN delivery_delay END) AS BIGINT) AS late_delay_sum
   FROM lines GROUP BY seller_id, m_idx"""),
     ("sagg", """
-  SELECT seller_id, min(m_idx) AS first_m, max(m_idx) AS last_m,
+  SELECT seller_id, min(m_idx) AS first_m, max(m_idx) AS last_m, count(*) AS active_months,
          CAST(sum(orders) AS BIGINT) AS orders, sum(revenue) AS revenue,
          CAST(sum(delivered) AS BIGINT) AS delivered, CAST(sum(late) AS BIGINT) AS late,
          CAST(sum(seller_late) AS BIGINT) AS seller_late,
@@ -171,7 +192,7 @@ RFM = [
 LOCATED_SELLERS = [
     ("loc", f"""
   SELECT s.seller_id, s.city_raw, s.state, s.city_key, k.city
-  FROM (SELECT *, {_key('city_raw')} AS city_key FROM sellers) s
+  FROM (SELECT *, {_key('city_raw', 'state')} AS city_key FROM sellers) s
   LEFT JOIN lookup k ON k.city_key = s.city_key AND k.state = s.state"""),
 ]
 
@@ -201,8 +222,7 @@ BLAME = [
          count(*) FILTER (WHERE l.late = 1) AS late,
          count(*) FILTER (WHERE l.cause = 'seller') AS seller_late,
          CAST(sum(p.weight) AS DOUBLE) / NULLIF(count(p.weight), 0) AS avg_weight,
-         CAST(sum(p.length * p.width * p.height) AS DOUBLE)
-           / NULLIF(count(p.length * p.width * p.height), 0) AS avg_volume,
+         sum(p.volume) / NULLIF(count(p.volume), 0) AS avg_volume,
          CAST(sum(l.ship_days) AS DOUBLE) / NULLIF(count(l.ship_days), 0) AS avg_ship_days
   FROM lines l LEFT JOIN products p ON p.product_id = l.product_id
   GROUP BY l.seller_id
@@ -222,8 +242,7 @@ CATEGORY_BLAME = [
          count(*) FILTER (WHERE l.late = 1) AS late,
          count(*) FILTER (WHERE l.cause = 'seller') AS seller_late,
          CAST(sum(p.weight) AS DOUBLE) / NULLIF(count(p.weight), 0) AS avg_weight,
-         CAST(sum(p.length * p.width * p.height) AS DOUBLE)
-           / NULLIF(count(p.length * p.width * p.height), 0) AS avg_volume,
+         sum(p.volume) / NULLIF(count(p.volume), 0) AS avg_volume,
          CAST(sum(l.ship_days) AS DOUBLE) / NULLIF(count(l.ship_days), 0) AS avg_ship_days
   FROM lines l LEFT JOIN products p ON p.product_id = l.product_id
   GROUP BY p.category
@@ -307,7 +326,8 @@ SELECT {_month('m_idx')} AS month, CAST(revenue AS DOUBLE) AS revenue,
        CAST(late_revenue AS DOUBLE) AS late_revenue, orders, late_orders,
        {_div('late_orders', 'orders')} AS late_order_share,
        {_div('late_revenue', 'revenue')} AS late_revenue_share,
-       {_div('revenue', 'lag(revenue) OVER (ORDER BY m_idx)')} - 1 AS revenue_growth
+       CASE WHEN lag(m_idx) OVER (ORDER BY m_idx) = m_idx - 1
+            THEN {_div('revenue', 'lag(revenue) OVER (ORDER BY m_idx)')} - 1 END AS revenue_growth
 FROM monthly"""),
 
     "seller_month": _with(PROFILE, """
@@ -324,7 +344,7 @@ SELECT * FROM rfm WHERE m_score >= 5 AND late_lines >= 3 AND late_rate >= 0.3"""
 
     "city_unmatched": _with(DIMS, f"""
 SELECT c.city_raw, c.city_key, c.state, count(*) AS rows
-FROM (SELECT *, {_key('city_raw')} AS city_key FROM customers) c
+FROM (SELECT *, {_key('city_raw', 'state')} AS city_key FROM customers) c
 WHERE NOT EXISTS (SELECT 1 FROM lookup k WHERE k.city_key = c.city_key AND k.state = c.state)
 GROUP BY c.city_raw, c.city_key, c.state"""),
 
@@ -348,7 +368,7 @@ FROM g"""),
     "regional_bottlenecks_customer": _with(BASE + DIMS + _party("customer_id") + [
         ("cloc", f"""
   SELECT c.customer_id, c.state, k.city
-  FROM (SELECT *, {_key('city_raw')} AS city_key FROM customers) c
+  FROM (SELECT *, {_key('city_raw', 'state')} AS city_key FROM customers) c
   LEFT JOIN lookup k ON k.city_key = c.city_key AND k.state = c.state"""),
         ("g", f"""
   SELECT cloc.state, {_REGION_MEASURES}
@@ -443,6 +463,69 @@ SELECT seller_id, tenure, delivered, late, late_rate, CAST(revenue AS DOUBLE) AS
 FROM profile WHERE tenure >= 13 AND late_rate <= 0.05"""),
 }
 
+ORACLE_SQL["black_sellers_caused"] = _with(
+    PROFILE + [(n, q.replace("p.late AS late_lines", "p.seller_late AS late_lines")) for n, q in RFM],
+    "SELECT * FROM rfm WHERE m_score >= 5 AND late_lines >= 3 AND late_rate >= 0.3")
+
+_CUSTOMER_PLACE = [("cloc", f"""
+  SELECT c.customer_id, c.state, k.city
+  FROM (SELECT *, {_key('city_raw', 'state')} AS city_key FROM customers) c
+  LEFT JOIN lookup k ON k.city_key = c.city_key AND k.state = c.state""")]
+
+ORACLE_SQL["regional_bottlenecks_customer_city"] = _with(
+    BASE + DIMS + _party("customer_id") + _CUSTOMER_PLACE + [("g", f"""
+  SELECT cloc.state, cloc.city, {_REGION_MEASURES}
+  FROM pp LEFT JOIN cloc ON cloc.customer_id = pp.customer_id
+  GROUP BY cloc.state, cloc.city""")], f"""
+SELECT state, city, delivered_lines, late_lines, seller_late, carrier_late, {_REGION_RATES} FROM g""")
+
+ORACLE_SQL["regional_bottlenecks_customer_rollup"] = _with(
+    BASE + DIMS + _party("customer_id") + _CUSTOMER_PLACE + [("g", f"""
+  SELECT cloc.state, cloc.city, {_REGION_MEASURES},
+         CAST(grouping(cloc.state, cloc.city) AS INTEGER) AS level_id
+  FROM pp LEFT JOIN cloc ON cloc.customer_id = pp.customer_id
+  GROUP BY ROLLUP (cloc.state, cloc.city)""")], f"""
+SELECT state, city, delivered_lines, late_lines, seller_late, carrier_late, level_id, {_REGION_RATES} FROM g""")
+
+ORACLE_SQL["seller_blame_deciles_min5"] = _with(
+    BASE + DIMS + [(n, q.replace("late = 1) >= 1", "late = 1) >= 5")) for n, q in BLAME], _DECILE_SELECT)
+
+_ACTIVE_BUCKET = _BUCKET.replace("tenure", "active_months")
+
+ORACLE_SQL["tenure_vs_delay_active"] = _with(PROFILE, f"""
+SELECT {_ACTIVE_BUCKET} AS bucket, count(*) AS sellers, CAST(sum(delivered) AS BIGINT) AS lines,
+       {_div('sum(delay_sum)', 'sum(delivered)')} AS avg_delay_all,
+       {_div('sum(late_delay_sum)', 'sum(late)')} AS avg_delay_late,
+       {_div('sum(late)', 'sum(delivered)')} AS late_rate
+FROM profile GROUP BY {_ACTIVE_BUCKET}""")
+
+ORACLE_SQL["signup_month_cohorts"] = _with(PROFILE + [
+    ("signups", """
+  SELECT s.s_suppkey * 14 + x.lane * 7 + t.place AS seller_id, CAST(1995 * 12 + t.k0 AS INTEGER) AS first_m
+  FROM supplier s, (SELECT unnest([0, 1]) AS lane) x, tiles t
+  WHERE t.turn = (s.s_suppkey + 3 * x.lane) % 7"""),
+    ("m", f"""
+  SELECT u.seller_id, u.first_m, coalesce(sm.delivered, 0) AS delivered, coalesce(sm.late, 0) AS late,
+         {_div('sm.late', 'sm.delivered')} AS rate, coalesce(CAST(sm.revenue AS DOUBLE), 0.0) AS first_revenue
+  FROM signups u LEFT JOIN sm ON sm.seller_id = u.seller_id AND sm.m_idx = u.first_m""")], f"""
+SELECT CAST(seller_id AS BIGINT) AS seller_id, {_month('first_m')} AS first_month, delivered, late, rate,
+       CASE WHEN rate IS NULL THEN 'unrated' WHEN rate <= 0.0 THEN 'excellent'
+            WHEN rate >= 0.5 THEN 'severe' ELSE 'normal' END AS label, first_revenue
+FROM m""")
+
+# Later by the clock instead of by the calendar day.
+ORACLE_SQL["delay_attribution_seconds"] = (
+    ORACLE_SQL["delay_attribution"]
+    .replace("CASE WHEN delivery_delay IS NULL THEN NULL WHEN delivery_delay > 0 THEN 1",
+             "CASE WHEN delivery_delay IS NULL THEN NULL WHEN delivered_at > estimated_at THEN 1")
+    .replace("CASE WHEN dispatch_delay IS NULL THEN NULL WHEN dispatch_delay > 0 THEN 1",
+             "CASE WHEN dispatch_delay IS NULL THEN NULL WHEN shipped_at > ship_limit_at THEN 1"))
+
+ORACLE_SQL["fulfilment_priority_groups_volume"] = ORACLE_SQL["fulfilment_priority_groups"].replace(
+    "CASE WHEN p.weight IS NULL THEN 'unknown' WHEN p.weight >= 35 THEN 'bulky'",
+    "CASE WHEN p.weight >= 35 OR p.volume >= 400 THEN 'bulky'\n"
+    "              WHEN p.weight IS NULL AND p.volume IS NULL THEN 'unknown'")
+
 # The streaming replay's final state is the batch cohort table.
 ORACLE_SQL["first_month_cohorts_stream"] = ORACLE_SQL["first_month_cohorts"]
 

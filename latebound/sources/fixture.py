@@ -4,10 +4,14 @@ The test data has no dispatch, delivery or promise dates, no city and no
 weight, so they are synthesised by fixed integer rules (FIXTURES.md §3).
 Integer arithmetic only, so Spark and the SQL oracle agree exactly.
 
+Every line stays. Sellers differ in tenure because lines are assigned: each
+supplier has two lanes, and in each lane one seller follows the other, for 1,
+2, 5, 9, 14, 21 and 28 of the 80 months, in an order that differs by supplier
+and lane. A line belongs to the seller whose time holds its order month.
+
 Everything is a lazy DataFrame over the raw Parquet files: joins are
 equi-joins whose strategy (broadcast or sort-merge) AQE picks from runtime
-sizes, and the active-month filter runs right after the first join so the
-later joins see only kept lines.
+sizes.
 """
 
 from __future__ import annotations
@@ -22,9 +26,13 @@ from .raw import read_table
 
 # Fixed values of the fixture rules (FIXTURES.md §3).
 FIRST_MONTH_YEAR, FIRST_MONTH = 1995, 1      # month index 0 = January 1995
-SELLERS_PER_SUPPLIER = 10                    # seller_id = suppkey*10 + partkey%10
-HABITUALLY_SLOW_RESIDUES = (0, 3)            # seller_id % 11
+LENGTHS = (1, 2, 5, 9, 14, 21, 28)           # months of a lane's sellers, 80 together
+MONTHS = sum(LENGTHS)
+LANES = 2
+SELLERS_PER_SUPPLIER = LANES * len(LENGTHS)  # seller_id = suppkey*14 + lane*7 + place in the lane
 SLOW_EXTRA_DAYS = 6
+SHORT_MONTHS = 9
+NO_DEADLINE = 7                              # h2 of lines without a shipping deadline
 ESTIMATE_MARGIN_DAYS = 9
 
 
@@ -35,15 +43,25 @@ class Canonical:
     customers: DataFrame
     products: DataFrame
     cities: DataFrame
+    seller_month: DataFrame | None = None  # in prepared stores
 
 
 def _dirty_city(name: Column, region: Column, key: Column) -> Column:
-    """Raw city text as a marketplace form would hold it (4 variants)."""
-    variant = key % 4
+    """Raw city text as a marketplace form would hold it (7 variants; the last is no city of the lookup)."""
+    variant = key % 7
     return (F.when(variant == 0, F.upper(name))
             .when(variant == 1, F.concat(F.lit("  "), F.lower(name), F.lit(" ")))
             .when(variant == 2, F.translate(name, "_", "-"))
-            .otherwise(F.concat(name, F.lit(" / "), region)))
+            .when(variant == 3, F.concat(name, F.lit(" / "), region))
+            .when(variant == 4, F.translate(F.lower(name), "aeiou", "áéíóú"))
+            .when(variant == 5, F.concat(name, F.lit(" - "), region))
+            .otherwise(F.concat(F.lit("Nowhere "), (key % 3).cast("string"))))
+
+
+def lane_starts() -> list[list[int]]:
+    """First months of a lane's sellers for each of the 7 rotations of LENGTHS."""
+    n = len(LENGTHS)
+    return [[sum(LENGTHS[(r + i) % n] for i in range(j)) for j in range(n)] for r in range(n)]
 
 
 def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,23 +73,27 @@ def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     cust = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
 
-    s = F.col("l_suppkey") * SELLERS_PER_SUPPLIER + F.col("l_partkey") % SELLERS_PER_SUPPLIER
-    fx_month = (F.year("o_orderdate") * 12 + F.month("o_orderdate")
-                - (FIRST_MONTH_YEAR * 12 + FIRST_MONTH))
-    k0 = (s * 37) % 53
-    klen = F.when(s % 11 == 0, 1 + (s * 13) % 11).otherwise(1 + (s * 13) % 31)
-    # The seller's active-month filter runs as part of the first join. (The
-    # customer table joins last: joined to the orders first, its size
+    n = len(LENGTHS)
+    month = F.greatest(F.lit(0), F.least(
+        F.lit(MONTHS - 1), F.year("o_orderdate") * 12 + F.month("o_orderdate") - (FIRST_MONTH_YEAR * 12 + FIRST_MONTH)))
+    lane = F.col("l_partkey") % LANES
+    turn = ((F.col("l_suppkey") + 3 * lane) % n).cast("int")
+    starts = lane_starts()
+    place = sum(((month >= F.element_at(F.array(*[F.lit(starts[r][j]) for r in range(n)]), turn + 1)).cast("int")
+                 for j in range(1, n)), F.lit(0))
+    # (The customer table joins last: joined to the orders first, its size
     # estimate without table statistics is a product, and the planner would
     # then broadcast the line side instead.)
-    kept = li.join(orders, li.l_orderkey == orders.o_orderkey).where(
-        fx_month.between(k0, k0 + klen - 1))
+    placed = li.join(orders, li.l_orderkey == orders.o_orderkey).withColumns({
+        "_seller": F.col("l_suppkey") * SELLERS_PER_SUPPLIER + lane * n + place,
+        "_months": F.element_at(F.array(*map(F.lit, LENGTHS)), (turn + place) % n + 1)})
+    s, klen = F.col("_seller"), F.col("_months")
 
     h = (F.col("l_orderkey") * 7 + F.col("l_partkey") * 13 + F.col("l_suppkey") * 31
          + F.col("l_linenumber") * 29) % 97
     h2 = (F.col("l_orderkey") * 11 + F.col("l_linenumber") * 5) % 23
     prio = F.substring("o_orderpriority", 1, 1).cast("int")
-    slow = F.when((s % 11).isin(*HABITUALLY_SLOW_RESIDUES), SLOW_EXTRA_DAYS).otherwise(0)
+    slow = F.when((s % 11 == 3) | ((s % 11).isin(0, 5) & (klen <= SHORT_MONTHS)), SLOW_EXTRA_DAYS).otherwise(0)
     ship_days = F.greatest(
         F.lit(0), 1 + h % 12 + F.floor(F.col("p_size") / 8) - F.floor(klen / 10) + slow).cast("int")
     limit_days = (9 + prio).cast("int")
@@ -79,9 +101,9 @@ def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     undelivered = ((F.col("o_orderstatus") == "P") & (F.col("l_linestatus") == "O")
                    & (h % 5 == 0))
 
-    joined = (kept.join(part, kept.l_partkey == part.p_partkey)
-              .join(supp, kept.l_suppkey == supp.s_suppkey)
-              .join(cust, kept.o_custkey == cust.c_custkey))
+    joined = (placed.join(part, placed.l_partkey == part.p_partkey)
+              .join(supp, placed.l_suppkey == supp.s_suppkey)
+              .join(cust, placed.o_custkey == cust.c_custkey))
     ordered_at = F.col("o_orderdate")
     # one projection for all derived columns (a chain of withColumn calls
     # re-analyses the whole plan once per call on the driver)
@@ -92,7 +114,7 @@ def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         s.alias("seller_id"),
         F.col("o_custkey").alias("customer_id"),
         ordered_at.alias("ordered_at"),
-        add_days(ordered_at, limit_days).alias("ship_limit_at"),
+        F.when(h2 != NO_DEADLINE, add_days(ordered_at, limit_days)).alias("ship_limit_at"),
         add_days(ordered_at, ship_days).alias("shipped_at"),
         F.when(~undelivered, add_days(ordered_at, ship_days + transit)).alias("delivered_at"),
         add_days(ordered_at, limit_days + ESTIMATE_MARGIN_DAYS).alias("estimated_at"),
@@ -107,7 +129,7 @@ def _nation_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seller a supplier can host (suppkey*10 + 0..9), located in the
+    """Every seller a supplier can host (suppkey*14 + 0..13), located in the
     supplier's nation (city) and region (state). A generator, not a join."""
     supp = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey")
     geo = _nation_region(spark, sf_dir)
@@ -133,13 +155,14 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_type", "p_size")
     k = F.col("p_partkey")
+    huge = k % 50 == 7  # length * width * height beyond 2^31
     return part.select(
         k.alias("product_id"),
         F.col("p_type").alias("category"),
-        F.col("p_size").alias("weight"),
-        F.col("p_size").alias("length"),
-        (1 + k % 5).cast("int").alias("width"),
-        (1 + k % 3).cast("int").alias("height"),
+        F.when(k % 17 != 5, F.col("p_size") + (k % 4) * 0.25).cast("double").alias("weight"),
+        F.when(huge, 2000).otherwise(F.col("p_size")).alias("length"),
+        F.when(huge, 2000).otherwise(1 + k % 5).cast("int").alias("width"),
+        F.when(k % 19 != 3, F.when(huge, 2000).otherwise(1 + k % 3)).cast("int").alias("height"),
     )
 
 
@@ -155,6 +178,21 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def signups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each seller's sign-up: the first day of its time in the lane."""
+    starts = lane_starts()
+    n = len(LENGTHS)
+    slot = F.explode(F.sequence(F.lit(0), F.lit(SELLERS_PER_SUPPLIER - 1)))
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey").select("s_suppkey", slot.alias("_slot"))
+    turn = ((F.col("s_suppkey") + 3 * F.floor(F.col("_slot") / n)) % n).cast("int")
+    start = F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, r)) for r in starts]), turn + 1),
+                         (F.col("_slot") % n + 1).cast("int"))
+    return s.select(
+        (F.col("s_suppkey") * SELLERS_PER_SUPPLIER + F.col("_slot")).cast("long").alias("seller_id"),
+        F.add_months(F.make_date(F.lit(FIRST_MONTH_YEAR), F.lit(FIRST_MONTH), F.lit(1)), start)
+        .cast("timestamp_ntz").alias("signed_up_at"))
+
+
 def canonical(spark: SparkSession, sf_dir: str) -> Canonical:
     return Canonical(
         lines=fulfilment_lines(spark, sf_dir),

@@ -20,12 +20,18 @@ def prof(att):
 def test_cause_counts_and_revenue(att):
     got = {r["cause"]: r for r in op.attribution_summary(att).collect()}
     assert {c: r["lines"] for c, r in got.items()} == {
-        "on_time": 8239, "absorbed": 715, "seller": 1283, "carrier": 558, "undelivered": 379}
+        "on_time": 42604, "absorbed": 4214, "seller": 7381, "carrier": 2797, "unknown": 930, "undelivered": 2074}
     assert {c: r["revenue"] for c, r in got.items()} == {
-        "on_time": 433939785.31, "seller": 66654994.14, "absorbed": 37879975.34,
-        "carrier": 29426365.65, "undelivered": 20591815.32}
-    assert got["seller"]["seller_days"] + got["carrier"]["seller_days"] == 3863
-    assert sum(got[c]["carrier_days"] for c in ("seller", "carrier")) == 2856
+        "on_time": 2260052090.16, "seller": 392049346.4, "absorbed": 221579113.26,
+        "carrier": 148261591.85, "unknown": 50804030.08, "undelivered": 110510099.88}
+    assert got["seller"]["seller_days"] + got["carrier"]["seller_days"] == 23848
+    assert sum(got[c]["carrier_days"] for c in ("seller", "carrier")) == 8300 + 6044
+    assert (got["unknown"]["seller_days"], got["unknown"]["carrier_days"]) == (None, None)
+
+
+def test_the_fixture_keeps_every_line(spark, att):
+    for sf, lines in ((SF001, catalog.attributed_lines(spark, SF001)), (SF01, att)):
+        assert lines.count() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
 
 
 def test_line_totals(att):
@@ -34,18 +40,18 @@ def test_line_totals(att):
     r = att.agg(F.count("*").alias("n"), F.countDistinct("order_id").alias("o"),
                 F.countDistinct("seller_id").alias("s"), F.sum("delivery_delay").alias("d"),
                 F.min("dispatch_delay").alias("a"), F.max("dispatch_delay").alias("b")).first()
-    assert (r["n"], r["o"], r["s"], r["d"], r["a"], r["b"]) == (11174, 7370, 933, -51956, -14, 14)
+    assert (r["n"], r["o"], r["s"], r["d"], r["a"], r["b"]) == (60000, 14743, 1372, -258093, -14, 14)
 
 
 def test_sf0001_counts(spark):
     got = {r["cause"]: r["lines"] for r in op.attribution_summary(catalog.attributed_lines(spark, SF001)).collect()}
-    assert got == {"on_time": 849, "absorbed": 98, "seller": 110, "carrier": 55, "undelivered": 29}
+    assert got == {"on_time": 4368, "absorbed": 404, "seller": 683, "carrier": 267, "unknown": 89, "undelivered": 189}
 
 
 def test_tenure_table(prof):
     got = {r["bucket"]: r for r in op.tenure_vs_delay(prof).collect()}
-    want = {"1": (98, 131, -0.473, 5.776, 0.4427), "2-6": (151, 653, -3.126, 4.107, 0.2435),
-            "7-12": (183, 1508, -3.814, 3.911, 0.2089), "13+": (501, 8503, -5.187, 3.437, 0.1539)}
+    want = {"1": (208, 732, -2.007, 4.256, 0.3361), "2-6": (364, 4765, -2.103, 4.380, 0.3299),
+            "7-12": (202, 6612, -2.218, 4.442, 0.3152), "13+": (598, 45817, -5.062, 3.449, 0.1573)}
     for b, (s, n, a, late, rate) in want.items():
         r = got[b]
         assert (r["sellers"], r["lines"]) == (s, n)
@@ -56,36 +62,36 @@ def test_tenure_table(prof):
 def test_cohorts_and_retention(att, prof):
     coh = op.first_month_cohorts(prof)
     labels = {r["label"]: r["count"] for r in coh.groupBy("label").count().collect()}
-    assert labels == {"excellent": 673, "normal": 24, "severe": 211, "unrated": 25}
+    assert labels == {"excellent": 586, "normal": 445, "severe": 340, "unrated": 1}
     ret = {(r["label"], r["k"]): r for r in op.cohort_retention(op.seller_month(att), coh, 24).collect()}
     assert len(ret) == 100
-    for k, v in {1: 0.536, 6: 0.422, 12: 0.319, 20: 0.186}.items():
+    for k, v in {1: 0.865, 6: 0.652, 12: 0.544, 20: 0.358}.items():
         assert round(ret[("excellent", k)]["retention"], 3) == v
-    for k, v in {1: 0.455, 6: 0.336, 12: 0.180, 20: 0.118}.items():
+    for k, v in {1: 0.744, 6: 0.382, 12: 0.209, 20: 0.115}.items():
         assert round(ret[("severe", k)]["retention"], 3) == v
-    assert ret[("excellent", 24)]["observable"] == 668
+    assert ret[("excellent", 24)]["observable"] == 456
     assert all(ret[(lbl, 0)]["retention"] == 1.0 for lbl in ("excellent", "normal", "severe", "unrated"))
-    assert op.new_seller_watchlist(coh).count() == 95
+    assert op.new_seller_watchlist(coh).count() == 304
 
 
 def test_seller_lists(prof):
-    assert op.black_sellers_rfm(prof).count() == 24
-    assert op.good_seller_badge(prof).count() == 92
+    assert op.black_sellers_rfm(prof).count() == 28
+    assert op.good_seller_badge(prof).count() == 10
     ranking = op.seller_penalty_ranking(prof)
-    assert ranking.count() == 933
-    assert ranking.where("adjusted_rank > base_rank").count() == 91
+    assert ranking.count() == 1372
+    assert ranking.where("adjusted_rank > base_rank").count() == 257
 
 
 def test_deciles_and_correlation(spark, att):
     products = catalog.fixture.products(spark, SF01)
     dec = sorted((r["decile"], r["members"]) for r in op.seller_blame_deciles(att, products).collect())
-    assert [m for _, m in dec] == [73, 73, 73, 73, 72, 72, 72, 72, 72, 72]
+    assert [m for _, m in dec] == [129, 129, 129] + [128] * 7
     c = op.spec_delay_correlation(att, products).first()
-    assert (c["share_weight"], c["share_volume"], c["weight_dispatch"]) == (0.145352, 0.048289, 0.245327)
-    assert op.fulfilment_priority_groups(att, products).count() == 12
+    assert (c["share_weight"], c["share_volume"], c["weight_dispatch"]) == (0.152168, -0.008538, 0.183732)
+    assert op.fulfilment_priority_groups(att, products).count() == 18
 
 
 def test_regions(spark, att):
     sellers, cities = catalog.fixture.sellers(spark, SF01), catalog.fixture.cities(spark, SF01)
-    assert op.regional_bottlenecks(att, sellers, cities).count() == 25
-    assert op.unmatched_cities(sellers, cities).count() == 0
+    assert op.regional_bottlenecks(att, sellers, cities).count() == 30
+    assert op.unmatched_cities(sellers, cities).count() == 9

@@ -10,16 +10,45 @@ from latebound.session import checkpoint_root
 def test_prepared_store_same_results(spark):
     names = ["delay_attribution", "late_revenue_monthly", "black_sellers_rfm", "regional_bottlenecks",
              "seller_blame_deciles", "cohort_retention"]
-    before = {n: sorted(map(tuple, QUERIES[n](spark, SF001).collect())) for n in names}
+    before = {n: sorted(map(tuple, QUERIES[n](spark, SF001).collect()), key=str) for n in names}
     store = f"{checkpoint_root(spark)}/test-store-{uuid.uuid4().hex}"
-    catalog.prepare(spark, SF001, store)
-    try:
-        plan = catalog.attributed_lines(spark, SF001)._jdf.queryExecution().executedPlan().toString()
-        assert "lineitem.parquet" not in plan and "order_month" in plan
-        after = {n: sorted(map(tuple, QUERIES[n](spark, SF001).collect())) for n in names}
-        assert after == before
-    finally:
-        catalog.reset(spark, SF001)
+    prepared = catalog.prepare(spark, SF001, store)
+    plan = catalog.attributed_lines(spark, prepared)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem.parquet" not in plan
+    after = {n: sorted(map(tuple, QUERIES[n](spark, prepared).collect()), key=str) for n in names}
+    assert after == before
+    # the raw folder is still read as it is
+    assert sorted(map(tuple, QUERIES["delay_attribution"](spark, SF001).collect()), key=str) == before["delay_attribution"]
+    # seller analyses start from the written aggregate: no scan of the lines
+    for n in ("black_sellers_rfm", "tenure_vs_delay", "first_month_cohorts", "seller_penalty_ranking", "good_seller_badge"):
+        assert "/lines" not in QUERIES[n](spark, prepared)._jdf.queryExecution().executedPlan().toString(), n
+
+
+def test_new_files_are_seen(spark, tmp_path):
+    import shutil
+
+    src = tmp_path / "sf"
+    src.mkdir()
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"):
+        (src / f"{t}.parquet").mkdir()
+        shutil.copy(f"{SF001}/{t}.parquet", src / f"{t}.parquet" / "a.parquet")
+    count = lambda: sum(r["lines"] for r in QUERIES["delay_attribution"](spark, str(src)).collect())
+    before = count()
+    shutil.copy(f"{SF001}/lineitem.parquet", src / "lineitem.parquet" / "b.parquet")
+    assert count() == 2 * before
+
+
+def test_intermediates_are_deleted(spark):
+    import glob
+
+    from latebound.session import intermediates
+
+    folders = lambda: set(glob.glob(f"{checkpoint_root(spark).removeprefix('file:')}/latebound/*"))
+    before = folders()
+    with intermediates():
+        rows = QUERIES["rfm_scores"](spark, SF001).collect()
+        assert rows and folders() > before
+    assert folders() == before
 
 
 def test_prepared_fact_prunes_months(spark, tmp_path):
