@@ -66,9 +66,11 @@ def quality_counts(docs: DataFrame, text_col: str = "text", stop_words: list[str
                    number: str | None = None) -> DataFrame:
     """``docs`` plus the counts, and a row number called ``number`` if asked for. The steps are separate projections because
     each uses an array several times; Spark runs them in one stage."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    arrays = docs.select(
-        *[F.col(c) for c in docs.columns], text.alias("_text"),
+    cols = docs.columns
+    own = docs.toDF(*[f"c{i}" for i in range(len(cols))])  # so that no name of the input clashes with those below
+    text = F.coalesce(F.col(f"c{cols.index(text_col)}"), F.lit(""))
+    arrays = own.select(
+        "*", text.alias("_text"),
         words(text).alias("_words"),
         F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]"))).alias("_lines"))
     hashed = (arrays
@@ -101,7 +103,7 @@ def quality_counts(docs: DataFrame, text_col: str = "text", stop_words: list[str
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
         "n_stop_words": F.size(F.filter(plain, lambda w: w.isin(list(stop_words)))).cast("long"),
     }
-    return hashed.select(*[F.col(c) for c in docs.columns if c not in counts],
+    return hashed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols) if c not in counts],
                          *[c.alias(name) for name, c in counts.items()],
                          *([F.monotonically_increasing_id().alias(number)] if number else []))
 
