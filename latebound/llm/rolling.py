@@ -8,7 +8,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that multiplying by it loses no
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 #: Words remembered by a task; beyond it the memory starts anew.
-MEMORY = 500_000
+MEMORY = 200_000
 
 
 class WordHasher:

@@ -40,7 +40,7 @@ from .rolling import WordHasher, runs, windows
 from .stages import written
 from .words import byte_words
 
-Suffix = tuple[int, object, int, int, list[bytes], list[bytes]]
+SUFFIX = ["key", "row", "place", "right", "left"]
 
 
 def kept_positions(hashes: np.ndarray, min_words: int, key_words: int, gram: int) -> np.ndarray:
@@ -85,7 +85,10 @@ def _cut_out(min_words: int, key_words: int):
                     p = f["place"]
                     rows.append((f["key"], row, p, b" ".join(words[p:p + min_words]),
                                  b" ".join(words[max(0, p - before):p][::-1])))
-            yield pd.DataFrame(rows, columns=["key", "row", "place", "right", "left"])
+                if len(rows) >= 5_000:
+                    yield pd.DataFrame(rows, columns=SUFFIX)
+                    rows = []
+            yield pd.DataFrame(rows, columns=SUFFIX)
 
     return run
 
@@ -99,30 +102,31 @@ def _common(a: list[bytes], b: list[bytes]) -> int:
     return n
 
 
-def _match(x: Suffix, y: Suffix, min_words: int) -> list[tuple[object, int, int]]:
-    if x[0] != y[0]:
-        return []
-    right, left = _common(x[3], y[3]), _common(x[4], y[4])
-    if right + left < min_words:
-        return []
-    return [(s[1], s[2] - left, s[2] + right) for s in (x, y)]
-
-
 def _neighbours(min_words: int):
-    """Matches of neighbours in a sorted range; its first and last suffix come along as rows of their own."""
+    """The matched words of each suffix of a sorted range: as far as any match with a neighbour goes to the left
+    and to the right. The range's first and last suffix come along as rows of their own."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, edge = None, []
+        last, reach, edges = None, (0, 0), []
         for pdf in batches:
-            rows = []
-            for s in zip(pdf["key"], pdf["row"], pdf["place"], pdf["right"].map(bytes.split), pdf["left"].map(bytes.split)):
-                if last is None:
-                    edge.append(s)
-                else:
-                    rows += _match(last, s, min_words)
-                last = s
-            yield _frame(rows, [])
+            for lo in range(0, len(pdf), 2_000):
+                part, rows = pdf.iloc[lo:lo + 2_000], []
+                for key, row, place, right, left in zip(*(part[c].tolist() for c in SUFFIX)):
+                    new = (key, row, place, right.split(), left.split())
+                    got = (0, 0)
+                    if last is None:
+                        edges.append(new)
+                    elif last[0] == key:
+                        both = _common(last[4], new[4]), _common(last[3], new[3])
+                        if sum(both) >= min_words:
+                            got = both
+                            reach = max(reach[0], got[0]), max(reach[1], got[1])
+                    if any(reach):
+                        rows.append((last[1], last[2] - reach[0], last[2] + reach[1]))
+                    last, reach = new, got
+                yield _frame(rows, [])
         if last is not None:
-            yield _frame([], [edge[0], last])
+            edges.append(last)
+            yield _frame([(last[1], last[2] - reach[0], last[2] + reach[1])] if any(reach) else [], edges)
 
     return run
 
@@ -183,7 +187,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     suffixes = written(source.select("row", "text").join(places, "row").mapInPandas(
         _cut_out(min_words, key_words), "key long, row long, place long, right binary, left binary"), "suffixes")
     found = _matches(suffixes, "right", "left", min_words).union(_matches(suffixes, "left", "right", min_words))
-    spans = written(found.distinct().groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("found"))
+    spans = written(found.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("found"))
                     .mapInPandas(_spans, "row long, n_repeated long, spans array<struct<from: int, to: int>>"),
                     "suffix_spans")
     classes = classes.join(spans, "row", "left").select("sha", "copies", "n_repeated", "spans")
