@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import WordHasher, runs, sliding_min, windows
-from .stages import written
+from .stages import discard, written
 from .words import byte_words
 
 
@@ -202,13 +202,16 @@ def repeated_phrases(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                      .filter("a < b").select("value"), "phrase_values")
     anchors = written(values.join(shared, "value").groupBy("id", "hash").agg(F.collect_set("value").alias("vals")),
                       "phrase_anchors")
+    discard(shared)
     cands = written(named.join(anchors, ["id", "hash"]), "phrase_candidates")
+    discard(anchors)
 
     confirmed = written(cands.mapInPandas(_window_hashes(window, gram), f"id {kind}, w long")
                         .groupBy("w").agg(F.min("id").alias("id"), F.max("id").alias("b"))
                         .filter("id < b").groupBy("id").agg(F.collect_list("w").alias("own")), "phrase_windows")
     passages = written(cands.join(confirmed, "id").select("id", "text", "own").mapInPandas(
         _passages(window, gram), f"owner {kind}, words binary, n long, vals array<long>"), "phrase_passages")
+    discard(confirmed)
     n_words = passages.agg(F.sum("n")).first()[0] or 0
     shards = max(1, math.ceil(n_words / shard_words))
     passages = passages.withColumn("shard", F.pmod(F.xxhash64("owner"), F.lit(shards)))

@@ -14,3 +14,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     out = materialize(df, name)
     df.sparkSession.sparkContext._jvm.System.gc()
     return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a written step that no later one reads."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

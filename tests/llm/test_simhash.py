@@ -34,7 +34,7 @@ def plain_groups(prints, bits):
     least = {}
     for i in ids:
         if prints[i][0] is not None:
-            least[group[i]] = min(least.get(group[i], 1 << 60), prints[i][0])
+            least[group[i]] = min(least.get(group[i], prints[i][0]), prints[i][0])
     return [least.get(g) for g in group]
 
 
