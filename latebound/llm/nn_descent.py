@@ -9,14 +9,17 @@ Equal vectors are one node with a count. Every node keeps a list of neighbours.
 2. Descent: around each node, its neighbours and those that list it (cut into
    random blocks if there are many) are compared with each other; who finds
    better neighbours lists them. A list in which all are over the threshold is
-   saturated and may grow to twice its length in the next round.
-3. Audit: ``audit`` nodes, chosen by hash, are compared with all nodes. If less
+   saturated and may grow to ``most``, then to twice its length in each round.
+   Rounds go on until one joins no more components.
+3. Lists are cut, links are not: every comparison also gives a spanning forest
+   of all its links, and the components are those of the forests.
+4. Audit: ``audit`` nodes, chosen by hash, are compared with all nodes. If less
    than ``recall`` of their links lie inside the components found so far, the
    descent starts again with more orders.
-4. The edges over the threshold are kept. Their components hold what links with
-   what; links are counted exactly inside each component, in tiles of ``tile``
-   by ``tile`` nodes, so that a group of very many near copies neither lands in
-   one task nor becomes a table of all its pairs.
+5. Components hold what links with what; links are counted exactly inside each
+   component, in tiles of ``tile`` by ``tile`` nodes, so that a group of very
+   many near copies neither lands in one task nor becomes a table of all its
+   pairs.
 
 Cosines are computed in double precision. Only edges of at least ``reach`` are
 followed: two vectors that link with the same one are that near to each other.
@@ -46,28 +49,49 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _best(ids: np.ndarray, x: np.ndarray, y_ids: np.ndarray, y: np.ndarray, keep: int, reach: float) -> list[np.ndarray]:
-    """For each of ``ids`` the ``keep`` nearest others of ``y_ids`` of at least ``reach``."""
-    sims = x @ y.T
-    sims[ids[:, None] == y_ids[None, :]] = -2
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the graph that ``near`` says: fewer edges than nodes, the same components."""
+    free = near.any(axis=1)
+    u, v = [], []
+    for start in np.flatnonzero(free):
+        if free[start]:
+            free[start], todo = False, [start]
+            while todo:
+                at = todo.pop()
+                new = np.flatnonzero(near[at] & free)
+                free[new] = False
+                u += [at] * len(new)
+                v += new.tolist()
+                todo += new.tolist()
+    return np.array(u, dtype=np.int64), np.array(v, dtype=np.int64)
+
+
+def _best(ids: np.ndarray, x: np.ndarray, keep: int, reach: float, threshold: float) -> list[np.ndarray]:
+    """For each of ``ids`` the ``keep`` nearest others of at least ``reach``, and a forest of all that link."""
+    sims = x @ x.T
+    sims[ids[:, None] == ids[None, :]] = -2
     k = min(keep, sims.shape[1])
     top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
     best = np.take_along_axis(sims, top, axis=1)
     ok = best >= reach
-    return [np.repeat(ids, ok.sum(axis=1)), y_ids[top][ok], best[ok]]
+    a, b = _forest(sims >= threshold)
+    return [np.concatenate([np.repeat(ids, ok.sum(axis=1)), ids[a]]), np.concatenate([ids[top][ok], ids[b]]),
+            np.concatenate([best[ok], sims[a, b]]), np.arange(ok.sum() + len(a)) >= ok.sum()]
 
 
 def _frame(parts: list[list[np.ndarray]]) -> pd.DataFrame:
     if not parts:
-        return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64), "sim": np.empty(0)})
-    u, v, sim = (np.concatenate(p) for p in zip(*parts))
-    return pd.DataFrame({"u": u, "v": v, "sim": sim})
+        return pd.DataFrame({"u": np.empty(0, np.int64), "v": np.empty(0, np.int64), "sim": np.empty(0),
+                             "tree": np.empty(0, bool)})
+    u, v, sim, tree = (np.concatenate(p) for p in zip(*parts))
+    return pd.DataFrame({"u": u, "v": v, "sim": sim, "tree": tree})
 
 
-EDGES = "u long, v long, sim double"
+#: Edges of lists, which are cut, and edges of forests (``tree``), which are not.
+EDGES = "u long, v long, sim double, tree boolean"
 
 
-def _blocks(block: int, keep: int, reach: float):
+def _blocks(block: int, keep: int, reach: float, threshold: float):
     """Edges inside blocks of consecutive rows; each block starts with the second half of the one before."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -77,12 +101,12 @@ def _blocks(block: int, keep: int, reach: float):
             while len(held) >= block:
                 head = held.iloc[:block]
                 ids, x = head["id"].to_numpy(), _unit(head["vec"])
-                parts.append(_best(ids, x, ids, x, keep, reach))
+                parts.append(_best(ids, x, keep, reach, threshold))
                 held = held.iloc[block // 2:]
             yield _frame(parts)
         if held is not None and len(held):
             ids, x = held["id"].to_numpy(), _unit(held["vec"])
-            yield _frame([_best(ids, x, ids, x, keep, reach)])
+            yield _frame([_best(ids, x, keep, reach, threshold)])
 
     return run
 
@@ -102,23 +126,24 @@ def _codes(planes: np.ndarray):
     return run
 
 
-def start_lists(nodes: DataFrame, dim: int, orders: int, block: int, keep: int, reach: float, seed: int) -> DataFrame:
+def start_lists(nodes: DataFrame, dim: int, orders: int, block: int, keep: int, reach: float,
+                threshold: float, seed: int) -> DataFrame:
     """Edges among near rows of each random order."""
     planes = np.random.default_rng(seed).standard_normal((orders, 62, dim))
     coded = written(nodes.select("id", "vec").mapInPandas(
         _codes(planes), f"turn int, code long, id long, vec {nodes.schema['vec'].dataType.simpleString()}"), "nn_codes")
     return coded.repartitionByRange("turn", "code", "id").sortWithinPartitions("turn", "code", "id").mapInPandas(
-        _blocks(block, keep, reach), EDGES)
+        _blocks(block, keep, reach, threshold), EDGES)
 
 
-def _local_joins(keep: int, reach: float):
+def _local_joins(keep: int, reach: float, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             parts = []
             for members in pdf["members"]:
                 ids = np.array([m["id"] for m in members], dtype=np.int64)
                 x = _unit(pd.Series([m["vec"] for m in members]))
-                parts.append(_best(ids, x, ids, x, keep, reach))
+                parts.append(_best(ids, x, keep, reach, threshold))
             yield _frame(parts)
 
     return run
@@ -127,12 +152,12 @@ def _local_joins(keep: int, reach: float):
 def best_lists(edges: DataFrame, keep: int, grown: int, threshold: float) -> DataFrame:
     """Each node's ``keep`` best neighbours; up to ``grown`` where all of them are over the threshold."""
     place = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return (edges.dropDuplicates(["u", "v"]).withColumn("place", place)
+    return (edges.filter("not tree").dropDuplicates(["u", "v"]).withColumn("place", place)
             .filter((F.col("place") <= keep) | ((F.col("place") <= grown) & (F.col("sim") >= threshold))).drop("place"))
 
 
-def descend(nodes: DataFrame, edges: DataFrame, keep: int, grown: int, reach: float, threshold: float,
-            block: int) -> DataFrame:
+def compare_around(nodes: DataFrame, edges: DataFrame, grown: int, reach: float, threshold: float,
+                   block: int) -> DataFrame:
     """One round: neighbours and reverse neighbours of each node are compared with each other."""
     around = edges.select(F.col("u").alias("w"), F.col("v").alias("id")).union(
         edges.select(F.col("v").alias("w"), F.col("u").alias("id"))).distinct()
@@ -142,8 +167,7 @@ def descend(nodes: DataFrame, edges: DataFrame, keep: int, grown: int, reach: fl
              .join(nodes.select("id", "vec"), "id")
              .groupBy("w", "salt").agg(F.collect_list(F.struct("id", "vec")).alias("members"))
              .filter(F.size("members") > 1).select("members"))
-    found = joins.mapInPandas(_local_joins(grown, reach), EDGES)
-    return best_lists(edges.union(found), keep, grown, threshold)
+    return joins.mapInPandas(_local_joins(grown, reach, threshold), EDGES)
 
 
 def count_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
@@ -175,6 +199,12 @@ def count_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     return dealt.mapInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def join_components(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+    """The components with ``links`` added, and how many nodes are not the root of theirs."""
+    roots = written(connected_components(roots.toDF("u", "v").union(links.select("u", "v"))), "nn_roots")
+    return roots, roots.filter("node != root").count()
+
+
 def audit_recall(nodes: DataFrame, roots: DataFrame, threshold: float, audit: int) -> float:
     """Share of the links of ``audit`` nodes, chosen by hash, that lie inside the components found."""
     picked = nodes.select("id", "vec").orderBy(F.xxhash64("id")).limit(audit).collect()
@@ -200,7 +230,7 @@ def audit_recall(nodes: DataFrame, roots: DataFrame, threshold: float, audit: in
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95,
                  reach: float = 0.8, keep: int = 12, most: int = 48, orders: int = 12, block: int = 128,
-                 rounds: int = 3, audit: int = 400, recall: float = 0.999, attempts: int = 3, tile: int = 512,
+                 audit: int = 400, recall: float = 0.999, attempts: int = 3, tile: int = 512,
                  seed: int = 42) -> DataFrame:
     """Per vector: ``vec_id, n_links, component_id, kept``."""
     base = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
@@ -213,18 +243,19 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     # A node per different vector; ids of nodes are numbers of their own, as the vectors' ids may be null or repeat.
     nodes = written(base.filter("sound").groupBy("vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
                     .withColumn("id", F.monotonically_increasing_id()), "nn_nodes")
+    roots = nodes.select("id", "id").limit(0).toDF("node", "root")
     for attempt in range(attempts):
-        lists = written(best_lists(start_lists(nodes, max(dim, 1), orders << attempt, block, keep, reach, seed + attempt),
-                                   keep, 2 * keep, threshold), "nn_lists")
-        grown, size = keep, lists.count()
-        for _ in range(rounds):
-            grown = min(most, 2 * grown)
-            lists = written(descend(nodes, lists, keep, grown, reach, threshold, block), "nn_lists")
-            now = lists.count()
-            if now <= size * 1.001:
+        found = written(start_lists(nodes, max(dim, 1), orders << attempt, block, keep, reach, threshold, seed + attempt),
+                        "nn_found")
+        roots, joined = join_components(roots, found.filter("tree"))
+        lists, grown = written(best_lists(found, keep, 2 * keep, threshold), "nn_lists"), max(most, 2 * keep)
+        while True:
+            found = written(compare_around(nodes, lists, grown, reach, threshold, block), "nn_found")
+            before = joined
+            roots, joined = join_components(roots, found.filter("tree"))
+            if joined == before:
                 break
-            size = now
-        roots = written(connected_components(lists.filter(F.col("sim") >= threshold).select("u", "v")), "nn_roots")
+            lists, grown = written(best_lists(lists.union(found), keep, grown, threshold), "nn_lists"), 2 * grown
         if audit_recall(nodes, roots, threshold, audit) >= recall:
             break
     members = nodes.join(roots, nodes["id"] == roots["node"]).select("id", "root", "vec", "n", "least")

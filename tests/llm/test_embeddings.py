@@ -65,3 +65,27 @@ def test_none_and_nothing(spark):
     rows = [(None, [1.0, 0.0], 0, "", "", ""), (4, [1.0, 0.0], 0, "", "", ""), (4, [2.0, 0.0], 0, "", "", ""), (9, None, 0, "", "", "")]
     got = sorted((tuple(r) for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     assert got == sorted([(None, 2, 4, False), (4, 2, 4, True), (4, 2, 4, True), (9, 0, 9, True)], key=str)
+
+
+def linked_groups(rng, size, dim=16):
+    """Two tight groups whose members lie just over the threshold from each other, as rows ``id, vector``."""
+    a = rng.standard_normal(dim)
+    a /= np.linalg.norm(a)
+    b = rng.standard_normal(dim)
+    b -= (a @ b) * a
+    b /= np.linalg.norm(b)
+    far = 0.9515 * a + np.sqrt(1 - 0.9515 ** 2) * b
+    out = [c + 0.001 * rng.standard_normal(dim) for c in (a, far) for _ in range(size)]
+    return [(i * 2 + 2, [float(c) for c in v]) for i, v in enumerate(out)]
+
+
+def found(spark, data, **options):
+    df = spark.createDataFrame([(i, v, 0, "x", "x", "x") for i, v in data], SCHEMA).repartition(3)
+    return sorted(tuple(r) for r in near_vectors(df, **options).select("vec_id", "n_links", "component_id", "kept").collect())
+
+
+def test_links_of_full_lists_are_not_lost(spark):
+    data = linked_groups(np.random.default_rng(5), 300)
+    want = plain(data)
+    assert len({r[2] for r in want}) == 1
+    assert found(spark, data) == want
