@@ -3,9 +3,10 @@
 Equal vectors are one node with a count. Every node keeps a list of neighbours.
 
 1. Start: the nodes are sorted by codes of random hyperplanes, ``orders`` times
-   with other planes; near vectors share long code prefixes. In each order,
-   blocks of ``block`` consecutive nodes, overlapping by half, are compared, and
-   each node's best are listed.
+   with other planes, more often if there are many nodes (``orders_for``); near
+   vectors share long code prefixes. In each order, blocks of ``block``
+   consecutive nodes, overlapping by half, are compared, and each node's best
+   are listed.
 2. Descent: around each node, its neighbours and those that list it (cut into
    random blocks if there are many) are compared with each other; who finds
    better neighbours lists them. A list in which all are over the threshold is
@@ -13,9 +14,12 @@ Equal vectors are one node with a count. Every node keeps a list of neighbours.
    Rounds go on until one joins no more components.
 3. Lists are cut, links are not: every comparison also gives a spanning forest
    of all its links, and the components are those of the forests.
-4. Audit: ``audit`` nodes, chosen by hash, are compared with all nodes. If less
-   than ``recall`` of their links lie inside the components found so far, the
-   descent starts again with more orders.
+4. Audit: nodes, chosen by hash, are compared with all nodes, ``audit`` first
+   and then more until ``audit_linked`` of them had links or all were compared.
+   Links that it finds join components too. If less than ``recall`` of the nodes
+   with links had them all inside their component, the descent starts again with
+   more orders; after the last attempt the audit goes on over all nodes, which
+   is the exact comparison.
 5. Components hold what links with what; links are counted exactly inside each
    component, in tiles of ``tile`` by ``tile`` nodes, so that a group of very
    many near copies neither lands in one task nor becomes a table of all its
@@ -34,6 +38,7 @@ are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -199,38 +204,75 @@ def count_links(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     return dealt.mapInPandas(run, "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
+def orders_for(n: int, block: int, threshold: float, recall: float) -> int:
+    """Orders after which two vectors at the threshold have met in a block with a chance of ``recall``, if ``n`` nodes
+    spread evenly over the codes: a block then is as wide as the codes that share log2(n / block) leading signs."""
+    same = 1 - np.arccos(min(threshold, 1.0)) / np.pi
+    meet = same ** max(0.0, np.log2(max(n, 1) / max(1, block // 2)))
+    return 1 if meet >= recall else int(np.ceil(np.log(1 - recall) / np.log(1 - meet)))
+
+
 def join_components(roots: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
     """The components with ``links`` added, and how many nodes are not the root of theirs."""
     roots = written(connected_components(roots.toDF("u", "v").union(links.select("u", "v"))), "nn_roots")
     return roots, roots.filter("node != root").count()
 
 
-def audit_recall(nodes: DataFrame, roots: DataFrame, threshold: float, audit: int) -> float:
-    """Share of the links of ``audit`` nodes, chosen by hash, that lie inside the components found."""
-    picked = nodes.select("id", "vec").orderBy(F.xxhash64("id")).limit(audit).collect()
-    if not picked:
-        return 1.0
+#: Nodes have places by hash, which the audit walks through.
+PLACES = 1 << 40
+
+
+def audit_links(placed: DataFrame, threshold: float, low: int, high: int) -> DataFrame:
+    """The nodes of ``placed`` (``id, vec, root``) with places from ``low`` to ``high``, compared with all. Rows
+    ``u, seen, inside, v``: links of ``u`` in a task, those inside its component, or a link to another component."""
+    place = F.pmod(F.xxhash64("id"), F.lit(PLACES))
+    picked = placed.filter((place >= low) & (place < high)).collect()
     ids = np.array([r["id"] for r in picked], dtype=np.int64)
-    x = _unit(pd.Series([r["vec"] for r in picked]))
+    roots = np.array([r["root"] for r in picked], dtype=np.int64)
+    x = _unit(pd.Series([r["vec"] for r in picked])) if picked else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for lo in range(0, len(pdf), 4096):
-                part = pdf.iloc[lo:lo + 4096]
-                own = part["id"].to_numpy()
-                a, b = np.nonzero((x @ _unit(part["vec"]).T >= threshold) & (ids[:, None] != own[None, :]))
-                yield pd.DataFrame({"a": ids[a], "b": own[b]})
-
-    true = nodes.select("id", "vec").mapInPandas(run, "a long, b long")
-    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
-    got = true.join(ra, "a", "left").join(rb, "b", "left").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(F.col("ra") == F.col("rb")).alias("inside")).first()
-    return got["inside"] / got["n"] if got["n"] else 1.0
+        seen, inside = np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
+        for pdf in batches if len(ids) else ():
+            for lo in range(0, len(pdf), 1024):
+                part = pdf.iloc[lo:lo + 1024]
+                own, own_roots = part["id"].to_numpy(), part["root"].to_numpy()
+                near = (x @ _unit(part["vec"]).T >= threshold) & (ids[:, None] != own[None, :])
+                seen += near.sum(axis=1)
+                a, b = np.nonzero(near)
+                same = roots[a] == own_roots[b]
+                inside += np.bincount(a[same], minlength=len(ids))
+                a, b = a[~same], b[~same]
+                # One link to each other component is enough to join it.
+                missed = pd.DataFrame({"u": ids[a], "seen": 0, "inside": 0, "v": own[b], "root": own_roots[b]})
+                yield missed.drop_duplicates(["u", "root"]).drop(columns="root")
+        at = seen > 0
+        yield pd.DataFrame({"u": ids[at], "seen": seen[at], "inside": inside[at], "v": pd.array([None] * at.sum(), "Int64")})
+
+    return written(placed.mapInPandas(run, "u long, seen long, inside long, v long"), "nn_audit")
+
+
+def audit_components(nodes: DataFrame, roots: DataFrame, total: int, threshold: float, audit: int, audit_linked: int,
+                     recall: float, last: bool) -> tuple[DataFrame, bool]:
+    """The components with the links that the audit finds, and whether they need no other attempt."""
+    placed = written(nodes.select("id", "vec").join(roots, F.col("id") == F.col("node"), "left")
+                     .select("id", "vec", F.coalesce("root", "id").alias("root")), "nn_placed")
+    low, linked, whole, size, passes = 0, 0, 0, audit, []
+    while low < PLACES and (linked < audit_linked or (last and whole < recall * linked)):
+        high = min(PLACES, low + -(-PLACES * size // max(total, 1)))
+        passes.append(audit_links(placed, threshold, low, high))
+        sums = passes[-1].groupBy("u").agg(F.sum("seen").alias("seen"), F.sum("inside").alias("inside")).agg(
+            F.count(F.lit(1)), F.count_if(F.col("seen") == F.col("inside"))).first()
+        linked, whole = linked + sums[0], whole + sums[1]
+        low, size = high, min(4 * size, 8192)
+    if whole < linked:
+        roots, _ = join_components(roots, reduce(DataFrame.union, passes).filter("v is not null"))
+    return roots, low >= PLACES or whole >= recall * linked
 
 
 def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.95,
                  reach: float = 0.8, keep: int = 12, most: int = 48, orders: int = 12, block: int = 128,
-                 audit: int = 400, recall: float = 0.999, attempts: int = 3, tile: int = 512,
+                 audit: int = 400, audit_linked: int = 1000, recall: float = 0.999, attempts: int = 3, tile: int = 512,
                  seed: int = 42) -> DataFrame:
     """Per vector: ``vec_id, n_links, component_id, kept``."""
     base = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
@@ -243,6 +285,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
     # A node per different vector; ids of nodes are numbers of their own, as the vectors' ids may be null or repeat.
     nodes = written(base.filter("sound").groupBy("vec").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
                     .withColumn("id", F.monotonically_increasing_id()), "nn_nodes")
+    total = nodes.count()
+    orders = max(orders, orders_for(total, block, threshold, recall))
     roots = nodes.select("id", "id").limit(0).toDF("node", "root")
     for attempt in range(attempts):
         found = written(start_lists(nodes, max(dim, 1), orders << attempt, block, keep, reach, threshold, seed + attempt),
@@ -256,7 +300,8 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "
             if joined == before:
                 break
             lists, grown = written(best_lists(lists.union(found), keep, grown, threshold), "nn_lists"), 2 * grown
-        if audit_recall(nodes, roots, threshold, audit) >= recall:
+        roots, done = audit_components(nodes, roots, total, threshold, audit, audit_linked, recall, attempt == attempts - 1)
+        if done:
             break
     members = nodes.join(roots, nodes["id"] == roots["node"]).select("id", "root", "vec", "n", "least")
     links = count_links(members.drop("least"), threshold, tile)

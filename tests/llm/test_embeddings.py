@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from latebound.llm.nn_descent import near_vectors
+from latebound.llm.nn_descent import near_vectors, orders_for
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id string, root string, vec string"
 
@@ -89,3 +89,18 @@ def test_links_of_full_lists_are_not_lost(spark):
     want = plain(data)
     assert len({r[2] for r in want}) == 1
     assert found(spark, data) == want
+
+
+def test_audit_secures_what_the_search_misses(spark):
+    rng = np.random.default_rng(6)
+    data = []
+    for _ in range(200):                                       # pairs near the threshold with no other neighbour
+        v = rng.standard_normal(16)
+        data += [v, v + 0.3 * rng.standard_normal(16) * np.linalg.norm(v) / 4]
+    data = [(i * 2 + 2, [float(c) for c in v]) for i, v in enumerate(data)]
+    assert found(spark, data, orders=1, block=4, attempts=1, audit=20, audit_linked=10) == plain(data)
+
+
+def test_orders_grow_with_the_table():
+    few, many = (orders_for(n, 128, 0.95, 0.999) for n in (10_000, 20_000_000))
+    assert 1 < few < many and orders_for(50, 128, 0.95, 0.999) == 1
