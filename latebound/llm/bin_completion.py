@@ -23,7 +23,9 @@ table; other columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -81,47 +83,67 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def completions(counts: dict[int, int], room: int, limit: int) -> list[Filling]:
-    """Undominated fillings of ``room``, the least waste first. A filling is
-    dominated if some of its lengths can be replaced by one larger length that
-    is left and still fits: a single length that fills the room exactly
-    dominates all others, and a filling is extended until nothing fits."""
+def _exact(lengths: list[int], most: list[int], sums: list[int], total: int) -> Iterator[Filling]:
+    """Every choice of lengths with the sum ``total``, large lengths first. Only choices that can be completed are
+    followed, and one level holds all pieces of a length."""
+    def choices(i: int, left: int) -> Iterator[tuple[int, int, int, int]]:
+        for j in range(i, len(lengths)):
+            if not sums[j] >> left & 1:
+                return
+            n = lengths[j]
+            for k in range(min(most[j], left // n), 0, -1):
+                if sums[j + 1] >> (left - k * n) & 1:
+                    yield j + 1, left - k * n, n, k
+
+    if not total:
+        yield ()
+        return
+    stack, chosen = [choices(0, total)], []
+    while stack:
+        step = next(stack[-1], None)
+        if step is None:
+            stack.pop()
+            if chosen:
+                chosen.pop()
+            continue
+        at, left, n, k = step
+        if left:
+            stack.append(choices(at, left))
+            chosen.append((n,) * k)
+        else:
+            yield tuple(x for part in [*chosen, (n,) * k] for x in part)
+
+
+def fillings(counts: dict[int, int], room: int) -> Iterator[Filling | None]:
+    """All undominated fillings of ``room``, the least waste first, and None for each dominated one passed over. A
+    filling is dominated if a length that is left still fits, in place of a smaller one or beside all: a single
+    length that fills the room exactly dominates all others."""
     if counts.get(room):
-        return [(room,)]
+        yield (room,)
+        return
     lengths = sorted((n for n, c in counts.items() if c and n <= room), reverse=True)
-    found: dict[Filling, int] = {}
-
-    def fill(at: int, left: int, chosen: Filling) -> None:
-        if len(found) >= 8 * limit:
-            return
-        deeper = False
-        for i in range(at, len(lengths)):
-            n = lengths[i]
-            if n <= left and chosen.count(n) < counts[n]:
-                deeper = True
-                fill(i, left - n, (*chosen, n))
-                if any(waste == 0 for waste in found.values()) and len(found) >= limit:
-                    return
-        if not deeper:
-            found[chosen] = left
-
-    # Exact pairs first: two lengths that fill the room cannot be found late by the descent below.
-    for a in lengths:
-        b = room - a
-        if b > a:
-            continue
-        if b and counts.get(b, 0) > (a == b):
-            found[(a, b)] = 0
-        if b <= 0 or len(found) >= limit:
-            break
-    fill(0, room, ())
+    most = [min(counts[n], room // n) for n in lengths]
+    # Bit s of sums[i]: lengths[i:] can fill exactly s.
+    sums, mask = [1], (1 << room + 1) - 1
+    for n, m in zip(lengths[::-1], most[::-1]):
+        reach, step = sums[-1], 1
+        while m:
+            k = min(step, m)
+            reach |= (reach << k * n) & mask
+            m, step = m - k, 2 * step
+        sums.append(reach)
+    sums.reverse()
+    for waste in range(room + 1):
+        if sums[0] >> (room - waste) & 1:
+            for f in _exact(lengths, most, sums, room - waste):
+                used = Counter(f)
+                spare = [n for n in lengths if counts[n] > used[n]] if waste else []
+                yield None if any(x < n <= x + waste for x in [0, *used] for n in spare) else f
 
-    def dominated(f: Filling) -> bool:
-        slack = found[f]
-        return any(counts[n] > f.count(n) and x < n <= x + slack for n in lengths for x in set(f))
 
-    good = [f for f in found if not dominated(f)] or list(found)
-    return sorted(good, key=lambda f: (found[f], [-n for n in f]))[:limit]
+def completions(counts: dict[int, int], room: int, limit: int) -> list[Filling]:
+    """The first ``limit`` undominated fillings of ``room``, the least waste first."""
+    return list(islice((f for f in fillings(counts, room) if f is not None), limit))
 
 
 def pack_lengths(counts: dict[int, int], capacity: int, *, node_limit: int = 3000,
@@ -183,13 +205,13 @@ def pack_lengths(counts: dict[int, int], capacity: int, *, node_limit: int = 300
     return best
 
 
-def slots(fillings: list[tuple[Filling, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def slots(packed: list[tuple[Filling, int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Per length: first rank of each run of slots, the sequence of that rank, and the offset. Within a
     run, the next rank has the next sequence and the same offset."""
     runs: dict[int, list[tuple[int, int, int]]] = {}
     taken: Counter = Counter()
     base = 0
-    for filling, times in fillings:
+    for filling, times in packed:
         offset = 0
         for n in filling:
             runs.setdefault(n, []).append((taken[n], base, offset))

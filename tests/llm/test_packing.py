@@ -189,3 +189,13 @@ def test_matrices_round_trip(spark, tmp_path):
         else:
             assert sorted(joined) == sorted(sum(texts, []))
     assert pack_token_rows(empty(spark), tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
+
+
+def test_many_pieces_in_a_sequence():
+    counts = {683: 50, 1: 5000}  # a filling of more pieces than Python has frames
+    packed = pack_lengths(counts, 2048, node_limit=100)
+    used = Counter()
+    for filling, n in packed:
+        assert sum(filling) <= 2048
+        used.update({x: n * k for x, k in Counter(filling).items()})
+    assert used == counts and sum(n for _, n in packed) == 25
