@@ -8,7 +8,7 @@ from cases import documents, empty, rows
 from tokenizers import Tokenizer
 
 from latebound.llm.bin_completion import (best_fit_decreasing, completions, lower_bound, pack_documents, pack_lengths,
-                                          slots)
+                                          search, slots)
 from latebound.llm.queries import tokenizer_path
 from latebound.llm.token_bins import RoomTree, best_fit_rows, pack_token_rows, positions, unpack, write_packed
 from latebound.llm.tokens import Encoder, byte_bpe, word_bpe
@@ -199,3 +199,19 @@ def test_many_pieces_in_a_sequence():
         assert sum(filling) <= 2048
         used.update({x: n * k for x, k in Counter(filling).items()})
     assert used == counts and sum(n for _, n in packed) == 25
+
+
+def test_search_uses_fillings_less_often_than_possible():
+    for least, cap, counts in [(12, 100, {39: 4, 32: 7, 6: 3, 34: 6, 35: 5, 50: 7}),
+                               (10, 50, {17: 1, 16: 5, 18: 9, 7: 4, 26: 7})]:
+        assert sum(n for _, n in pack_lengths(counts, cap)) == least
+        assert search(counts, cap)[1]
+
+
+def test_search_says_whether_the_optimum_is_proven():
+    rnd = random.Random(3)
+    for _ in range(100):
+        cap = rnd.choice([20, 30])
+        items = [n for n in rnd.sample(range(2, cap // 2 + 1), 4) for _ in range(rnd.randint(1, 3))]
+        packed, proven = search(Counter(items), cap)
+        assert proven and sum(n for _, n in packed) == optimum(items, cap)
