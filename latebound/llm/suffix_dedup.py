@@ -115,7 +115,7 @@ def _neighbours(min_words: int):
                     got = (0, 0)
                     if last is None:
                         edges.append(new)
-                    elif last[0] == key:
+                    elif last[0] == key and last[1:3] != new[1:3]:
                         both = _common(last[4], new[4]), _common(last[3], new[3])
                         if sum(both) >= min_words:
                             got = both
@@ -125,7 +125,8 @@ def _neighbours(min_words: int):
                     last, reach = new, got
                 yield _frame(rows, [])
         if last is not None:
-            edges.append(last)
+            if last is not edges[0]:  # a range of one suffix has one end
+                edges.append(last)
             yield _frame([(last[1], last[2] - reach[0], last[2] + reach[1])] if any(reach) else [], edges)
 
     return run

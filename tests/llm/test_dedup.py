@@ -123,3 +123,19 @@ def test_rolling_helpers():
     at = kept_positions(WordHasher()([str(i).encode() for i in range(400)]), 50, 25, 8)
     assert np.diff(at).max() <= 26 and at[0] <= 25 and at[-1] >= 400 - 50
     assert runs(np.array([True, False, True, True])) == [(0, 1), (2, 4)]
+
+
+def test_ranges_of_one_suffix(spark):
+    rnd = random.Random(4)
+    key = [f"k{i}" for i in range(25)]  # shared, but too short for a passage
+    docs = [(i, " ".join([f"a{i}_{j}" for j in range(60)] + key + [f"b{i}_{j}" for j in range(rnd.randint(50, 60))]))
+            for i in range(4)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    before = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert found_passages(df, min_words=26, key_words=20, gram=4) == plain_passages(docs, 26)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before[0])
+        spark.conf.set("spark.sql.shuffle.partitions", before[1])
