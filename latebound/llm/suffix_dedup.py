@@ -10,16 +10,14 @@ copy, and about one position of thirteen is kept (50 and 25 words).
 1. Documents with equal texts are found by a digest, and one stands for all.
    Suffixes are keyed by a hash of their first ``key_words`` words; keys that
    occur once have no copy and go (a count, summed before the shuffle).
-2. The others are cut out with the words around them and sorted over the
-   cluster, twice: by the words from the position on, and by the words before
-   it, read backwards. Ranges of the order go to tasks; equal suffixes are
-   ordered by document, so a passage that very many documents share is spread.
-3. Neighbours with equal keys are compared word by word, from the position to
-   the right and to the left. Together ``min_words`` words or more make a match.
-   The first and last suffix of each range are compared as well.
+2. A window of ``min_words`` words belongs to the kept suffix in it whose group
+   has the least hash, which is at the same place in every copy. The windows
+   that belong to suffixes with shared keys are counted over the cluster by
+   their suffix's key and their own hash, 128 bits together (partial sums before
+   the shuffle). Windows that occur twice or more are matches: all of them are
+   found, whatever else shares their key.
 
-Matched words of a document are joined to spans. A match longer than a window
-is covered by the windows in it, so a neighbour needs no more words than these.
+Matched windows of a document are joined to spans.
 
 Cases: null, empty and short texts have no spans; a passage that occurs twice
 in one document counts; equal ids and repeated rows are documents of their own
@@ -37,22 +35,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import WordHasher, runs, windows
-from .stages import written
+from .stages import discard, written
 from .words import byte_words
 
-SUFFIX = ["key", "row", "place", "right", "left"]
+#: Windows that a task hands on at a time.
+PART = 100_000
 
 
-def kept_positions(hashes: np.ndarray, min_words: int, key_words: int, gram: int) -> np.ndarray:
-    """Positions of kept suffixes (the first of equal least groups)."""
+def window_places(hashes: np.ndarray, min_words: int, key_words: int, gram: int) -> np.ndarray:
+    """For each window of ``min_words`` words the position of its kept suffix (the first of equal least groups)."""
     span = min_words - key_words + 1
     groups = windows(hashes, gram)[: max(0, len(hashes) - key_words + 1)]
     if len(groups) < span:
         return np.empty(0, dtype=np.int64)
     view = np.lib.stride_tricks.sliding_window_view(groups, span)
-    at = np.concatenate([view[i:i + 4096].argmin(axis=1) + np.arange(i, min(i + 4096, len(view)))
-                         for i in range(0, len(view), 4096)])
-    return np.unique(at)
+    return np.concatenate([view[i:i + 4096].argmin(axis=1) + np.arange(i, min(i + 4096, len(view)))
+                           for i in range(0, len(view), 4096)])
+
+
+def kept_positions(hashes: np.ndarray, min_words: int, key_words: int, gram: int) -> np.ndarray:
+    """Positions of kept suffixes."""
+    return np.unique(window_places(hashes, min_words, key_words, gram))
 
 
 def _suffix_keys(min_words: int, key_words: int, gram: int):
@@ -73,99 +76,38 @@ def _suffix_keys(min_words: int, key_words: int, gram: int):
     return run
 
 
-def _cut_out(min_words: int, key_words: int):
-    before = min_words - key_words
-
+def _shared_windows(min_words: int, key_words: int, gram: int):
+    """Rows ``row, start, key, hash``: the windows whose kept suffix has a shared key."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hasher = WordHasher()
         for pdf in batches:
-            rows = []
-            for row, text, found in zip(pdf["row"], pdf["text"], pdf["found"]):
-                words = byte_words(text)
-                for f in found:
-                    p = f["place"]
-                    rows.append((f["key"], row, p, b" ".join(words[p:p + min_words]),
-                                 b" ".join(words[max(0, p - before):p][::-1])))
-                if len(rows) >= 5_000:
-                    yield pd.DataFrame(rows, columns=SUFFIX)
-                    rows = []
-            yield pd.DataFrame(rows, columns=SUFFIX)
+            for row, text, places in zip(pdf["row"], pdf["text"], pdf["places"]):
+                h = hasher(byte_words(text))
+                at = window_places(h, min_words, key_words, gram)
+                start = np.flatnonzero(np.isin(at, places))
+                keys, hashes = windows(h, key_words).view(np.int64), windows(h, min_words).view(np.int64)
+                for lo in range(0, len(start), PART):
+                    part = start[lo:lo + PART]
+                    yield pd.DataFrame({"row": row, "start": part, "key": keys[at[part]], "hash": hashes[part]})
 
     return run
 
 
-def _common(a: list[bytes], b: list[bytes]) -> int:
-    n = 0
-    for x, y in zip(a, b):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def _neighbours(min_words: int):
-    """The matched words of each suffix of a sorted range: as far as any match with a neighbour goes to the left
-    and to the right. The range's first and last suffix come along as rows of their own."""
+def _spans(min_words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, reach, edges = None, (0, 0), []
         for pdf in batches:
-            for lo in range(0, len(pdf), 2_000):
-                part, rows = pdf.iloc[lo:lo + 2_000], []
-                for key, row, place, right, left in zip(*(part[c].tolist() for c in SUFFIX)):
-                    new = (key, row, place, right.split(), left.split())
-                    got = (0, 0)
-                    if last is None:
-                        edges.append(new)
-                    elif last[0] == key and last[1:3] != new[1:3]:
-                        both = _common(last[4], new[4]), _common(last[3], new[3])
-                        if sum(both) >= min_words:
-                            got = both
-                            reach = max(reach[0], got[0]), max(reach[1], got[1])
-                    if any(reach):
-                        rows.append((last[1], last[2] - reach[0], last[2] + reach[1]))
-                    last, reach = new, got
-                yield _frame(rows, [])
-        if last is not None:
-            if last is not edges[0]:  # a range of one suffix has one end
-                edges.append(last)
-            yield _frame([(last[1], last[2] - reach[0], last[2] + reach[1])] if any(reach) else [], edges)
+            rows = []
+            for row, starts in zip(pdf["row"], pdf["starts"]):
+                # Windows begin (+1) and end (-1); words with more begun than ended are repeated.
+                edges = np.bincount(starts, minlength=starts.max() + min_words + 1)
+                edges[min_words:] -= edges[:-min_words].copy()
+                mask = np.cumsum(edges) > 0
+                rows.append((row, int(mask.sum()), [{"from": a, "to": b} for a, b in runs(mask)]))
+            yield pd.DataFrame(rows, columns=["row", "n_repeated", "spans"])
 
     return run
 
 
-def _frame(rows: list, edges: list) -> pd.DataFrame:
-    return pd.DataFrame({
-        "row": [r[0] for r in rows] + [e[1] for e in edges],
-        "from": [r[1] for r in rows] + [e[2] for e in edges], "to": [r[2] for r in rows] + [-1] * len(edges),
-        "key": [None] * len(rows) + [e[0] for e in edges],
-        "right": [None] * len(rows) + [b" ".join(e[3]) for e in edges],
-        "left": [None] * len(rows) + [b" ".join(e[4]) for e in edges]}).astype({"key": "Int64"})
-
-
-def _matches(suffixes: DataFrame, first: str, second: str, min_words: int) -> DataFrame:
-    """Matches between neighbours in the order of key, ``first``, ``second``."""
-    order = ["key", first, second, "row", "place"]
-    run = _neighbours(min_words)
-    schema = "row long, from long, to long, key long, right binary, left binary"
-    found = written(suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(run, schema),
-                    "suffix_matches")
-    inside = found.filter("to >= 0").select("row", "from", "to")
-    # Two suffixes per range, whatever the size of the corpus: one task compares them in order.
-    ends = found.filter("to < 0").select("key", "row", F.col("from").alias("place"), "right", "left")
-    across = ends.coalesce(1).sortWithinPartitions(*order).mapInPandas(run, schema)
-    return inside.union(across.filter("to >= 0").select("row", "from", "to"))
-
-
-def _spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for row, found in zip(pdf["row"], pdf["found"]):
-            mask = np.zeros(max(f["to"] for f in found), dtype=bool)
-            for f in found:
-                mask[f["from"]:f["to"]] = True
-            rows.append((row, int(mask.sum()), [{"from": a, "to": b} for a, b in runs(mask)]))
-        yield pd.DataFrame(rows, columns=["row", "n_repeated", "spans"])
-
-
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50,
                       key_words: int = 25, gram: int = 8) -> DataFrame:
     """Per document: ``doc_id, n_words, n_repeated`` (words in passages of ``min_words`` words or more that also
@@ -183,14 +125,19 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         _suffix_keys(min_words, key_words, gram), "row long, place long, key long").join(classes.select("row"), "row"),
         "suffix_keys")
     shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    places = written(keys.join(shared, "key").groupBy("row").agg(
-        F.collect_list(F.struct("place", "key")).alias("found")), "suffix_places")
-    suffixes = written(source.select("row", "text").join(places, "row").mapInPandas(
-        _cut_out(min_words, key_words), "key long, row long, place long, right binary, left binary"), "suffixes")
-    found = _matches(suffixes, "right", "left", min_words).union(_matches(suffixes, "left", "right", min_words))
-    spans = written(found.groupBy("row").agg(F.collect_list(F.struct("from", "to")).alias("found"))
-                    .mapInPandas(_spans, "row long, n_repeated long, spans array<struct<from: int, to: int>>"),
+    places = written(keys.join(shared, "key").groupBy("row").agg(F.collect_list("place").alias("places")),
+                     "suffix_places")
+    discard(keys)
+    found = written(source.select("row", "text").join(places, "row").mapInPandas(
+        _shared_windows(min_words, key_words, gram), "row long, start int, key long, hash long"), "suffix_windows")
+    discard(places)
+    twice = written(found.groupBy("key", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "hash"),
+                    "suffix_twice")
+    spans = written(found.join(twice, ["key", "hash"]).groupBy("row").agg(F.collect_list("start").alias("starts"))
+                    .mapInPandas(_spans(min_words), "row long, n_repeated long, spans array<struct<from: int, to: int>>"),
                     "suffix_spans")
+    discard(found)
+    discard(twice)
     classes = classes.join(spans, "row", "left").select("sha", "copies", "n_repeated", "spans")
     counted = source.mapInPandas(_count_words, f"id {source.schema['id'].dataType.simpleString()}, sha string, n_words long")
     whole = (F.col("copies") > 1) & (F.col("n_words") >= min_words)

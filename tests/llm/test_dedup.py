@@ -139,3 +139,18 @@ def test_ranges_of_one_suffix(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before[0])
         spark.conf.set("spark.sql.shuffle.partitions", before[1])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_passages_between_others_of_the_same_key(spark, seed):
+    """Notices with a common middle and varying words around it: neighbours in neither order share a passage, others do."""
+    rnd = random.Random(seed)
+    middle = [f"m{i}" for i in range(25)]
+    left, right = [f"l{i}" for i in range(60)], [f"r{i}" for i in range(60)]
+    docs = []
+    for i in range(60):
+        a, b = rnd.randint(0, 30), rnd.randint(0, 50)
+        docs.append((i, " ".join([f"x{i}_{j}" for j in range(40)] + left[60 - a:] + middle + right[:b]
+                                 + [f"{rnd.choice('yz')}{i}_{j}" for j in range(40)])))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert found_passages(df) == plain_passages(docs, 50)
