@@ -1,8 +1,9 @@
 """DuckDB SQL for the queries that SQL can express over whole tables.
 
 The others have none: fingerprints (op4) and the seeded choice of blocks (op9)
-use hashes that DuckDB lacks; trained spans (op2), token ids (op6, op7, op10)
-and the packing search (op10) are no SQL. Tests hold those against brute force.
+use hashes that DuckDB lacks; trained spans and scores (op2, op12), token ids (op6,
+op7, op10), the packing search (op10) and eigenvectors (op11) are no SQL. Tests hold
+those against brute force or held-out rows.
 """
 
 from __future__ import annotations
@@ -85,9 +86,44 @@ SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, coalesce(c.compone
        e.vec_id = coalesce(c.component_id, e.vec_id) AS kept
 FROM embeddings e LEFT JOIN comps c ON c.a = e.vec_id LEFT JOIN degrees d ON d.a = e.vec_id"""
 
+_CLUSTERS, _ROUNDS = 16, 3
+
+
+def _assigned(r: int) -> str:
+    """Each vector's nearest centroid of round ``r``."""
+    return f"""
+a{r} AS (SELECT * FROM (
+  SELECT k.vec_id, k.x, c.j, c.c, k.row,
+         CAST(list_sum(list_transform(list_zip(k.x, c.c), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS d,
+         row_number() OVER (PARTITION BY k.row ORDER BY d, c.j) AS place
+  FROM kept k, c{r} c) WHERE place = 1)"""
+
+
+def _moved(r: int) -> str:
+    """The centroids after round ``r``."""
+    return f"""
+s{r} AS (SELECT j, i, CAST(sum(v) AS BIGINT) AS s, count(*) AS n
+         FROM (SELECT j, unnest(x) AS v, unnest(range(1, 65)) AS i FROM a{r}) GROUP BY j, i),
+m{r} AS (SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM s{r} GROUP BY j),
+c{r + 1} AS (SELECT c{r}.j, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} ON m{r}.j = c{r}.j)"""
+
+
+CLUSTERS = f"""
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(64 * CAST(e AS DOUBLE)) AS BIGINT)) AS x,
+         row_number() OVER () AS row
+  FROM embeddings WHERE len(embedding) = 64
+    AND list_sum(list_transform(embedding, lambda e: CASE WHEN e IS NULL OR NOT isfinite(e) THEN 1 ELSE 0 END)) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS j, x AS c
+       FROM kept QUALIFY j < {_CLUSTERS}),{','.join(_assigned(r) + ',' + _moved(r) for r in range(_ROUNDS))},{_assigned(_ROUNDS)}
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{_ROUNDS}"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_nn_descent": VECTORS,
     "op3_quality_rules": QUALITY,
     "op5_suffix_dedup": PASSAGES,
     "op8_phrase_dedup": PHRASES,
+    "op13_pivot_clusters": CLUSTERS,
 }

@@ -17,11 +17,14 @@ from .nn_descent import near_vectors
 from .oracle import ORACLE_SQL
 from .phrase_dedup import repeated_phrases
 from .pii import KINDS, find_personal_data, span_text
+from .pivot_clusters import centroid_clusters, digest
 from .quality import quality_rules
 from .simhash import simhash_groups
 from .suffix_dedup import repeated_passages
 from .token_bins import pack_token_rows
 from .token_counts import token_counts
+from .toxicity import toxicity_scores
+from .whitening import by_component, whitened_vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +89,20 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=0, capacity=2048)
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_component(whitened_vectors(table(spark, sf_dir, "embeddings"), scale=256, components=4))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
+def op13_pivot_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters(table(spark, sf_dir, "embeddings"), dim=64, scale=64, k=16, rounds=3).select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest("centroid").alias("centroid_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nn_descent": op1_nn_descent,
     "op2_pii": op2_pii,
@@ -97,6 +114,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_phrase_dedup": op8_phrase_dedup,
     "op9_mixing": op9_mixing,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_whitening": op11_whitening,
+    "op12_toxicity": op12_toxicity,
+    "op13_pivot_clusters": op13_pivot_clusters,
 }
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
