@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import money_out, ratio
 from ..session import materialize
-from .ranking import ntile
+from .ranking import bin_of, bin_starts, rows_at
 
 
 def rfm_scores(profile: DataFrame, tiers: int = 5, basis: str = "any",
@@ -32,15 +32,20 @@ def rfm_scores(profile: DataFrame, tiers: int = 5, basis: str = "any",
                       F.count(F.lit(1)).alias("n")).first()
     data_last, total = totals["data_last"], totals["total"]
     base = base.withColumn("recency", (F.lit(data_last) - F.col("last_m")).cast("int"))
-    kw = {"n_rows": totals["n"]}
-    if rows_per_range is not None:
-        kw["rows_per_range"] = rows_per_range
-    scored = ntile(base, tiers, [("recency", False), ("seller_id", True)], out="r_score", **kw)
-    # samples and range counts read the materialized base, not the windows
-    scored = ntile(scored, tiers, [("frequency", True), ("seller_id", True)], out="f_score",
-                   source=base, **kw)
-    scored = ntile(scored, tiers, [("monetary", True), ("seller_id", True)], out="m_score",
-                   source=base, **kw)
+    n = totals["n"]
+    kw = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
+    # The three orders are one: (score, key, seller). It is ranged and written once, thin, and the first
+    # sellers of all tiers are read at their positions in it; scores are comparisons with them.
+    keys = [-F.col("recency"), F.col("frequency"), F.col("monetary")]
+    thin = base.select("seller_id", F.explode(F.array(*[
+        F.struct(F.lit(i).alias("score"), k.cast("decimal(24,2)").alias("key")) for i, k in enumerate(keys)])).alias("s")
+    ).select("s.score", "s.key", "seller_id")
+    positions = [i * n + p for i in range(len(keys)) for p in bin_starts(n, tiers)]
+    edges = rows_at(thin, [("score", True), ("key", True), ("seller_id", True)], positions, n_rows=len(keys) * n, **kw)
+    scored = base.select("*", *[
+        bin_of([(k.cast("decimal(24,2)"), True), (F.col("seller_id"), True)],
+               [(e["key"], e["seller_id"]) for e in edges if e["score"] == i]).alias(name)
+        for i, (k, name) in enumerate(zip(keys, ("r_score", "f_score", "m_score")))])
     return scored.select(
         "seller_id", "recency",
         F.col("frequency").cast("long").alias("frequency"),

@@ -223,6 +223,45 @@ def q_fulfilment_priority_groups_volume(spark, sf_dir):
     return op.fulfilment_priority_groups(attributed_lines(spark, sf_dir), products(spark, sf_dir), bulk_volume=400)
 
 
+def q_city_matched_fuzzy(spark, sf_dir):
+    return op.city_matched_fuzzy(customers(spark, sf_dir), cities(spark, sf_dir)).select(
+        "customer_id", "city_raw", "state", "city_key", "city", "distance", "candidates")
+
+
+def q_regional_bottlenecks_fuzzy(spark, sf_dir):
+    return op.regional_bottlenecks(attributed_lines(spark, sf_dir), customers(spark, sf_dir),
+                                   cities(spark, sf_dir), role="customer", level="city", max_distance=2)
+
+
+def q_seller_late_streaks(spark, sf_dir):
+    return op.seller_late_streaks(attributed_lines(spark, sf_dir))
+
+
+def q_black_sellers_streaks(spark, sf_dir):
+    return op.streak_black_sellers(op.rfm_scores(profile(spark, sf_dir)),
+                                   op.seller_late_streaks(attributed_lines(spark, sf_dir)))
+
+
+def _lives(spark, sf_dir):
+    # what lifetimes and labels need, written once: both are read more than once
+    return materialize(profile(spark, sf_dir).select(
+        "seller_id", "first_m", "last_m", "first_delivered", "first_late", "first_revenue"), "profile")
+
+
+def q_cohort_survival(spark, sf_dir):
+    p = _lives(spark, sf_dir)
+    return op.cohort_survival(p, op.first_month_cohorts(p))
+
+
+def q_cohort_logrank(spark, sf_dir):
+    p = _lives(spark, sf_dir)
+    return op.cohort_logrank(p, op.first_month_cohorts(p))
+
+
+def q_tenure_gap_interval(spark, sf_dir):
+    return op.tenure_gap_interval(profile(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "delay_attribution": q_delay_attribution,
     "delay_attribution_lines": q_delay_attribution_lines,
@@ -258,4 +297,11 @@ QUERIES: dict[str, Query] = {
     "signup_month_cohorts": q_signup_month_cohorts,
     "delay_attribution_seconds": q_delay_attribution_seconds,
     "fulfilment_priority_groups_volume": q_fulfilment_priority_groups_volume,
+    "city_matched_fuzzy": q_city_matched_fuzzy,
+    "regional_bottlenecks_fuzzy": q_regional_bottlenecks_fuzzy,
+    "seller_late_streaks": q_seller_late_streaks,
+    "black_sellers_streaks": q_black_sellers_streaks,
+    "cohort_survival": q_cohort_survival,
+    "cohort_logrank": q_cohort_logrank,
+    "tenure_gap_interval": q_tenure_gap_interval,
 }

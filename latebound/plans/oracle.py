@@ -9,6 +9,8 @@ Every output column is cast to the type the Spark side produces.
 
 from __future__ import annotations
 
+from ..operators.bootstrap import poisson_limits
+
 _DIV = "CAST({a} AS DOUBLE) / NULLIF(CAST({b} AS DOUBLE), 0)"
 
 
@@ -32,11 +34,22 @@ def _key(x: str, state: str | None = None) -> str:
     return f"CASE WHEN coalesce(ends_with({k}, {end}), FALSE) THEN left({k}, length({k}) - length({end})) ELSE {k} END"
 
 
+def _located(table: str, key: str) -> str:
+    """Rows of ``table`` with the city of the whole key or else of the key without the state."""
+    return f"""
+  SELECT p.{key}, p.city_raw, p.state, coalesce(a.city, b.city) AS city,
+         CASE WHEN a.city IS NOT NULL THEN p.full_key ELSE p.short_key END AS city_key
+  FROM (SELECT *, {_key('city_raw')} AS full_key, {_key('city_raw', 'state')} AS short_key FROM {table}) p
+  LEFT JOIN lookup a ON a.city_key = p.full_key AND a.state = p.state
+  LEFT JOIN lookup b ON b.city_key = p.short_key AND b.state = p.state"""
+
+
 def _dirty(name: str, region: str, key: str) -> str:
     return (f"CASE {key} % 7 WHEN 0 THEN upper({name}) WHEN 1 THEN '  ' || lower({name}) || ' ' "
             f"WHEN 2 THEN replace({name}, '_', '-') WHEN 3 THEN {name} || ' / ' || {region} "
             f"WHEN 4 THEN translate(lower({name}), 'aeiou', 'áéíóú') WHEN 5 THEN {name} || ' - ' || {region} "
-            f"ELSE 'Nowhere ' || CAST({key} % 3 AS VARCHAR) END")
+            f"ELSE CASE {key} % 4 WHEN 0 THEN 'Nowhere ' || CAST({key} % 3 AS VARCHAR) "
+            f"WHEN 1 THEN replace({name}, 'TIO', 'TO') WHEN 2 THEN 'Cidade de ' || lower({region}) ELSE 'Nation' END END")
 
 
 def _month(m: str) -> str:
@@ -129,7 +142,10 @@ DIMS = [
                CASE WHEN p_partkey % 19 = 3 THEN NULL WHEN p_partkey % 50 = 7 THEN 2000
                     ELSE 1 + p_partkey % 3 END AS height
         FROM part)"""),
-    ("cities", f"SELECT {_key('n_name')} AS city_key, n_name AS city, r_name AS state FROM geo"),
+    ("cities", f"""
+  SELECT {_key('city')} AS city_key, city, state
+  FROM (SELECT n_name AS city, r_name AS state FROM geo
+        UNION ALL SELECT 'Cidade de ' || r_name, r_name FROM region)"""),
     ("lookup", """
   SELECT city_key, state, min(city) AS city FROM cities
   WHERE city_key IS NOT NULL GROUP BY city_key, state"""),
@@ -189,12 +205,8 @@ RFM = [
   FROM rfm_base"""),
 ]
 
-LOCATED_SELLERS = [
-    ("loc", f"""
-  SELECT s.seller_id, s.city_raw, s.state, s.city_key, k.city
-  FROM (SELECT *, {_key('city_raw', 'state')} AS city_key FROM sellers) s
-  LEFT JOIN lookup k ON k.city_key = s.city_key AND k.state = s.state"""),
-]
+LOCATED_SELLERS = [("loc", _located("sellers", "seller_id"))]
+CUSTOMER_PLACE = [("cloc", _located("customers", "customer_id"))]
 
 
 def _party(key: str) -> list[tuple[str, str]]:
@@ -344,8 +356,8 @@ SELECT * FROM rfm WHERE m_score >= 5 AND late_lines >= 3 AND late_rate >= 0.3"""
 
     "city_unmatched": _with(DIMS, f"""
 SELECT c.city_raw, c.city_key, c.state, count(*) AS rows
-FROM (SELECT *, {_key('city_raw', 'state')} AS city_key FROM customers) c
-WHERE NOT EXISTS (SELECT 1 FROM lookup k WHERE k.city_key = c.city_key AND k.state = c.state)
+FROM (SELECT *, {_key('city_raw')} AS full_key, {_key('city_raw', 'state')} AS city_key FROM customers) c
+WHERE NOT EXISTS (SELECT 1 FROM lookup k WHERE k.city_key IN (c.full_key, c.city_key) AND k.state = c.state)
 GROUP BY c.city_raw, c.city_key, c.state"""),
 
     "regional_bottlenecks": _with(BASE + DIMS + LOCATED_SELLERS + _party("seller_id") + [
@@ -365,11 +377,7 @@ FROM g"""),
 SELECT state, city, delivered_lines, late_lines, seller_late, carrier_late, level_id, {_REGION_RATES}
 FROM g"""),
 
-    "regional_bottlenecks_customer": _with(BASE + DIMS + _party("customer_id") + [
-        ("cloc", f"""
-  SELECT c.customer_id, c.state, k.city
-  FROM (SELECT *, {_key('city_raw', 'state')} AS city_key FROM customers) c
-  LEFT JOIN lookup k ON k.city_key = c.city_key AND k.state = c.state"""),
+    "regional_bottlenecks_customer": _with(BASE + DIMS + _party("customer_id") + CUSTOMER_PLACE + [
         ("g", f"""
   SELECT cloc.state, {_REGION_MEASURES}
   FROM pp LEFT JOIN cloc ON cloc.customer_id = pp.customer_id
@@ -467,20 +475,15 @@ ORACLE_SQL["black_sellers_caused"] = _with(
     PROFILE + [(n, q.replace("p.late AS late_lines", "p.seller_late AS late_lines")) for n, q in RFM],
     "SELECT * FROM rfm WHERE m_score >= 5 AND late_lines >= 3 AND late_rate >= 0.3")
 
-_CUSTOMER_PLACE = [("cloc", f"""
-  SELECT c.customer_id, c.state, k.city
-  FROM (SELECT *, {_key('city_raw', 'state')} AS city_key FROM customers) c
-  LEFT JOIN lookup k ON k.city_key = c.city_key AND k.state = c.state""")]
-
 ORACLE_SQL["regional_bottlenecks_customer_city"] = _with(
-    BASE + DIMS + _party("customer_id") + _CUSTOMER_PLACE + [("g", f"""
+    BASE + DIMS + _party("customer_id") + CUSTOMER_PLACE + [("g", f"""
   SELECT cloc.state, cloc.city, {_REGION_MEASURES}
   FROM pp LEFT JOIN cloc ON cloc.customer_id = pp.customer_id
   GROUP BY cloc.state, cloc.city""")], f"""
 SELECT state, city, delivered_lines, late_lines, seller_late, carrier_late, {_REGION_RATES} FROM g""")
 
 ORACLE_SQL["regional_bottlenecks_customer_rollup"] = _with(
-    BASE + DIMS + _party("customer_id") + _CUSTOMER_PLACE + [("g", f"""
+    BASE + DIMS + _party("customer_id") + CUSTOMER_PLACE + [("g", f"""
   SELECT cloc.state, cloc.city, {_REGION_MEASURES},
          CAST(grouping(cloc.state, cloc.city) AS INTEGER) AS level_id
   FROM pp LEFT JOIN cloc ON cloc.customer_id = pp.customer_id
@@ -532,3 +535,143 @@ ORACLE_SQL["first_month_cohorts_stream"] = ORACLE_SQL["first_month_cohorts"]
 # Retention one year after the first sale.
 ORACLE_SQL["cohort_long_term_retention"] = (
     "SELECT * FROM (\n" + ORACLE_SQL["cohort_retention"] + "\n) WHERE k = 12")
+
+# Misspelled cities: every unmatched key against every city of its state.
+_SPELLED = [
+    ("missing", "SELECT DISTINCT city_key, state FROM cloc WHERE city IS NULL AND city_key IS NOT NULL"),
+    ("near", """
+  SELECT m.city_key, m.state, k.city, levenshtein(m.city_key, k.city_key) AS d,
+         least(length(m.city_key), length(k.city_key)) AS len
+  FROM missing m JOIN lookup k ON k.state = m.state"""),
+    ("allowed", """
+  SELECT *, min(d) OVER (PARTITION BY city_key, state) AS best FROM near
+  WHERE d <= CASE WHEN len >= 6 THEN 2 WHEN len >= 3 THEN 1 ELSE 0 END"""),
+    ("repaired", """
+  SELECT city_key, state, best, count(*) AS candidates, CASE WHEN count(*) = 1 THEN min(city) END AS city
+  FROM allowed WHERE d = best GROUP BY city_key, state, best"""),
+    ("floc", """
+  SELECT c.customer_id, c.city_raw, c.state, c.city_key, coalesce(c.city, r.city) AS city,
+         CAST(CASE WHEN c.city IS NOT NULL THEN 0 ELSE r.best END AS INTEGER) AS distance,
+         CASE WHEN c.city IS NOT NULL THEN 1 ELSE coalesce(r.candidates, 0) END AS candidates
+  FROM cloc c LEFT JOIN repaired r ON c.city IS NULL AND r.city_key = c.city_key AND r.state = c.state"""),
+]
+
+ORACLE_SQL["city_matched_fuzzy"] = _with(DIMS + CUSTOMER_PLACE + _SPELLED, """
+SELECT customer_id, city_raw, state, city_key, city, distance, CAST(candidates AS BIGINT) AS candidates FROM floc""")
+
+ORACLE_SQL["regional_bottlenecks_fuzzy"] = _with(
+    BASE + DIMS + _party("customer_id") + CUSTOMER_PLACE + _SPELLED + [("g", f"""
+  SELECT floc.state, floc.city, {_REGION_MEASURES}
+  FROM pp LEFT JOIN floc ON floc.customer_id = pp.customer_id
+  GROUP BY floc.state, floc.city""")], f"""
+SELECT state, city, delivered_lines, late_lines, seller_late, carrier_late, {_REGION_RATES} FROM g""")
+
+# Runs of late lines by plain windows over each seller.
+_STREAKS = [
+    ("placed", """
+  SELECT seller_id, late,
+         row_number() OVER w AS place,
+         row_number() OVER w - sum(late) OVER (w ROWS UNBOUNDED PRECEDING) AS island
+  FROM lines WHERE late IS NOT NULL
+  WINDOW w AS (PARTITION BY seller_id ORDER BY ordered_at, order_id, line_no, product_id, late)"""),
+    ("islands", """
+  SELECT seller_id, island, sum(late) AS run, count(*) AS n, max(place) AS last FROM placed GROUP BY seller_id, island"""),
+    ("streaks", """
+  SELECT seller_id, CAST(sum(n) AS BIGINT) AS delivered, CAST(sum(run) AS BIGINT) AS late,
+         CAST(max(run) AS BIGINT) AS longest_streak, CAST(arg_max(run, last) AS BIGINT) AS current_streak,
+         count(*) FILTER (WHERE run >= 3) AS streaks
+  FROM islands GROUP BY seller_id"""),
+]
+
+ORACLE_SQL["seller_late_streaks"] = _with(BASE + _STREAKS, "SELECT * FROM streaks")
+
+ORACLE_SQL["black_sellers_streaks"] = _with(PROFILE + RFM + _STREAKS, """
+SELECT r.seller_id, r.monetary, r.revenue_share, r.delivered, r.late_lines, r.late_rate,
+       s.longest_streak, s.current_streak, s.streaks
+FROM rfm r JOIN streaks s ON s.seller_id = r.seller_id
+WHERE r.m_score >= 5 AND s.longest_streak >= 3 AND s.streaks >= 1""")
+
+# Survival: the risk sets by a self-join, the product as a sum of logarithms.
+_LIVES = [
+    ("lives", """
+  SELECT p.seller_id, c.label, p.last_m - p.first_m AS k, (SELECT max(last_m) FROM profile) - p.last_m >= 3 AS stopped
+  FROM profile p JOIN cohorts c ON c.seller_id = p.seller_id"""),
+    ("ends", """
+  SELECT label, k, count(*) FILTER (WHERE stopped) AS stopped, count(*) FILTER (WHERE NOT stopped) AS censored
+  FROM lives GROUP BY label, k"""),
+    ("risk", """
+  SELECT e.label, e.k, e.stopped, e.censored, count(*) AS at_risk
+  FROM ends e JOIN lives l ON l.label = e.label AND l.k >= e.k GROUP BY e.label, e.k, e.stopped, e.censored"""),
+]
+
+ORACLE_SQL["cohort_survival"] = _with(PROFILE + _LIVES + [
+    ("cum", """
+  SELECT a.label, a.k, a.at_risk, a.stopped, a.censored,
+         bool_or(b.stopped = b.at_risk) AS gone,
+         sum(CASE WHEN b.stopped < b.at_risk THEN ln(1 - b.stopped / CAST(b.at_risk AS DOUBLE)) END) AS logs,
+         sum(CASE WHEN b.stopped < b.at_risk
+                  THEN b.stopped / (CAST(b.at_risk AS DOUBLE) * (b.at_risk - b.stopped)) END) AS g
+  FROM risk a JOIN risk b ON b.label = a.label AND b.k <= a.k
+  GROUP BY a.label, a.k, a.at_risk, a.stopped, a.censored"""),
+    ("est", """
+  SELECT *, CASE WHEN gone THEN 0.0::DOUBLE ELSE exp(logs) END AS s,
+         CASE WHEN NOT gone THEN exp(logs) * sqrt(g) END AS e FROM cum""")], """
+SELECT label, CAST(k AS INTEGER) AS k, at_risk, stopped, censored, round(s, 9) AS survival, round(e, 9) AS std_err,
+       CASE WHEN e IS NOT NULL THEN round(greatest(0.0::DOUBLE, s - 1.96::DOUBLE * e), 9) ELSE 0.0::DOUBLE END AS low,
+       CASE WHEN e IS NOT NULL THEN round(least(1.0::DOUBLE, s + 1.96::DOUBLE * e), 9) ELSE 1.0::DOUBLE END AS high
+FROM est""")
+
+ORACLE_SQL["cohort_logrank"] = _with(PROFILE + _LIVES + [
+    ("two", "SELECT * FROM lives WHERE label IN ('excellent', 'severe')"),
+    ("months", "SELECT DISTINCT k FROM two"),
+    ("sets", """
+  SELECT m.k, CAST(count(*) FILTER (WHERE t.label = 'excellent') AS DOUBLE) AS n0,
+         CAST(count(*) FILTER (WHERE t.label = 'severe') AS DOUBLE) AS n1,
+         count(*) FILTER (WHERE t.label = 'excellent' AND t.k = m.k AND t.stopped) AS d0,
+         count(*) FILTER (WHERE t.label = 'severe' AND t.k = m.k AND t.stopped) AS d1
+  FROM months m JOIN two t ON t.k >= m.k GROUP BY m.k"""),
+    ("sums", """
+  SELECT CAST(sum(d0) AS BIGINT) AS o0, CAST(sum(d1) AS BIGINT) AS o1, sum((d0 + d1) * n0 / (n0 + n1)) AS e0,
+         sum((d0 + d1) * n1 / (n0 + n1)) AS e1,
+         sum(CASE WHEN n0 + n1 > 1 THEN (d0 + d1) * (n0 / (n0 + n1)) * (n1 / (n0 + n1)) * (n0 + n1 - d0 - d1)
+                                        / (n0 + n1 - 1) ELSE 0 END) AS v
+  FROM sets"""),
+    ("test", "SELECT *, (o0 - e0) * (o0 - e0) / nullif(v, 0) AS chi FROM sums"),
+    ("x", "SELECT *, sqrt(chi) / sqrt(2.0::DOUBLE) AS z, 1 / (1 + 0.3275911::DOUBLE * sqrt(chi) / sqrt(2.0::DOUBLE)) AS t FROM test")], """
+SELECT o0 AS first_stopped, round(e0, 6) AS first_expected, o1 AS second_stopped, round(e1, 6) AS second_expected,
+       round(v, 6) AS variance, round(chi, 6) AS chi_square,
+       round((0.254829592::DOUBLE * t - 0.284496736::DOUBLE * t ** 2 + 1.421413741::DOUBLE * t ** 3
+              - 1.453152027::DOUBLE * t ** 4 + 1.061405429::DOUBLE * t ** 5) * exp(-z * z), 6) AS p_value
+FROM x""")
+
+
+def _mix(x: str) -> str:
+    return f"xor({x} >> 16, {x}) * 73244475 % 4294967296"
+
+
+_REPLICATES = 200
+_LIMITS = "[" + ", ".join(str(v) for v in poisson_limits()) + "]"
+
+ORACLE_SQL["tenure_gap_interval"] = _with(PROFILE + [
+    ("words", """
+  SELECT *, CAST('0x' || substr(md5(CAST(seller_id AS VARCHAR)), 1, 8) AS BIGINT) AS word
+  FROM profile WHERE tenure <= 1 OR tenure >= 13"""),
+    ("r0", f"""
+  SELECT w.*, r.range AS replicate, (word + r.range * 165902235) % 4294967296 AS x
+  FROM words w, range(1, {_REPLICATES + 1}) r"""),
+    ("r1", f"SELECT * REPLACE ({_mix('x')} AS x) FROM r0"),
+    ("r2", f"SELECT * REPLACE ({_mix('x')} AS x) FROM r1"),
+    ("drawn", f"""
+  SELECT *, len(list_filter({_LIMITS}, lambda v: xor(x >> 16, x) >= v)) AS w FROM r2"""),
+    ("reps", f"""
+  SELECT replicate,
+         {_div('sum(delay_sum * w) FILTER (WHERE tenure <= 1)', 'sum(delivered * w) FILTER (WHERE tenure <= 1)')}
+         - {_div('sum(delay_sum * w) FILTER (WHERE tenure >= 13)', 'sum(delivered * w) FILTER (WHERE tenure >= 13)')} AS a,
+         {_div('sum(late_delay_sum * w) FILTER (WHERE tenure <= 1)', 'sum(late * w) FILTER (WHERE tenure <= 1)')}
+         - {_div('sum(late_delay_sum * w) FILTER (WHERE tenure >= 13)', 'sum(late * w) FILTER (WHERE tenure >= 13)')} AS l
+  FROM drawn GROUP BY replicate""")], """
+SELECT round(quantile_cont(a, 0.025), 9) AS gap_all_low, round(quantile_cont(a, 0.975), 9) AS gap_all_high,
+       round(stddev_samp(a), 9) AS gap_all_se, count(a) AS gap_all_replicates,
+       round(quantile_cont(l, 0.025), 9) AS gap_late_low, round(quantile_cont(l, 0.975), 9) AS gap_late_high,
+       round(stddev_samp(l), 9) AS gap_late_se, count(l) AS gap_late_replicates
+FROM reps""")

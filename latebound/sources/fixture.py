@@ -46,16 +46,26 @@ class Canonical:
     seller_month: DataFrame | None = None  # in prepared stores
 
 
+def _state_city(region: Column) -> Column:
+    """Each state has a city that ends in the state's name."""
+    return F.concat(F.lit("Cidade de "), region)
+
+
 def _dirty_city(name: Column, region: Column, key: Column) -> Column:
-    """Raw city text as a marketplace form would hold it (7 variants; the last is no city of the lookup)."""
-    variant = key % 7
+    """Raw city text as a marketplace form would hold it: 6 spellings that cleansing mends, and by turns a name in no
+    lookup, a typing error, the city that ends in its state's name, and a name equally near to several cities."""
+    variant, other = key % 7, key % 4
+    rest = (F.when(other == 0, F.concat(F.lit("Nowhere "), (key % 3).cast("string")))
+            .when(other == 1, F.replace(name, F.lit("TIO"), F.lit("TO")))
+            .when(other == 2, _state_city(F.lower(region)))
+            .otherwise(F.lit("Nation")))
     return (F.when(variant == 0, F.upper(name))
             .when(variant == 1, F.concat(F.lit("  "), F.lower(name), F.lit(" ")))
             .when(variant == 2, F.translate(name, "_", "-"))
             .when(variant == 3, F.concat(name, F.lit(" / "), region))
             .when(variant == 4, F.translate(F.lower(name), "aeiou", "áéíóú"))
             .when(variant == 5, F.concat(name, F.lit(" - "), region))
-            .otherwise(F.concat(F.lit("Nowhere "), (key % 3).cast("string"))))
+            .otherwise(rest))
 
 
 def lane_starts() -> list[list[int]]:
@@ -170,12 +180,10 @@ def cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean city lookup: one row per (city, state) with its key."""
     from ..functions.city import city_key
 
-    geo = _nation_region(spark, sf_dir)
-    return geo.select(
-        city_key(F.col("n_name")).alias("city_key"),
-        F.col("n_name").alias("city"),
-        F.col("r_name").alias("state"),
-    )
+    geo = _nation_region(spark, sf_dir).select(F.col("n_name").alias("city"), F.col("r_name").alias("state"))
+    region = read_table(spark, sf_dir, "region", "r_name")
+    named = geo.unionByName(region.select(_state_city(F.col("r_name")).alias("city"), F.col("r_name").alias("state")))
+    return named.select(city_key(F.col("city")).alias("city_key"), "city", "state")
 
 
 def signups(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,5 +93,5 @@ def test_deciles_and_correlation(spark, att):
 
 def test_regions(spark, att):
     sellers, cities = catalog.fixture.sellers(spark, SF01), catalog.fixture.cities(spark, SF01)
-    assert op.regional_bottlenecks(att, sellers, cities).count() == 30
-    assert op.unmatched_cities(sellers, cities).count() == 9
+    assert op.regional_bottlenecks(att, sellers, cities).count() == 33
+    assert op.unmatched_cities(sellers, cities).count() == 10

@@ -58,6 +58,26 @@ def test_late_lines_do_not_depend_on_the_file_layout(spark, tmp_path, files):
     assert got == {1: (2, 0), 2: (1, 0)}
 
 
+@pytest.mark.parametrize("zone", ["America/Sao_Paulo", "Pacific/Auckland"])
+@pytest.mark.parametrize("span", ["1 day", "30 days"])
+def test_months_are_those_of_the_local_calendar(spark, zone, span):
+    from helpers import frame, line
+    from latebound import operators as op
+
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [line(i, seller, line_no=i, month=m, day=d, deliver=20 if i % 2 else 5)
+                for i, (seller, m, d) in enumerate([(1, 0, -9), (1, 0, 21), (2, 0, 22), (2, 1, 18), (3, 1, -9), (3, 2, 19), (4, 0, 21)])]
+        att = op.delay_attribution(op.enrich(frame(spark, rows)))
+        want = op.first_month_cohorts(op.seller_profile(op.seller_month(att)))
+        got = fm.replay_first_month(spark, att, span=span)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+        assert {r["seller_id"]: r["first_month"] for r in got.collect()} == {1: "2020-01", 2: "2020-02", 3: "2020-02", 4: "2020-01"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_string_ids_and_known_sellers(spark, tmp_path):
     src, root = str(tmp_path / "in"), str(tmp_path / "run")
     put(spark, src, [("old", day(2020, 5, 2), 1, 100), ("new", day(2020, 5, 3), 1, 100)], "string")
