@@ -23,6 +23,12 @@ def _rule(r) -> str:
     return f"coalesce({' AND '.join(bounds)}, TRUE)"
 
 
+def _stop_counts() -> str:
+    split = rf"string_split_regex(lower(t), '[{_SPACE}.,;:!?]+')"
+    return " ".join(f"""WHEN '{code}' THEN CAST(len(list_filter({split},
+         lambda x: list_contains([{', '.join(repr(w) for w in listed)}], x))) AS BIGINT)""" for code, listed in STOP_WORDS.items())
+
+
 QUALITY = rf"""
 WITH {_WORDS},
 windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS w
@@ -36,9 +42,8 @@ counts AS (
          CAST(length(regexp_replace(t, '[^{SYMBOLS}]+', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ls) AS BIGINT) AS n_lines,
-         CAST(len(list_filter(string_split_regex(lower(t), '[{_SPACE}.,;:!?]+'),
-                              lambda x: list_contains([{', '.join(repr(s) for s in STOP_WORDS)}], x))) AS BIGINT) AS n_stop_words
-  FROM words w JOIN lines l ON l.doc_id = w.doc_id LEFT JOIN covered c ON c.doc_id = w.doc_id),
+         CASE lower(regexp_extract(d.lang, '^[A-Za-z]+')) {_stop_counts()} END AS n_stop_words
+  FROM words w JOIN documents d ON d.doc_id = w.doc_id JOIN lines l ON l.doc_id = w.doc_id LEFT JOIN covered c ON c.doc_id = w.doc_id),
 judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts)
 SELECT *, NOT base_failed AND {' AND '.join(_rule(r) for r in RULES)} AS kept FROM judged"""
 

@@ -10,7 +10,8 @@ whole text.
 Counts: ``n_words``; ``word_chars`` (code points in words); ``n_symbols``;
 ``n_lines`` (lines with a word); ``n_dup_lines`` (equal to an earlier one);
 ``n_repeat_words`` (words in 8-word windows that occur twice or more in the
-text); ``n_stop_words``. Windows are compared by a 64-bit hash of their words'
+text); ``n_stop_words`` (null where the document's language has no list, so that its
+ratio is null and passes: prose of other languages is not judged by these words). Windows are compared by a 64-bit hash of their words'
 hashes: within one text of n words the chance of a false repeat is below
 n * n / 2^65.
 
@@ -18,7 +19,12 @@ Cases: null and empty texts have no words and fail the base rule; ratios whose
 denominator is 0 are null and pass; very long texts are counted whole; repeated
 rows are judged alike; an empty table gives an empty table; columns of the
 input are carried along and win over nothing (result names that clash are
-replaced by the result).
+replaced by the result; without a language column no list applies).
+
+The counts depend on a row number that the result drops. Spark moves filters below
+projections by writing their expressions out, here whole arrays once per element;
+it does not move them below a projection that numbers rows. So the result can be
+filtered, counted and joined like any other; filter input columns before.
 """
 
 from __future__ import annotations
@@ -30,13 +36,13 @@ from pyspark.sql import functions as F
 
 from .words import words
 
-#: Function words of English, German, French and Spanish prose (fixed values, parameter ``stop_words``).
-STOP_WORDS = (
-    "the of and to in is that it for on was as with be by this from are at an or a "
-    "der die das und den von zu mit ist ein eine nicht auf für im dem des er es sie "
-    "le la les de du et en un une que qui dans pour sur par est pas au avec il elle "
-    "el los las y del se por con para su lo como más"
-).split()
+#: Function words of prose by language code (fixed values, parameter ``stop_words``).
+STOP_WORDS = {
+    "en": "the of and to in is that it for on was as with be by this from are at an or a".split(),
+    "de": "der die das und den von zu mit ist ein eine nicht auf für im dem des er es sie in an".split(),
+    "fr": "le la les de du des et en un une que qui dans pour sur par est pas au avec il elle".split(),
+    "es": "el la los las de y en un una que es del se por con para su lo como más al".split(),
+}
 
 #: Symbols that count as such.
 SYMBOLS = "#*$%&|<>"
@@ -62,9 +68,14 @@ RULES = (
 )
 
 
-def quality_counts(docs: DataFrame, text_col: str = "text", stop_words: list[str] = STOP_WORDS,
-                   number: str | None = None) -> DataFrame:
-    """``docs`` plus the counts, and a row number called ``number`` if asked for. The steps are separate projections because
+def language(code: Column) -> Column:
+    """The language of a code such as ``en``, ``EN`` or ``en-GB``."""
+    return F.lower(F.regexp_extract(code.cast("string"), "^[A-Za-z]+", 0))
+
+
+def quality_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
+                   stop_words: dict[str, list[str]] = STOP_WORDS) -> DataFrame:
+    """``docs`` plus the counts. The steps are separate projections because
     each uses an array several times; Spark runs them in one stage."""
     cols = docs.columns
     own = docs.toDF(*[f"c{i}" for i in range(len(cols))])  # so that no name of the input clashes with those below
@@ -94,6 +105,11 @@ def quality_counts(docs: DataFrame, text_col: str = "text", stop_words: list[str
             F.lit(WINDOW), F.coalesce(F.get(F.col("_places"), j + 1) - p, F.lit(WINDOW)))),
         F.lit(0), lambda a, x: a + x)
     plain = F.split(F.lower("_text"), r"[\x20\x09-\x0D.,;:!?]+")
+    n_stop = F.lit(None).cast("long")
+    if lang_col in cols:
+        lang = language(F.col(f"c{cols.index(lang_col)}"))
+        for code, listed in stop_words.items():
+            n_stop = F.when(lang == code, F.size(F.filter(plain, lambda w: w.isin(list(listed)))).cast("long")).otherwise(n_stop)
     counts = {
         "n_words": F.col("_n").cast("long"),
         "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)),
@@ -101,21 +117,20 @@ def quality_counts(docs: DataFrame, text_col: str = "text", stop_words: list[str
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-        "n_stop_words": F.size(F.filter(plain, lambda w: w.isin(list(stop_words)))).cast("long"),
+        "n_stop_words": n_stop,
     }
-    return hashed.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols) if c not in counts],
-                         *[c.alias(name) for name, c in counts.items()],
-                         *([F.monotonically_increasing_id().alias(number)] if number else []))
+    numbered = hashed.select(*[F.col(f"c{i}") for i in range(len(cols))], *[c.alias(name) for name, c in counts.items()],
+                             F.monotonically_increasing_id().alias("_row"))
+    return numbered.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols) if c not in counts],
+                           *[F.when(F.col("_row") >= 0, F.col(name)).alias(name) for name in counts])
 
 
 def passing_documents(docs: DataFrame, **options) -> DataFrame:
     """The documents that the rules keep, with the columns of ``docs``."""
     cols = docs.columns
-    # Catalyst moves a filter below projections by writing their expressions out in it, here many times over. It
-    # does not pass a projection that numbers rows, so the counts are computed once.
-    numbered = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])
-    judged = quality_rules(numbered, text_col=f"c{cols.index('text')}", number="_row", **options)
-    return judged.filter(F.col("kept") & (F.col("_row") >= 0)).select(
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])  # keeps columns named like results
+    named = {f"{k}_col": f"c{cols.index(k)}" for k in ("text", "lang") if k in cols}
+    return quality_rules(plain, **named, **options).filter("kept").select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)])
 
 
@@ -136,11 +151,11 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> tuple[list[Column], Column
     return [ok.alias(f"ok_{name}") for name, ok in passes], verdict
 
 
-def quality_rules(docs: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ...] = RULES,
-                  stop_words: list[str] = STOP_WORDS, number: str | None = None) -> DataFrame:
+def quality_rules(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
+                  rules: tuple[Rule, ...] = RULES, stop_words: dict[str, list[str]] = STOP_WORDS) -> DataFrame:
     """``docs`` plus the counts, ``ok_<rule>``, ``base_failed`` (fewer than 20
     words, or over 30 % of words in repeated windows) and ``kept``."""
-    counted = quality_counts(docs, text_col, stop_words, number)
+    counted = quality_counts(docs, text_col, lang_col, stop_words)
     flags, verdict = compile_rules(rules)
     base = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     names = {f"ok_{r.name}" for r in rules} | {"base_failed", "kept"}

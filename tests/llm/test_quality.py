@@ -53,6 +53,42 @@ def test_no_user_functions_and_no_shuffle(spark):
     assert "Python" not in plan and "Pandas" not in plan and plan.count("Exchange") == 1  # the fixture's own
 
 
+def good(n, k, lang="en"):
+    glue = {"en": ["the", "of", "and"], "pl": ["jest", "nie", "się"], None: ["xx", "yy", "zz"]}[lang]
+    return "\n".join(" ".join(f"{glue[(i + j) % 3]} word{k}x{i}y{j}" for j in range(4)) for i in range(n))
+
+
+def mixed(spark):
+    """Documents that are kept and that are not, many of them with repeated windows."""
+    out = [(i, good(6 + i, i), "en", "n") for i in range(8)]
+    out += [(100 + i, good(6 + i, i, "pl"), "pl", "n") for i in range(4)] + [(150, good(9, 1, None), None, "n"), (151, good(9, 1, None), "EN-gb", "n")]
+    out += [(200 + i, f"one two three four five six seven eight nine {i} " * n, "en", "n") for i, n in enumerate((2, 4, 40, 400))]
+    out += [(300, good(40, 9) + "\n" + good(40, 9)[:180] + "\n" + good(40, 10), "en", "n")]
+    return spark.createDataFrame(out, "doc_id long, text string, lang string, kept string").repartition(2)
+
+
+def test_result_can_be_filtered_counted_and_joined(spark):
+    docs = mixed(spark)
+    judged = quality_rules(docs)
+    want = {r["doc_id"]: r for r in judged.collect()}
+    kept = {i for i, r in want.items() if r["kept"]}
+    assert kept == {*range(8), *range(100, 104), 150, 300} and want[300]["n_repeat_words"] > 8
+    assert {r["doc_id"] for r in judged.filter("kept").collect()} == kept
+    assert judged.filter("kept").count() == len(kept) and judged.filter("not kept").count() == len(want) - len(kept)
+    assert judged.filter("n_repeat_words > 0").count() == sum(r["n_repeat_words"] > 0 for r in want.values())
+    assert judged.filter("ok_stop_word_share and not base_failed").count() == len(kept)
+    assert docs.join(judged.filter("kept").select("doc_id"), "doc_id", "left_semi").count() == len(kept)
+    assert judged.groupBy("kept").count().count() == 2
+    assert sorted(map(tuple, passing_documents(docs).collect())) == sorted(
+        (tuple(r) for r in docs.collect() if r["doc_id"] in kept))
+
+
+def test_stop_words_by_language(spark):
+    got = {r["doc_id"]: r["n_stop_words"] for r in quality_rules(mixed(spark)).collect()}
+    assert got[0] == 24 and got[100] is None and got[150] is None and got[151] == 0
+    assert all(r["n_stop_words"] is None for r in quality_rules(mixed(spark).drop("lang")).collect())
+
+
 @pytest.mark.parametrize("make", [documents, empty])
 def test_passing_documents(spark, make):
     docs = make(spark)
