@@ -6,14 +6,23 @@ from pyspark.sql import DataFrame
 
 from ..session import materialize
 
+#: Spark's own setting: shuffle files go when the execution that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again. The shuffle files of
-    the step are of no more use then; a collection in the driver's JVM lets
-    Spark's cleaner remove them before the next step adds its own."""
-    out = materialize(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
+    """``df`` written to the shared folder and read again. Later steps start at
+    the written files, so the step's shuffle files go as soon as it has ended."""
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
 
 
 def discard(table: DataFrame) -> None:

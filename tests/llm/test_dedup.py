@@ -2,12 +2,13 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from cases import documents, empty, rows, words
 
 from latebound.llm.phrase_dedup import repeated_phrases
 from latebound.llm.rolling import WordHasher, runs, sliding_min, windows
-from latebound.llm.suffix_dedup import kept_positions, repeated_passages
+from latebound.llm.suffix_dedup import SUFFIX, _neighbours, kept_positions, repeated_passages
 
 
 def plain_phrases(docs, window=13):
@@ -31,7 +32,7 @@ def plain_phrases(docs, window=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("options", [{}, {"shard_words": 60, "chunk_bytes": 2000}])
+@pytest.mark.parametrize("options", [{}, {"shard_values": 15, "chunk_bytes": 2000}])
 def test_phrases_equal_the_plain_ones(spark, options):
     out = repeated_phrases(documents(spark), **options).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted((tuple(r) for r in out.collect()), key=str) == plain_phrases([r[:2] for r in rows()])
@@ -49,7 +50,7 @@ def test_phrases_of_few_words(spark, seed):
         b = rnd.randint(a, 40)
         docs.append((i, " ".join([f"x{i}"] * rnd.randint(0, 3) + passage[a:b] + passage[:rnd.randint(0, 20)] + [f"y{i}"])))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    out = repeated_phrases(df, shard_words=100, chunk_bytes=500).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    out = repeated_phrases(df, shard_values=20, chunk_bytes=500).select("doc_id", "n_words", "n_removed", "kept_sha256")
     assert sorted((tuple(r) for r in out.collect()), key=str) == plain_phrases(docs)
 
 
@@ -106,6 +107,40 @@ def test_planted_passages(spark, seed):
     assert found_passages(df) == plain_passages(docs, 50)
 
 
+def versions(copies=40, seed=9):
+    """Versions of a notice round one key of 25 words: many share more to the left, others more to the right."""
+    rnd = random.Random(seed)
+    left, key, right = ([f"{c}{i}" for i in range(60)] for c in "lkr")
+    out = []
+    for i in range(copies):
+        a, b = rnd.randint(0, 40), rnd.randint(0, 40)
+        own = lambda n: [f"o{i}_{j}_{rnd.random()}" for j in range(n)]
+        out.append((i, " ".join(own(rnd.randint(0, 30)) + left[60 - a:] + key[:25] + right[:b] + own(rnd.randint(0, 30)))))
+    return out
+
+
+@pytest.mark.parametrize("seed", [9, 10, 11])
+def test_third_suffix_between_two_that_match(spark, seed):
+    docs = versions(seed=seed)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert found_passages(df) == plain_passages(docs, 50)
+
+
+def test_neighbours_extend_both_ways_by_words():
+    left, right = [b"l%d" % i for i in range(25)], [b"r%d" % i for i in range(50)]
+    row = lambda n, a, b, key=1: (key, True, n, 100, 0, 25, b" ".join(right[:b] + [b"x%d" % n] * (50 - b)),
+                                  b" ".join(left[:a] + [b"y%d" % n] * (25 - a)))
+    frame = pd.DataFrame([row(1, 12, 40), row(2, 20, 40), row(3, 5, 40), row(4, 20, 25), row(5, 25, 50, key=2)], columns=SUFFIX)
+    out = pd.concat(_neighbours(50, True)(iter([frame])))
+    spans = out[out["kind"] == 0][["row", "from", "to"]].values.tolist()
+    assert spans == [[1, 88, 140], [2, 88, 140]]               # 12 to the left, 40 to the right; 3 shares 45 words only
+    assert out[out["kind"] == 1]["row"].tolist() == [1, 5]
+    wins = out[out["kind"] == 2]
+    assert wins[wins["row"] == 1].query("many")["low"].tolist() == [10, 11, 12]
+    a, b = wins[(wins["row"] == 1) & wins["many"]], wins[(wins["row"] == 2) & wins["many"]]
+    assert a["hash"].tolist() == b["hash"].tolist() and wins["hash"].nunique() > 90
+
+
 def test_short_repeats_stay(spark):
     p = " ".join(f"p{i}" for i in range(49))
     df = spark.createDataFrame([(1, f"a {p} b"), (2, f"c {p} d")], "doc_id long, text string")
