@@ -255,12 +255,14 @@ def slots(packed: list[tuple[Filling, int]]) -> dict[int, tuple[np.ndarray, np.n
 
 
 def place_pieces(pieces: DataFrame, capacity: int, *, node_limit: int = 3000, salt_rows: int = 100_000) -> DataFrame:
-    """``pieces`` (written, with ``id, piece, length``) plus ``sequence_id`` and ``offset``."""
+    """``pieces`` (written, with ``id, piece, length, row``) plus ``sequence_id``, ``offset``, ``sequences`` (how many
+    there are), ``lower_bound`` (no packing has fewer than that) and ``proven`` (no packing has fewer than this one)."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
-    table = slots(pack_lengths(counts, capacity, node_limit=node_limit))
+    packed, proven = search(counts, capacity, node_limit)
+    table = slots(packed)
     # Ranks per length: a frequent length is dealt over salts, whose counts give each salt its first rank.
     salts = max(1, max(counts.values(), default=0) // salt_rows)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("row"), F.lit(salts)))
     sizes = salted.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
@@ -281,7 +283,10 @@ def place_pieces(pieces: DataFrame, capacity: int, *, node_limit: int = 3000, sa
         return pd.DataFrame({"sequence_id": seq, "offset": off})
 
     return (ranked.withColumn("_slot", slot("length", "_rank"))
-            .select(*pieces.columns, "_slot.sequence_id", "_slot.offset"))
+            .select(*[c for c in pieces.columns if c != "row"], "_slot.sequence_id", "_slot.offset",
+                    F.lit(sum(n for _, n in packed)).cast("long").alias("sequences"),
+                    F.lit(lower_bound(counts, capacity) if counts else 0).cast("long").alias("lower_bound"),
+                    F.lit(proven).alias("proven")))
 
 
 def _word_encoder(path: str) -> Encoder:
@@ -290,10 +295,11 @@ def _word_encoder(path: str) -> Encoder:
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text",
                    end_id: int = 0, capacity: int = 2048, node_limit: int = 3000) -> DataFrame:
-    """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``."""
+    """Per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset, sequences, lower_bound, proven``."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    cut = pieces_of(partial(_word_encoder, tokenizer_path), end_id, capacity, with_ids=False)
+    cut = pieces_of(partial(_word_encoder, tokenizer_path), end_id, capacity)
     pieces = materialize(
-        source.mapInPandas(cut, piece_schema(source.schema["id"].dataType.simpleString(), False)), "pieces")
+        source.mapInPandas(cut, piece_schema(source.schema["id"].dataType.simpleString()))
+        .withColumn("row", F.monotonically_increasing_id()), "pieces")
     return place_pieces(pieces, capacity, node_limit=node_limit).withColumnRenamed("id", "doc_id")
 

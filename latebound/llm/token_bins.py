@@ -2,7 +2,10 @@
 
 Texts become ids with an end id; documents longer than a row are cut into
 pieces, so that the pieces joined give the document's ids again. Pieces are
-dealt evenly into shards of about ``shard_tokens`` ids. Inside a shard they are
+dealt evenly into shards of about ``shard_tokens`` ids by a hash of document id, piece
+and checksum, so shards do not depend on how the input is split. Only rows that repeat
+id and text more than ``many`` times (and more than once in a million rows) are dealt by their row number, lest a group
+of copies meet in one shard. Ids travel as 2 bytes where the vocabulary allows. Inside a shard they are
 packed best-fit-decreasing: the longest piece first, into the fullest row that
 still has room. A segment tree over the free room of rows (one leaf per value
 up to ``capacity``) finds that row in log(capacity) steps.
@@ -14,7 +17,7 @@ at 0), and per segment ``doc_ids``, ``pieces`` and ``starts`` (place in the
 document). ``write_packed`` stores them; ``positions`` and ``unpack`` read them.
 
 Cases: a null or empty text is one piece of one id; equal ids and repeated rows
-are pieces of their own and spread over shards; very long texts are cut into
+are pieces of their own; very long texts are cut into
 many pieces, which may lie in different shards; an empty table gives an empty
 table; other columns are ignored.
 """
@@ -22,6 +25,8 @@ table; other columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
@@ -29,7 +34,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import Encoder, byte_bpe, piece_schema, pieces_of
+from .tokens import byte_ids, vocabulary_size
 
 #: How the byte-level vocabulary splits text into words (fixed value of that public tokenizer).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -82,37 +87,66 @@ def best_fit_rows(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return rows
 
 
-def _pack_shard(pdf: pd.DataFrame, capacity: int, pad_id: int) -> pd.DataFrame:
-    pdf = pdf.sort_values(["id", "piece", "ids_crc32"], kind="stable", ignore_index=True)
-    raw, out = pdf["ids"].tolist(), []
-    shard = int(pdf["shard"].iloc[0])
-    for k, row in enumerate(best_fit_rows(pdf["length"].to_numpy(), capacity)):
-        part = pdf.iloc[row]
-        ends = np.cumsum(part["length"].to_numpy())
-        pad = np.full(capacity - int(ends[-1]), pad_id, dtype="<u4").tobytes()
-        out.append((shard, k, int(ends[-1]), b"".join([raw[i] for i in row]) + pad, [0, *ends.tolist()],
-                    [0, *ends[:-1].tolist()], part["id"].tolist(), part["piece"].tolist(), part["start"].tolist()))
+def _pack_shard(pdf: pd.DataFrame, capacity: int, pad_id: int, dtype: str) -> pd.DataFrame:
+    order = pdf[["id", "piece", "ids_crc32"]].sort_values(["id", "piece", "ids_crc32"], kind="stable").index.to_numpy()
+    lengths, pieces, starts = (pdf[c].to_numpy()[order] for c in ("length", "piece", "start"))
+    raw, ids, shard = pdf["ids"].to_numpy()[order], pdf["id"].to_numpy()[order], int(pdf["shard"].iloc[0])
+    out = []
+    for k, row in enumerate(best_fit_rows(lengths, capacity)):
+        at = np.array(row)
+        ends = np.cumsum(lengths[at])
+        matrix = np.full(capacity, pad_id, dtype="<u4")
+        matrix[:ends[-1]] = np.frombuffer(b"".join([raw[i] for i in row]), dtype=dtype)
+        out.append((shard, k, int(ends[-1]), matrix.tobytes(), [0, *ends.tolist()], [0, *ends[:-1].tolist()],
+                    ids[at].tolist(), pieces[at].tolist(), starts[at].tolist()))
     return pd.DataFrame(out, columns=["shard", "row", "n_tokens", "ids", "cu_seqlens", "resets", "doc_ids", "pieces", "starts"])
 
 
-def _byte_encoder(path: str) -> Encoder:
-    return Encoder(*byte_bpe(path, PATTERN))
+def _pieces(make, end_id: int, capacity: int, dtype: str):
+    """Rows ``id, salt, piece, start, length, ids_crc32, ids`` of the documents ``id, text, salt``, in bounded frames."""
+    cols = ["id", "salt", "piece", "start", "length", "ids_crc32", "ids"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make()
+        for pdf in batches:
+            rows, held = [], 0
+            for ident, text, salt in zip(pdf["id"], pdf["text"], pdf["salt"]):
+                ids = np.append(encode(text), np.uint32(end_id)).astype(dtype)
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    raw = ids[at:at + capacity].tobytes()
+                    rows.append((ident, salt, k, at, len(raw) // ids.itemsize, zlib.crc32(raw), raw))
+                    held += len(raw) + 64
+                if held > 8_000_000:
+                    yield pd.DataFrame(rows, columns=cols)
+                    rows, held = [], 0
+            yield pd.DataFrame(rows, columns=cols)
+
+    return run
 
 
 def pack_token_rows(docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text",
                     end_id: int = 50256, pad_id: int = 50256, capacity: int = 2048,
-                    shard_tokens: int = 1_000_000) -> DataFrame:
+                    shard_tokens: int = 1_000_000, many: int = 100) -> DataFrame:
     """Rows of the packed matrices, see above."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = F.xxhash64("id", "text")
+    groups = source.groupBy(own.alias("own")).agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes"))
     # A token has a byte at least: counting bytes gives enough shards for any text, and needs no tokens.
-    n_bytes = source.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)).first()[0] or 1
-    shards = max(1, math.ceil(n_bytes / shard_tokens / 2))
+    total = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("bytes")).alias("bytes")).first()
+    shards = max(1, math.ceil((total["bytes"] or 1) / shard_tokens / 2))
+    # At most a million of them: each is more than a millionth of all rows.
+    hot = groups.filter(F.col("n") > max(many, (total["n"] or 0) // 1_000_000)).select("own", F.lit(True).alias("hot"))
+    salted = source.withColumn("own", own).join(F.broadcast(hot), "own", "left").select(
+        "id", "text", F.when(F.col("hot"), F.monotonically_increasing_id() + 1).otherwise(F.lit(0)).alias("salt"))
     kind = source.schema["id"].dataType.simpleString()
-    cut = pieces_of(partial(_byte_encoder, ranks_path), end_id, capacity, with_ids=True)
-    pieces = source.mapInPandas(cut, piece_schema(kind, True)).withColumn(
-        "shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    dtype = "<u2" if max(vocabulary_size(ranks_path), end_id + 1) <= 1 << 16 else "<u4"
+    pieces = salted.mapInPandas(
+        _pieces(partial(byte_ids, ranks_path, PATTERN), end_id, capacity, dtype),
+        f"id {kind}, salt long, piece int, start long, length long, ids_crc32 long, ids binary").withColumn(
+        "shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32", "salt"), F.lit(shards)))
     return pieces.groupBy("shard").applyInPandas(
-        lambda pdf: _pack_shard(pdf, capacity, pad_id),
+        lambda pdf: _pack_shard(pdf, capacity, pad_id, dtype),
         f"shard long, row int, n_tokens long, ids binary, cu_seqlens array<int>, resets array<int>, "
         f"doc_ids array<{kind}>, pieces array<int>, starts array<long>")
 

@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable, Iterator
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -44,8 +43,9 @@ def word_bpe(path: str) -> tuple[Callable[[str], list[str]], Callable[[list[str]
     t.no_padding()
     merge, cut, known = t.model.tokenize, re.compile(WORD_PATTERN).findall, {}
     symbols = dict(enumerate(byte_symbols()))
-    # Visible characters below U+0250 are composed already, and all but one become one letter in lower case.
-    latin = re.compile("[!-~\xa1-\xac\xae-\u012f\u0131-\u024f]*").fullmatch
+    # Visible characters below U+0250 are composed already; the pattern's classes hold for them. A capital may have
+    # its lower case beyond (as in Hausa and Ewe), so the lower-cased chunk is looked at too.
+    latin = re.compile("[!-~\xa1-\xac\xae-\u024f]*").fullmatch
 
     def as_bytes(ids: list[int]) -> bytes:
         raw = array("I", ids)
@@ -66,8 +66,9 @@ def word_bpe(path: str) -> tuple[Callable[[str], list[str]], Callable[[list[str]
         if len(known) > MEMORY:
             known.clear()
         out: list[bytes | None] = [
-            b"".join([word_ids(w) for w in cut(c.lower())])
-            if (c.isascii() and c.isprintable() or latin(c)) and "<|" not in c else None for c in chunks]
+            b"".join([word_ids(w) for w in cut(low)])
+            if (c.isascii() and c.isprintable() or latin(c) and latin(low)) and "<|" not in c else None
+            for c, low in zip(chunks, map(str.lower, chunks))]
         rest = [c for c, ids in zip(chunks, out) if ids is None]
         whole = iter(t.encode_batch_fast(rest, add_special_tokens=False) if rest else ())
         return [np.array(next(whole).ids, dtype="<u4").tobytes() if ids is None else ids for ids in out]
@@ -83,27 +84,26 @@ def _ascii_words(text: str) -> list[str]:
     return [w.decode("utf-8", "surrogatepass") for w in text.encode("utf-8", "surrogatepass").split()]
 
 
-def byte_bpe(path: str, pattern: str) -> tuple[Callable[[str], list[str]], Callable[[list[str]], list[bytes]]]:
-    """The same for a ``tiktoken`` rank file whose pattern puts a single space
-    before a word into the word's token: chunks start at such spaces."""
+def vocabulary_size(path: str) -> int:
+    """One more than the greatest id of a ``tiktoken`` rank file."""
+    with open(path, "rb") as f:
+        return 1 + max(int(line.split()[1]) for line in f)
+
+
+def byte_ids(path: str, pattern: str) -> Callable[[str | None], np.ndarray]:
+    """Whole texts to ids by a ``tiktoken`` rank file, as an array; no id for a null text."""
     import base64
-    import re
 
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    cut = re.compile(r"(?<=.)(?= \S)", re.S)
-
-    def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(enc.encode_ordinary(c), dtype="<u4").tobytes() for c in chunks]
-
-    return partial(_cut, cut), encode
 
+    def encode(text: str | None) -> np.ndarray:
+        return enc.encode_to_numpy(text, allowed_special=set(), disallowed_special=()) if text else np.empty(0, dtype=np.uint32)
 
-def _cut(cut, text: str) -> list[str]:
-    return cut.split(text) if text else []
+    return encode
 
 
 class Encoder:
@@ -129,32 +129,27 @@ class Encoder:
         return b"".join([seen[c] for c in chunks])
 
 
-def pieces_of(make: Callable[[], Encoder], end_id: int, capacity: int, with_ids: bool):
+def pieces_of(make: Callable[[], Encoder], end_id: int, capacity: int):
     """A ``mapInPandas`` function over ``id, text``: one row per piece of at
     most ``capacity`` ids, the document's ids followed by ``end_id``; only
-    longer documents are cut. Rows come in bounded frames, and ids are given
-    as little-endian unsigned 32-bit integers if asked for."""
+    longer documents are cut. The checksum is that of little-endian unsigned
+    32-bit integers."""
     import zlib
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, end = make(), end_id.to_bytes(4, "little")
-        cols = ["id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
+        cols = ["id", "piece", "start", "length", "ids_crc32"]
         for pdf in batches:
-            rows, held = [], 0
+            rows = []
             for ident, text in zip(pdf["id"], pdf["text"]):
                 ids = encoder(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     raw = ids[at:at + 4 * capacity]
-                    rows.append((ident, k, at // 4, len(raw) // 4, zlib.crc32(raw)) + ((raw,) if with_ids else ()))
-                    held += len(raw) * with_ids + 64
-                if held > 8_000_000:
-                    yield pd.DataFrame(rows, columns=cols)
-                    rows, held = [], 0
+                    rows.append((ident, k, at // 4, len(raw) // 4, zlib.crc32(raw)))
             yield pd.DataFrame(rows, columns=cols)
 
     return run
 
 
-def piece_schema(id_type: str, with_ids: bool) -> str:
-    return (f"id {id_type}, piece int, start long, length long, ids_crc32 long"
-            + ", ids binary" * with_ids)
+def piece_schema(id_type: str) -> str:
+    return f"id {id_type}, piece int, start long, length long, ids_crc32 long"

@@ -11,7 +11,7 @@ from latebound.llm.bin_completion import (best_fit_decreasing, completions, lowe
                                           search, slots)
 from latebound.llm.queries import tokenizer_path
 from latebound.llm.token_bins import RoomTree, best_fit_rows, pack_token_rows, positions, unpack, write_packed
-from latebound.llm.tokens import Encoder, byte_bpe, word_bpe
+from latebound.llm.tokens import Encoder, byte_ids, vocabulary_size, word_bpe
 
 
 def optimum(items, cap):
@@ -127,15 +127,33 @@ def test_chunked_ids_equal_whole_ids(tokenizer):
         assert np.frombuffer(encoder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text[:40]
 
 
+def test_ids_of_every_letter_below_u0250(tokenizer):
+    """Between letters, alone, and beside a capital: some capitals have their lower case beyond U+0250."""
+    encoder = Encoder(*word_bpe(tokenizer_path("word_bpe_49k.json")))
+    for c in map(chr, range(0x20, 0x250)):
+        for text in (f"ha{c}in", f"HA{c}IN", c, f"{c}A b{c}", f"x{c.lower()}{c}3"):
+            assert np.frombuffer(encoder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, (hex(ord(c)), text)
+
+
+def test_ids_of_random_strings(tokenizer):
+    rnd = random.Random(11)
+    encoder = Encoder(*word_bpe(tokenizer_path("word_bpe_49k.json")))
+    pools = ["abcdefgh THE ", "".join(map(chr, range(0x20, 0x250))), "ƁƆƉƊƏƐƓƔƖƗƜƝƟƦƩƮƱƲƷȺȾɄɅ abc ", "'s't've <|>.,;:!?0123 ab", "éèüßñŁđİıſÅK \n\t"]
+    for _ in range(5000):
+        text = "".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randint(1, 25)))
+        assert np.frombuffer(encoder(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
 def test_byte_ids_equal_whole_ids_and_decode():
     import public_tokenizers
 
     path = tokenizer_path("byte_bpe_50k.tiktoken")
-    encoder = Encoder(*byte_bpe(path, public_tokenizers.PATTERN))
+    encode = byte_ids(path, public_tokenizers.PATTERN)
+    assert vocabulary_size(path) == 50256 and len(encode(None)) == 0
     whole = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
     whole.encode_special_tokens = True
     for text in [*ODD, *[r[1] for r in rows() if r[1]]] * 2:
-        ids = np.frombuffer(encoder(text), "<u4").tolist()
+        ids = encode(text).tolist()
         assert ids == whole.encode(text, add_special_tokens=False).ids, text[:40]
         assert whole.decode(ids, skip_special_tokens=False) == text
 
@@ -191,6 +209,30 @@ def test_matrices_round_trip(spark, tmp_path):
     assert pack_token_rows(empty(spark), tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_shards_do_not_depend_on_the_split(spark):
+    docs = documents(spark).dropDuplicates(["doc_id", "text"])
+    got = []
+    for parts in (1, 7):
+        out = pack_token_rows(docs.repartition(parts, "n_chars"), tokenizer_path("byte_bpe_50k.tiktoken"), capacity=128, shard_tokens=3000)
+        got.append(sorted((tuple(map(str, r)) for r in out.collect())))
+    assert got[0] == got[1] and len({r[0] for r in got[0]}) > 1
+
+
+def test_many_copies_spread_over_shards(spark):
+    copies = spark.range(400).selectExpr("7L AS doc_id", "repeat('the same text ', 20) AS text")
+    rows = pack_token_rows(copies, tokenizer_path("byte_bpe_50k.tiktoken"), capacity=128, shard_tokens=3000).collect()
+    assert sum(len(r["doc_ids"]) for r in rows) == 400
+    per = Counter()
+    for r in rows:
+        per[r["shard"]] += len(r["doc_ids"])
+    assert len(per) > 8 and max(per.values()) < 80
+
+
+def test_packing_says_how_near_it_is_to_the_bound(spark):
+    out = pack_documents(documents(spark), tokenizer_path("word_bpe_49k.json"), capacity=256).collect()
+    assert {(r["sequences"], r["lower_bound"] <= r["sequences"], r["proven"]) for r in out} == {(len({r["sequence_id"] for r in out}), True, True)}
+
+
 def test_many_pieces_in_a_sequence():
     counts = {683: 50, 1: 5000}  # a filling of more pieces than Python has frames
     packed = pack_lengths(counts, 2048, node_limit=100)

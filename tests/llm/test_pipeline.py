@@ -75,5 +75,6 @@ def test_odd_and_empty_documents(spark):
     for docs in (documents(spark).select(*cols), empty(spark).select(*cols)):
         for _, stage in corpus_pipeline.STAGES:
             docs = corpus_pipeline.materialize(stage(spark, docs, SF001), "test_stage")
-        assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+        assert docs.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
+                                "sequences", "lower_bound", "proven"]
     assert docs.count() == 0
