@@ -22,7 +22,8 @@ through the automata to locate every occurrence:
    its shard's passages into an automaton. The patterns are the passages'
    blocks of ``block`` words, cut one after another; a window of at least
    2 * block - 1 words holds a whole block. A block found is extended word by
-   word in both directions; matches of ``window`` words or more are located.
+   word in both directions, by as many words as a window has besides it; matches of
+   ``window`` words or more are located.
 
 Matches compare words, not hashes; hashes only choose what to compare. Texts
 are equal if 96 bits of hashes are.
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from .rolling import WordHasher, runs, sliding_min, windows
 from .stages import discard, written
-from .words import byte_words
+from .words import byte_words, common
 
 
 def _values(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -117,39 +118,40 @@ def _locate(passages: list[tuple[object, bytes]], docs: pd.DataFrame, window: in
 
     if not passages:
         return pd.DataFrame(columns=["id", "own", "from", "to"])
-    automaton, places, texts = ahocorasick.Automaton(), [], []
-    for p, (_, raw) in enumerate(passages):
+    # A match of a window or more holds whole blocks, one after another, and goes on for less than a block before the
+    # first and behind the last. So the words of a match are found from its blocks and ``side`` words to either side of
+    # each, and passages that agree there are one place, of the smallest owner: many versions of a text cost no more than their differences.
+    side, around = window - block, {}
+    for owner, raw in passages:
         words = raw.split()
-        texts.append(words)
         for at in range(0, len(words) - block + 1, block):
-            key = " " + b" ".join(words[at:at + block]).decode("latin-1") + " "
-            slot = automaton.get(key, None)
-            if slot is None:
-                slot = len(places)
-                places.append([])
-                automaton.add_word(key, slot)
-            places[slot].append((p, at))
+            place = (b" ".join(words[max(0, at - side):at]), b" ".join(words[at + block:at + block + side]))
+            places = around.setdefault(b" ".join(words[at:at + block]), {})
+            if place not in places or owner < places[place]:
+                places[place] = owner
+    automaton = ahocorasick.Automaton()
+    for key, places in around.items():
+        known = sorted(((owner, left.split()[::-1], right.split()) for (left, right), owner in places.items()),
+                       key=lambda p: p[0])
+        automaton.add_word(" " + key.decode("latin-1") + " ", known)
     automaton.make_automaton()
     rows = []
     for ident, own_hash, first, raw in zip(docs["id"], docs["own"], docs["first"], docs["words"]):
         words = raw.split()
         line = " " + b" ".join(words).decode("latin-1") + " "
         stops = np.cumsum([len(w) + 1 for w in words])  # place of the space after each word
-        mask, reached = np.zeros(len(words), dtype=bool), {}
-        for stop, slot in automaton.iter(line):
+        mask = np.zeros(len(words), dtype=bool)
+        for stop, known in automaton.iter(line):
             start = int(np.searchsorted(stops, stop)) - block + 1
-            for p, at in places[slot]:
-                # Blocks of one match lie on one diagonal: what an earlier block reached is not compared again.
-                if not passages[p][0] < ident or reached.get((p, start - at), -1) >= start + block:
-                    continue
-                own, lo, hi = texts[p], 0, block
-                while lo < min(start, at) and words[start - lo - 1] == own[at - lo - 1]:
-                    lo += 1
-                while start + hi < len(words) and at + hi < len(own) and words[start + hi] == own[at + hi]:
-                    hi += 1
-                reached[p, start - at] = start + hi
+            before, behind = words[max(0, start - side):start][::-1], words[start + block:start + block + side]
+            for owner, left, right in known:
+                if not owner < ident:
+                    break
+                lo, hi = common(before, left), block + common(behind, right)
                 if lo + hi >= window:
                     mask[start - lo:start + hi] = True
+                    if lo == side and hi == window:
+                        break
         for a, b in runs(mask):
             rows.append((ident, own_hash, first + a, first + b))
     return pd.DataFrame(rows, columns=["id", "own", "from", "to"])

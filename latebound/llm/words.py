@@ -23,3 +23,13 @@ def word_count(text: Column) -> Column:
 def byte_words(text: str | None) -> list[bytes]:
     """The same words inside a Python task, as UTF-8 bytes (bytes.split() splits on ASCII white space)."""
     return [] if text is None else text.encode("utf-8", "surrogatepass").split()
+
+
+def common(a: list[bytes], b: list[bytes]) -> int:
+    """How many words two lists share from their start."""
+    n = 0
+    for x, y in zip(a, b):
+        if x != y:
+            break
+        n += 1
+    return n
