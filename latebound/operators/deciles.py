@@ -3,7 +3,7 @@ weight, volume and dispatch time; A6: the matching correlations."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rates import count_true, ratio
@@ -89,6 +89,49 @@ def seller_blame_deciles(attributed: DataFrame, products: DataFrame, n: int = 10
             .withColumn("pooled_share", ratio("seller_late_lines", "late_lines")))
 
 
+def shrunk_shares(shares: DataFrame) -> DataFrame:
+    """:func:`blame_by_grain` rows plus ``posterior``: the share that is likely
+    given few late lines, by empirical Bayes. A beta prior is fitted to all grains by
+    moments: its mean is the share of all late lines, and its strength ``prior_lines`` (late lines that the
+    prior is worth) follows from how much the shares, weighted by their lines, vary beyond what chance explains.
+    One aggregate; a share of 1 from one line no longer ties with a share of 1 from fifty."""
+    n, s = F.col("late"), F.col("seller_late")
+    sums = shares.agg(F.count(F.lit(1)).alias("g"), F.sum(n).alias("n"), F.sum(n * n).alias("nn"), F.sum(s).alias("s"),
+                      F.sum((s * s).cast("double") / n).alias("a"))
+    sums = sums.withColumn("prior_mean", F.round(ratio("s", "n"), ROUND))
+    p = F.col("prior_mean")
+    chance = p * (1 - p)
+    spread = F.col("a") - 2 * p * F.col("s") + p * p * F.col("n")  # sum over grains of lines * (share - mean)^2
+    alike = F.try_divide(spread - chance * (F.col("g") - 1), chance * (F.col("n") - ratio("nn", "n") - (F.col("g") - 1)))
+    # how alike two lines of a grain are: 0 none (the prior is all), 1 fully
+    rho = F.least(F.lit(0.999), F.greatest(F.lit(1e-4), F.coalesce(alike, F.lit(1e-4))))
+    prior = sums.select("prior_mean", F.round(1 / rho - 1, 4).alias("prior_lines"))
+    k = F.col("prior_lines")
+    return shares.crossJoin(prior).withColumn(  # one row
+        "posterior", F.round((F.col("seller_late") + k * p) / (F.col("late") + k), ROUND))
+
+
+def seller_blame_deciles_shrunk(attributed: DataFrame, products: DataFrame, n: int = 10, min_late: int = 1,
+                                grain: str = "seller_id", rows_per_range: int | None = None) -> DataFrame:
+    """:func:`seller_blame_deciles` by posterior shares (:func:`shrunk_shares`):
+    few grains share a value, so neighbouring deciles differ; ``tied_below`` tells whether the decile
+    begins with the value that the one before ends with."""
+    shares = materialize(shrunk_shares(materialize(blame_by_grain(attributed, products, grain, min_late), "blame_shares")),
+                         "blame_posteriors")
+    kw = {} if rows_per_range is None else {"rows_per_range": rows_per_range}
+    ranked = ntile(shares, n, [("posterior", True), (grain, True)], out="decile", **kw)
+    rows = (ranked.groupBy("decile")
+            .agg(F.count(F.lit(1)).alias("members"), F.min("posterior").alias("min_posterior"),
+                 F.max("posterior").alias("max_posterior"),
+                 F.sum("late").cast("long").alias("late_lines"), F.sum("seller_late").cast("long").alias("seller_late_lines"),
+                 F.round(F.avg("avg_weight"), ROUND).alias("avg_weight"), F.round(F.avg("avg_volume"), ROUND).alias("avg_volume"),
+                 F.round(F.avg("avg_ship_days"), ROUND).alias("avg_ship_days"),
+                 F.max("prior_mean").alias("prior_mean"), F.max("prior_lines").alias("prior_lines"))
+            .withColumn("pooled_share", ratio("seller_late_lines", "late_lines")))
+    before = F.lag("max_posterior").over(Window.orderBy("decile"))  # n rows
+    return rows.withColumn("tied_below", F.coalesce(before == F.col("min_posterior"), F.lit(False)).cast("int"))
+
+
 def spec_delay_correlation(attributed: DataFrame, products: DataFrame, min_late: int = 1,
                            grain: str = "seller_id") -> DataFrame:
     """Pearson coefficients over the grains that have a blame share:

@@ -262,6 +262,24 @@ def q_tenure_gap_interval(spark, sf_dir):
     return op.tenure_gap_interval(profile(spark, sf_dir))
 
 
+def q_late_revenue_trend(spark, sf_dir):
+    # a few hundred rows, read several times
+    return op.late_revenue_trend(materialize(op.late_revenue_monthly(attributed_lines(spark, sf_dir)), "monthly"))
+
+
+def q_seller_blame_deciles_shrunk(spark, sf_dir):
+    return op.seller_blame_deciles_shrunk(attributed_lines(spark, sf_dir), products(spark, sf_dir)).orderBy("decile")
+
+
+def q_orders_by_region(spark, sf_dir):
+    return op.orders_by_region(attributed_lines(spark, sf_dir), sellers(spark, sf_dir))
+
+
+def q_tenure_gap_matched(spark, sf_dir):
+    categories = op.main_category(attributed_lines(spark, sf_dir), products(spark, sf_dir))
+    return op.tenure_gap_matched(profile(spark, sf_dir), categories, sellers(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "delay_attribution": q_delay_attribution,
     "delay_attribution_lines": q_delay_attribution_lines,
@@ -304,4 +322,8 @@ QUERIES: dict[str, Query] = {
     "cohort_survival": q_cohort_survival,
     "cohort_logrank": q_cohort_logrank,
     "tenure_gap_interval": q_tenure_gap_interval,
+    "late_revenue_trend": q_late_revenue_trend,
+    "seller_blame_deciles_shrunk": q_seller_blame_deciles_shrunk,
+    "orders_by_region": q_orders_by_region,
+    "tenure_gap_matched": q_tenure_gap_matched,
 }

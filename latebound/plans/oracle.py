@@ -675,3 +675,94 @@ SELECT round(quantile_cont(a, 0.025), 9) AS gap_all_low, round(quantile_cont(a,
        round(quantile_cont(l, 0.025), 9) AS gap_late_low, round(quantile_cont(l, 0.975), 9) AS gap_late_high,
        round(stddev_samp(l), 9) AS gap_late_se, count(l) AS gap_late_replicates
 FROM reps""")
+
+_TREND = [
+    ("series", """
+  SELECT m.measure, m.month, m.y, CAST(substr(m.month, 1, 4) AS INTEGER) * 12 + CAST(substr(m.month, 6, 2) AS INTEGER) AS t
+  FROM (SELECT 'late_order_share' AS measure, month, late_order_share AS y FROM monthly_out
+        UNION ALL SELECT 'late_revenue_share', month, late_revenue_share FROM monthly_out) m WHERE y IS NOT NULL"""),
+    ("pairs", """
+  SELECT a.measure, sign(b.y - a.y) AS s, (b.y - a.y) / (b.t - a.t) AS slope
+  FROM series a JOIN series b ON a.measure = b.measure AND a.t < b.t"""),
+    ("kendall", "SELECT measure, CAST(sum(s) AS BIGINT) AS s, quantile_cont(slope, 0.5) AS slope FROM pairs GROUP BY measure"),
+    ("ties", """
+  SELECT measure, CAST(sum(c) AS BIGINT) AS n, sum(c * (c - 1) * (2 * c + 5)) AS tied
+  FROM (SELECT measure, y, count(*) AS c FROM series GROUP BY measure, y) GROUP BY measure"""),
+    ("cusums", """
+  SELECT a.measure, a.t, round(abs(sum(b.y - m.mean)), 9) AS c
+  FROM series a JOIN series b ON b.measure = a.measure AND b.t <= a.t
+  JOIN (SELECT measure, avg(y) AS mean FROM series GROUP BY measure) m ON m.measure = a.measure GROUP BY a.measure, a.t"""),
+    ("breaks", "SELECT DISTINCT measure, first_value(t) OVER (PARTITION BY measure ORDER BY c DESC, t) AS at FROM cusums"),
+    ("sides", """
+  SELECT s.measure, min(s.month) FILTER (WHERE s.t > b.at) AS change_month,
+         avg(s.y) FILTER (WHERE s.t > b.at) - avg(s.y) FILTER (WHERE s.t <= b.at) AS shift
+  FROM series s JOIN breaks b ON b.measure = s.measure GROUP BY s.measure"""),
+    ("scored", """
+  SELECT t.measure, t.n, k.s, k.slope, d.change_month, d.shift,
+         (k.s - sign(k.s)) / sqrt(CAST((t.n * (t.n - 1) * (2 * t.n + 5) - t.tied) AS DOUBLE) / 18) AS z
+  FROM ties t JOIN kendall k ON k.measure = t.measure JOIN sides d ON d.measure = t.measure"""),
+    ("tail", "SELECT *, abs(z) / sqrt(2.0::DOUBLE) AS x, 1 / (1 + 0.3275911::DOUBLE * abs(z) / sqrt(2.0::DOUBLE)) AS q FROM scored"),
+]
+
+ORACLE_SQL["late_revenue_trend"] = (
+    "WITH monthly_out AS (\n" + ORACLE_SQL["late_revenue_monthly"] + "\n),\n"
+    + ",\n".join(f"{name} AS ({sql}\n)" for name, sql in _TREND) + """
+SELECT measure, n AS months, s AS kendall_s, round(z, 9) AS z,
+       round((0.254829592::DOUBLE * q - 0.284496736::DOUBLE * q ** 2 + 1.421413741::DOUBLE * q ** 3
+              - 1.453152027::DOUBLE * q ** 4 + 1.061405429::DOUBLE * q ** 5) * exp(-x * x), 6) AS p_value,
+       round(slope, 9) AS slope, change_month, round(shift, 9) AS shift
+FROM tail""")
+
+ORACLE_SQL["seller_blame_deciles_shrunk"] = _with(BASE + DIMS + BLAME[:2] + [
+    ("moments", """
+  SELECT round(sum(seller_late) / CAST(sum(late) AS DOUBLE), 6) AS prior_mean, count(*) AS g, CAST(sum(late) AS DOUBLE) AS n,
+         CAST(sum(late * late) AS DOUBLE) AS nn FROM shares"""),
+    ("prior", """
+  SELECT m.prior_mean, round(1 / least(0.999::DOUBLE, greatest(1e-4::DOUBLE, coalesce(
+           (sum(s.late * (s.blame_share - m.prior_mean) ** 2) - m.prior_mean * (1 - m.prior_mean) * (m.g - 1))
+           / nullif(m.prior_mean * (1 - m.prior_mean) * (m.n - m.nn / m.n - (m.g - 1)), 0), 1e-4::DOUBLE))) - 1, 4) AS prior_lines
+  FROM shares s, moments m GROUP BY m.prior_mean, m.g, m.n, m.nn"""),
+    ("post", """
+  SELECT s.*, p.*, round((s.seller_late + p.prior_lines * p.prior_mean) / (s.late + p.prior_lines), 6) AS posterior
+  FROM shares s, prior p"""),
+    ("ranked", "SELECT *, CAST(ntile(10) OVER (ORDER BY posterior, seller_id) AS INTEGER) AS decile FROM post"),
+    ("rows", f"""
+  SELECT decile, count(*) AS members, min(posterior) AS min_posterior, max(posterior) AS max_posterior,
+         CAST(sum(late) AS BIGINT) AS late_lines, CAST(sum(seller_late) AS BIGINT) AS seller_late_lines,
+         round(avg(avg_weight), 6) AS avg_weight, round(avg(avg_volume), 6) AS avg_volume,
+         round(avg(avg_ship_days), 6) AS avg_ship_days, max(prior_mean) AS prior_mean, max(prior_lines) AS prior_lines,
+         {_div('sum(seller_late)', 'sum(late)')} AS pooled_share
+  FROM ranked GROUP BY decile""")], """
+SELECT *, CAST(coalesce(lag(max_posterior) OVER (ORDER BY decile) = min_posterior, FALSE) AS INTEGER) AS tied_below FROM rows""")
+
+ORACLE_SQL["orders_by_region"] = _with(BASE + DIMS, f"""
+SELECT s.state, CASE WHEN l.m_idx IS NOT NULL THEN {_month('l.m_idx')} END AS month,
+       CAST(grouping(s.state, l.m_idx) AS INTEGER) AS level_id, count(DISTINCT l.order_id) AS orders
+FROM lines l LEFT JOIN sellers s ON s.seller_id = l.seller_id GROUP BY ROLLUP (s.state, l.m_idx)""")
+
+ORACLE_SQL["tenure_gap_matched"] = _with(PROFILE + DIMS + [
+    ("percat", """
+  SELECT l.seller_id, p.category, count(*) AS n FROM lines l LEFT JOIN products p ON p.product_id = l.product_id
+  GROUP BY l.seller_id, p.category"""),
+    ("maincat", """
+  SELECT seller_id, category FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY n DESC, category) AS r FROM percat)
+  WHERE r = 1"""),
+    ("ends", """
+  SELECT p.*, c.category, s.state, length(CAST(CAST(floor(p.revenue / p.active_months) AS BIGINT) AS VARCHAR)) AS digits
+  FROM profile p JOIN maincat c ON c.seller_id = p.seller_id JOIN sellers s ON s.seller_id = p.seller_id
+  WHERE p.tenure <= 1 OR p.tenure >= 13"""),
+    ("strata", f"""
+  SELECT state, category, digits, count(*) FILTER (WHERE tenure <= 1) AS n1, count(*) FILTER (WHERE tenure >= 13) AS n2,
+         {_div('sum(delay_sum) FILTER (WHERE tenure <= 1)', 'sum(delivered) FILTER (WHERE tenure <= 1)')}
+         - {_div('sum(delay_sum) FILTER (WHERE tenure >= 13)', 'sum(delivered) FILTER (WHERE tenure >= 13)')} AS g,
+         {_div('sum(late_delay_sum) FILTER (WHERE tenure <= 1)', 'sum(late) FILTER (WHERE tenure <= 1)')}
+         - {_div('sum(late_delay_sum) FILTER (WHERE tenure >= 13)', 'sum(late) FILTER (WHERE tenure >= 13)')} AS gl
+  FROM ends GROUP BY state, category, digits""")], f"""
+SELECT count(*) FILTER (WHERE n1 > 0 AND n2 > 0) AS strata, count(*) FILTER (WHERE n1 = 0 OR n2 = 0) AS unmatched_strata,
+       CAST(coalesce(sum(n1) FILTER (WHERE n1 > 0 AND n2 > 0), 0) AS BIGINT) AS one_off,
+       CAST(coalesce(sum(n2) FILTER (WHERE n1 > 0 AND n2 > 0), 0) AS BIGINT) AS long,
+       round(sum(g * n2) / nullif(sum(n2) FILTER (WHERE g IS NOT NULL), 0), 9) AS gap_all,
+       round(sum(gl * n2) / nullif(sum(n2) FILTER (WHERE gl IS NOT NULL), 0), 9) AS gap_late,
+       {_div('coalesce(sum(n1) FILTER (WHERE n2 = 0), 0)', 'sum(n1)')} AS unmatched_one_off,
+       {_div('coalesce(sum(n2) FILTER (WHERE n1 = 0), 0)', 'sum(n2)')} AS unmatched_long
+FROM strata""")

@@ -3,10 +3,10 @@
 from .fixture import Canonical, canonical, cities, customers, fulfilment_lines, products, sellers
 from .mapping import map_lines, read_text_table
 from .raw import read_city_lookup, read_table, write_result
-from .store import read_canonical, write_canonical
+from .store import append_lines, read_canonical, write_canonical
 
 __all__ = [
-    "Canonical", "canonical", "cities", "customers", "fulfilment_lines", "map_lines", "products",
+    "Canonical", "append_lines", "canonical", "cities", "customers", "fulfilment_lines", "map_lines", "products",
     "read_canonical", "read_city_lookup", "read_table", "read_text_table", "sellers", "write_canonical",
     "write_result",
 ]

@@ -65,3 +65,36 @@ def test_prepared_fact_prunes_months(spark, tmp_path):
     months = {r[0] for r in picked.select(F.date_format("ordered_at", "yyyy-MM")).distinct().collect()}
     assert months and all("1996-01" <= m <= "1996-06" for m in months)
     assert c.lines.count() == fixture.fulfilment_lines(spark, SF001).count()
+
+
+def test_appended_month_leaves_other_files_alone(spark, tmp_path):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from latebound.sources import append_lines, fixture
+    from latebound.sources.fixture import Canonical
+    from latebound.sources.store import read_canonical, write_canonical
+
+    whole = fixture.canonical(spark, SF001)
+    last = F.col("ordered_at") >= F.lit("2001-06-20").cast("timestamp_ntz")
+    early, late = whole.lines.where(~last), whole.lines.where(last)
+    assert early.count() and late.count()
+    path = str(tmp_path / "store")
+    write_canonical(Canonical(early, whole.sellers, whole.customers, whole.products, whole.cities), path)
+
+    def files():
+        return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs
+                if f.endswith(".parquet")}
+
+    before = files()
+    months = append_lines(late, path)
+    after = files()
+    touched = {f for f in {*before, *after} if before.get(f) != after.get(f)}
+    assert months and touched and all(any(f"order_month={m}/" in f for m in months) for f in touched)
+    assert any("/seller_month/" in f for f in touched) and any("/lines/" in f for f in touched)
+    store = read_canonical(spark, path)
+    for n in ("delay_attribution", "seller_month", "black_sellers_rfm", "cohort_retention"):
+        assert sorted(map(tuple, QUERIES[n](spark, store).collect()), key=str) == sorted(
+            map(tuple, QUERIES[n](spark, SF001).collect()), key=str), n
+    assert append_lines(late.limit(0), path) == [] and files() == after
