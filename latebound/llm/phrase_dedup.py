@@ -21,9 +21,8 @@ through the automata to locate every occurrence:
    third of all documents share is located by many tasks. Each chunk compiles
    its shard's passages into an automaton. The patterns are the passages'
    blocks of ``block`` words, cut one after another; a window of at least
-   2 * block - 1 words holds a whole block. A block found is extended word by
-   word in both directions, by as many words as a window has besides it; matches of
-   ``window`` words or more are located.
+   2 * block - 1 words holds a whole block. The windows that hold a block found in a
+   document are looked up, by their words, among the passages' windows with that block.
 
 Matches compare words, not hashes; hashes only choose what to compare. Texts
 are equal if 96 bits of hashes are.
@@ -48,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .rolling import WordHasher, runs, sliding_min, windows
 from .stages import discard, written
-from .words import byte_words, common
+from .words import byte_words
 
 
 def _values(hashes: np.ndarray, window: int, gram: int) -> np.ndarray:
@@ -118,22 +117,23 @@ def _locate(passages: list[tuple[object, bytes]], docs: pd.DataFrame, window: in
 
     if not passages:
         return pd.DataFrame(columns=["id", "own", "from", "to"])
-    # A match of a window or more holds whole blocks, one after another, and goes on for less than a block before the
-    # first and behind the last. So the words of a match are found from its blocks and ``side`` words to either side of
-    # each, and passages that agree there are one place, of the smallest owner: many versions of a text cost no more than their differences.
-    side, around = window - block, {}
+    # A window holds a whole block of its passage, behind at most ``window - block`` of its words. Each block keeps, per
+    # number of words before it, the passages' windows that hold it there, by their words, and their smallest owner. So a
+    # block found costs as many lookups, however many versions of a text the passages have.
+    lead = range(window - block + 1)
+    around: dict[bytes, list[dict[bytes, object]]] = {}
     for owner, raw in passages:
         words = raw.split()
         for at in range(0, len(words) - block + 1, block):
-            place = (b" ".join(words[max(0, at - side):at]), b" ".join(words[at + block:at + block + side]))
-            places = around.setdefault(b" ".join(words[at:at + block]), {})
-            if place not in places or owner < places[place]:
-                places[place] = owner
+            places = around.setdefault(b" ".join(words[at:at + block]), [{} for _ in lead])
+            for o in lead:
+                if o <= at and at - o + window <= len(words):
+                    w = b" ".join(words[at - o:at - o + window])
+                    if w not in places[o] or owner < places[o][w]:
+                        places[o][w] = owner
     automaton = ahocorasick.Automaton()
     for key, places in around.items():
-        known = sorted(((owner, left.split()[::-1], right.split()) for (left, right), owner in places.items()),
-                       key=lambda p: p[0])
-        automaton.add_word(" " + key.decode("latin-1") + " ", known)
+        automaton.add_word(" " + key.decode("latin-1") + " ", places)
     automaton.make_automaton()
     rows = []
     for ident, own_hash, first, raw in zip(docs["id"], docs["own"], docs["first"], docs["words"]):
@@ -141,17 +141,13 @@ def _locate(passages: list[tuple[object, bytes]], docs: pd.DataFrame, window: in
         line = " " + b" ".join(words).decode("latin-1") + " "
         stops = np.cumsum([len(w) + 1 for w in words])  # place of the space after each word
         mask = np.zeros(len(words), dtype=bool)
-        for stop, known in automaton.iter(line):
+        for stop, places in automaton.iter(line):
             start = int(np.searchsorted(stops, stop)) - block + 1
-            before, behind = words[max(0, start - side):start][::-1], words[start + block:start + block + side]
-            for owner, left, right in known:
-                if not owner < ident:
-                    break
-                lo, hi = common(before, left), block + common(behind, right)
-                if lo + hi >= window:
-                    mask[start - lo:start + hi] = True
-                    if lo == side and hi == window:
-                        break
+            for o in lead:
+                if o <= start and start - o + window <= len(words):
+                    owner = places[o].get(b" ".join(words[start - o:start - o + window]))
+                    if owner is not None and owner < ident:
+                        mask[start - o:start - o + window] = True
         for a, b in runs(mask):
             rows.append((ident, own_hash, first + a, first + b))
     return pd.DataFrame(rows, columns=["id", "own", "from", "to"])
