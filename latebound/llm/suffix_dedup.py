@@ -44,9 +44,10 @@ from .stages import discard, written
 from .words import byte_words, common
 
 #: A kept suffix: its key, whether three or more have it, where it is, the windows it owns (numbers of words to the
-#: left of it, from ``low`` to ``high``), the words from it on, and the words before it, nearest first.
-SUFFIX = ["key", "many", "row", "place", "low", "high", "right", "left"]
-SUFFIX_SCHEMA = "key long, many boolean, row long, place long, low int, high int, right binary, left binary"
+#: left of it, from ``low`` to ``high``), the words from it on, the words before it, nearest first, and of frequent
+#: keys the hashes of its windows in the order of the text (8 bytes each).
+SUFFIX = ["key", "many", "row", "place", "low", "high", "right", "left", "wins"]
+SUFFIX_SCHEMA = "key long, many boolean, row long, place long, low int, high int, right binary, left binary, wins binary"
 
 def window_places(hashes: np.ndarray, min_words: int, key_words: int, gram: int) -> np.ndarray:
     """For each window of ``min_words`` words the position of its kept suffix (the first of equal least groups)."""
@@ -92,12 +93,14 @@ def _cut_out(min_words: int, key_words: int, gram: int):
             rows = []
             for row, text, found in zip(pdf["row"], pdf["text"], pdf["found"]):
                 words = byte_words(text)
-                owner = window_places(hasher(words), min_words, key_words, gram)  # rising, as windows go on
+                h = hasher(words)
+                owner = window_places(h, min_words, key_words, gram)  # rising, as windows go on
+                hashes = windows(h, min_words)
                 places = np.array([f["place"] for f in found], dtype=np.int64)
                 first, stop = np.searchsorted(owner, places), np.searchsorted(owner, places, side="right")
                 for f, p, a, b in zip(found, places.tolist(), first.tolist(), stop.tolist()):
                     rows.append((f["key"], f["many"], row, p, p - b + 1, p - a, b" ".join(words[p:p + min_words]),
-                                 b" ".join(words[max(0, p - before):p][::-1])))
+                                 b" ".join(words[max(0, p - before):p][::-1]), hashes[a:b].tobytes() if f["many"] else b""))
                     if len(rows) >= 5_000:
                         yield pd.DataFrame(rows, columns=SUFFIX)
                         rows = []
@@ -109,9 +112,9 @@ def _cut_out(min_words: int, key_words: int, gram: int):
 class Around:
     """A suffix among its sorted neighbours: the words it matches with them to its left and right."""
 
-    def __init__(self, key, many, row, place, low, high, right, left):
-        self.raw = (key, many, row, place, low, high, right, left)
-        self.key, self.many, self.row, self.place, self.low, self.high = key, many, row, place, low, high
+    def __init__(self, key, many, row, place, low, high, right, left, wins):
+        self.raw = (key, many, row, place, low, high, right, left, wins)
+        self.key, self.row, self.place, self.low, self.high, self.wins = key, row, place, low, high, wins
         self.right, self.left, self.reach = right.split(), left.split(), []
 
     def compare(self, other: Around, min_words: int) -> None:
@@ -127,14 +130,13 @@ class Around:
             return (self.row, self.place - max(r[0] for r in self.reach), self.place + max(r[1] for r in self.reach))
         return None
 
-    def windows(self, hasher: WordHasher, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words to the left of the suffix in each window it owns, whether a neighbour matched it, and its hash."""
-        offs = np.arange(self.low, self.high + 1)
+        offs = np.arange(self.high, self.low - 1, -1)
         known = np.zeros(len(offs), dtype=bool)
         for left, right in self.reach:
-            known |= (offs <= left) & (min_words - offs <= right)
-        hashes = windows(hasher([*self.left[:self.high][::-1], *self.right[:min_words - self.low]]), min_words)
-        return offs, known, hashes[::-1].view(np.int64)
+            known |= (offs <= left) & (offs >= min_words - right)
+        return offs, known, np.frombuffer(self.wins, dtype="<i8")
 
 
 #: Spans (``kind`` 0), first and last suffixes of ranges (1), and windows of frequent keys (2; ``low`` is the number
@@ -145,7 +147,7 @@ FOUND_SCHEMA = f"kind int, from long, to long, hash long, {SUFFIX_SCHEMA}"
 
 def _frame(kind: int, n: int, **columns) -> pd.DataFrame:
     empty = {c: np.zeros(n, dtype=np.int64) for c in FOUND} | {
-        "kind": np.full(n, kind), "many": np.zeros(n, dtype=bool), "right": [b""] * n, "left": [b""] * n}
+        "kind": np.full(n, kind), "many": np.zeros(n, dtype=bool), "right": [b""] * n, "left": [b""] * n, "wins": [b""] * n}
     return pd.DataFrame({**empty, **columns}, columns=FOUND)
 
 
@@ -153,7 +155,7 @@ def _neighbours(min_words: int, inside: bool):
     """Compares the suffixes of a sorted range with their neighbours. Gives spans, and if ``inside`` a range also its
     first and last suffix and the windows of frequent keys."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, last, first = WordHasher(), None, None
+        last, first = None, None
         spans: list[tuple] = []
         wins: list[tuple] = []
 
@@ -161,8 +163,8 @@ def _neighbours(min_words: int, inside: bool):
             span = s.span()
             if span:
                 spans.append(span)
-            if inside and s.many and s.high >= s.low:
-                wins.append((s, *s.windows(hasher, min_words)))
+            if inside and s.wins:
+                wins.append((s, *s.windows(min_words)))
 
         def flush() -> Iterator[pd.DataFrame]:
             if spans:
