@@ -35,3 +35,12 @@ def count_true(cond: Column) -> Column:
 def int_sum(col: Column | str) -> Column:
     """Sum of an integer column as bigint (0 rows -> NULL, like SQL)."""
     return F.sum(_c(col)).cast("long")
+
+
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's coefficient of the rows that have both; NULL where one of them does not vary
+    (``F.corr`` divides by zero there)."""
+    x, y = _c(x), _c(y)
+    both = x.isNotNull() & y.isNotNull()
+    spread = F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y))
+    return F.try_divide(F.covar_pop(x, y), spread)

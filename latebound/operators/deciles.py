@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rates import count_true, ratio
+from ..functions.rates import correlation, count_true, ratio
 from ..session import materialize
 from ..schema import PRODUCTS, validate
 from .facts import SELLER
@@ -139,8 +139,8 @@ def spec_delay_correlation(attributed: DataFrame, products: DataFrame, min_late:
     Descriptive only: tenure, category and size are confounded."""
     g = blame_by_grain(attributed, products, grain, min_late)
     return g.agg(
-        F.round(F.corr("blame_share", "avg_weight"), ROUND).alias("share_weight"),
-        F.round(F.corr("blame_share", "avg_volume"), ROUND).alias("share_volume"),
-        F.round(F.corr("avg_weight", "avg_ship_days"), ROUND).alias("weight_dispatch"),
-        F.round(F.corr("blame_share", "avg_ship_days"), ROUND).alias("share_dispatch"),
+        F.round(correlation("blame_share", "avg_weight"), ROUND).alias("share_weight"),
+        F.round(correlation("blame_share", "avg_volume"), ROUND).alias("share_volume"),
+        F.round(correlation("avg_weight", "avg_ship_days"), ROUND).alias("weight_dispatch"),
+        F.round(correlation("blame_share", "avg_ship_days"), ROUND).alias("share_dispatch"),
         F.count(F.lit(1)).alias("grains"))

@@ -280,6 +280,22 @@ def q_tenure_gap_matched(spark, sf_dir):
     return op.tenure_gap_matched(profile(spark, sf_dir), categories, sellers(spark, sf_dir))
 
 
+def q_spec_delay_rank_correlation(spark, sf_dir):
+    return op.spec_delay_rank_correlation(attributed_lines(spark, sf_dir), products(spark, sf_dir))
+
+
+def _lanes(spark, sf_dir):
+    return op.lane_table(attributed_lines(spark, sf_dir), sellers(spark, sf_dir), customers(spark, sf_dir))
+
+
+def q_lane_effects(spark, sf_dir):
+    return op.lane_effects(_lanes(spark, sf_dir))
+
+
+def q_lane_excess(spark, sf_dir):
+    return op.lane_excess(_lanes(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     "delay_attribution": q_delay_attribution,
     "delay_attribution_lines": q_delay_attribution_lines,
@@ -326,4 +342,7 @@ QUERIES: dict[str, Query] = {
     "seller_blame_deciles_shrunk": q_seller_blame_deciles_shrunk,
     "orders_by_region": q_orders_by_region,
     "tenure_gap_matched": q_tenure_gap_matched,
+    "spec_delay_rank_correlation": q_spec_delay_rank_correlation,
+    "lane_effects": q_lane_effects,
+    "lane_excess": q_lane_excess,
 }

@@ -766,3 +766,66 @@ SELECT count(*) FILTER (WHERE n1 > 0 AND n2 > 0) AS strata, count(*) FILTER (WHE
        {_div('coalesce(sum(n1) FILTER (WHERE n2 = 0), 0)', 'sum(n1)')} AS unmatched_one_off,
        {_div('coalesce(sum(n2) FILTER (WHERE n1 = 0), 0)', 'sum(n2)')} AS unmatched_long
 FROM strata""")
+
+# every pair of grains is compared; middle ranks from rank() and the size of the tie
+ORACLE_SQL["spec_delay_rank_correlation"] = _with(BASE + DIMS + BLAME + [
+    ("xy", """
+  SELECT seller_id, pair, round(x, 6) AS x, round(y, 6) AS y FROM (
+    SELECT seller_id, 'share_weight' AS pair, blame_share AS x, avg_weight AS y FROM shares
+    UNION ALL SELECT seller_id, 'share_volume', blame_share, avg_volume FROM shares
+    UNION ALL SELECT seller_id, 'weight_dispatch', avg_weight, avg_ship_days FROM shares
+    UNION ALL SELECT seller_id, 'share_dispatch', blame_share, avg_ship_days FROM shares)
+  WHERE x IS NOT NULL AND y IS NOT NULL"""),
+    ("mid", """
+  SELECT *, rank() OVER (PARTITION BY pair ORDER BY x) + (count(*) OVER (PARTITION BY pair, x) - 1) / 2.0 AS rx,
+         rank() OVER (PARTITION BY pair ORDER BY y) + (count(*) OVER (PARTITION BY pair, y) - 1) / 2.0 AS ry
+  FROM xy"""),
+    ("rho", "SELECT pair, count(*) AS n, corr(rx, ry) AS rho, min(x) < max(x) AND min(y) < max(y) AS varied FROM mid GROUP BY pair"),
+    ("tau", """
+  SELECT a.pair, count(*) FILTER (WHERE (a.x - b.x) * (a.y - b.y) < 0) AS less,
+         count(*) FILTER (WHERE (a.x - b.x) * (a.y - b.y) > 0) AS more,
+         count(*) FILTER (WHERE a.x <> b.x) AS nx, count(*) FILTER (WHERE a.y <> b.y) AS ny
+  FROM xy a JOIN xy b ON a.pair = b.pair AND a.seller_id < b.seller_id GROUP BY a.pair""")], """
+SELECT rho.pair, rho.n AS rows, coalesce(tau.less, 0) AS discordant, CASE WHEN rho.varied THEN round(rho.rho, 6) END AS spearman,
+       round((tau.more - tau.less) / nullif(sqrt(CAST(tau.nx AS DOUBLE)) * sqrt(CAST(tau.ny AS DOUBLE)), 0), 6) AS kendall
+FROM rho LEFT JOIN tau ON tau.pair = rho.pair""")
+
+_LANE_ROUNDS = 40
+
+
+def _fit() -> list[tuple[str, str]]:
+    """Lanes and a fixed number of rounds written out: more than the fit needs to settle."""
+    ctes = [
+        ("lanes0", """
+  SELECT s.state AS origin, c.state AS destination, count(*) AS lines, CAST(sum(l.delivery_delay) AS BIGINT) AS delay_sum
+  FROM lines l JOIN sellers s ON s.seller_id = l.seller_id JOIN customers c ON c.customer_id = l.customer_id
+  WHERE l.delivery_delay IS NOT NULL AND s.state IS NOT NULL AND c.state IS NOT NULL GROUP BY s.state, c.state"""),
+        ("lanes", f"SELECT *, {_div('sum(delay_sum) OVER ()', 'sum(lines) OVER ()')} AS mean FROM lanes0"),
+        ("d0", "SELECT DISTINCT destination, CAST(0 AS DOUBLE) AS d FROM lanes"),
+    ]
+    for i in range(1, _LANE_ROUNDS + 1):
+        ctes += [
+            (f"o{i}", f"""
+  SELECT a.origin, sum(delay_sum - lines * (mean + d)) / sum(lines) AS o
+  FROM lanes a JOIN d{i - 1} b ON b.destination = a.destination GROUP BY a.origin"""),
+            (f"d{i}", f"""
+  SELECT a.destination, sum(delay_sum - lines * (mean + o)) / sum(lines) AS d
+  FROM lanes a JOIN o{i} b ON b.origin = a.origin GROUP BY a.destination""")]
+    return ctes
+
+
+def _side(name: str, value: str) -> str:
+    return f"""
+SELECT '{name}' AS side, a.{name} AS region, CAST(sum(lines) AS BIGINT) AS lines,
+       round({_div('sum(delay_sum)', 'sum(lines)')}, 4) AS mean_delay,
+       round(any_value(b.{value}) - (SELECT sum(y.{value} * x.lines) / sum(x.lines) FROM lanes x
+                                     JOIN {value}{_LANE_ROUNDS} y ON y.{name} = x.{name}), 4) AS effect
+FROM lanes a JOIN {value}{_LANE_ROUNDS} b ON b.{name} = a.{name} GROUP BY a.{name}"""
+
+
+ORACLE_SQL["lane_effects"] = _with(BASE + DIMS + _fit(), _side("origin", "o") + "\nUNION ALL" + _side("destination", "d"))
+
+ORACLE_SQL["lane_excess"] = _with(BASE + DIMS + _fit(), f"""
+SELECT a.origin, a.destination, a.lines, round(CAST(delay_sum AS DOUBLE) / lines, 4) AS mean_delay,
+       round(mean + o + d, 4) AS expected, round(CAST(delay_sum AS DOUBLE) / lines - (mean + o + d), 4) AS excess
+FROM lanes a JOIN o{_LANE_ROUNDS} p ON p.origin = a.origin JOIN d{_LANE_ROUNDS} q ON q.destination = a.destination""")
