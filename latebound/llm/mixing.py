@@ -8,14 +8,15 @@ closed form over the sorted cap/weight ratios).
 
 The targets are dealt in equal blocks of ``block_tokens`` words. Seats go to
 the highest quotients ``target / (2 k - 1)``: first to the sources, then, inside
-each source, to its shards of about ``shard_tokens`` words, so that each shard
-has an integer quota. A shard lays its documents end to end in an order given
+each source, to groups of ``shard_group`` shards, then, inside each group, to its
+shards of about ``shard_tokens`` words, so that each shard has an integer quota. A shard lays its documents end to end in an order given
 by the seed; a quota of ``c`` rounds and ``r`` blocks takes every word ``c``
 times and a run of ``r`` blocks once more, from a start given by the seed.
 
 Only DataFrame operations run here. Document text never moves unless a caller
 asks for it with ``keep``; a hot source is split into shards, so no window
-sees more than about ``shard_tokens`` words of documents.
+sees more than about ``shard_tokens`` words of documents, or more than ``shard_group`` shards at once
+(a source of 10**13 words has 10**8 shards in 10**5 groups).
 
 Cases: a null text has size 0 and is taken 0 times; a null source is a source
 of its own, ordered last; an empty table gives an empty table; repeated rows
@@ -91,14 +92,15 @@ def sainte_lague(parties: DataFrame, within: list[str], party: list[str], target
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 keep: tuple[str, ...] = (), weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
-                cap: float = 2.0, block_tokens: int = 16, shard_tokens: int = 100_000, seed: int = 42) -> DataFrame:
+                cap: float = 2.0, block_tokens: int = 16, shard_tokens: int = 100_000, shard_group: int = 1000,
+                seed: int = 42) -> DataFrame:
     """One row per document: ``doc_id, size, source_size, target, taken``, the
     number of whole ``rounds`` and the word ``ranges`` [from, to) taken once
     more. ``keep`` names further input columns to carry along as ``keep_*``."""
     base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"),
                        word_count(F.col(text_col)).alias("_size"),
                        *[F.col(c).alias(f"keep_{c}") for c in keep])
-    # The two small tables are written, so that Spark knows their sizes when it plans the joins with the documents.
+    # The small tables are written, so that Spark knows their sizes when it plans the joins with the documents.
     sources = base.groupBy("_src").agg(F.sum("_size").alias("_size"))
     sources = source_targets(sources, weights, share, cap)
     sources = materialize(sainte_lague(
@@ -109,11 +111,22 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     n_shards = F.greatest(F.ceil(F.col("_source_size") / shard_tokens), F.lit(1))
     placed = (base.join(sources, base["_src"].eqNullSafe(sources["_src"])).drop(sources["_src"])
               .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), n_shards)))
-    shards = (placed.groupBy("_at", "_shard").agg(
-        F.sum("_size").alias("_words"), F.first("_seats").alias("_quota"),
-        (F.first("_target") * F.sum("_size") / F.greatest(F.first("_source_size"), F.lit(1))).alias("_part")))
-    shards = materialize(sainte_lague(
-        shards, ["_at"], ["_shard"], "_part", F.col("_quota"), cap * F.ceil(F.col("_words") / block_tokens))
+    # Seats go to groups of shards first, so no window holds all shards of a source. Shares are whole numbers of
+    # words, whose sums do not depend on the order of rows.
+    shards = materialize(
+        placed.groupBy("_at", "_shard").agg(F.sum("_size").alias("_words"), F.first("_seats").alias("_quota"))
+        .withColumn("_group", F.floor(F.col("_shard") / shard_group))
+        .withColumn("_most", cap * F.ceil(F.col("_words") / block_tokens))
+        .withColumn("_part", F.col("_words").cast("double")), "mix_parts")
+    groups = shards.groupBy("_at", "_group").agg(F.sum("_part").alias("_part"), F.sum("_most").alias("_most"),
+                                                 F.first("_quota").alias("_quota"))
+    groups = materialize(
+        sainte_lague(groups, ["_at"], ["_group"], "_part", F.col("_quota"), F.col("_most"))
+        .select("_at", "_group", F.col("_seats").alias("_group_quota")), "mix_groups")
+    shards = materialize(
+        sainte_lague(shards.select("_at", "_group", "_shard", "_words", "_part", F.col("_most").alias("_limit"))
+                     .join(groups, ["_at", "_group"]),
+                     ["_at", "_group"], ["_shard"], "_part", F.col("_group_quota"), F.col("_limit"))
         .select("_at", "_shard", "_words", F.col("_seats").alias("_blocks")), "mix_shards")
 
     blocks = F.greatest(F.ceil(F.col("_words") / block_tokens), F.lit(1))
