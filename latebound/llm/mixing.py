@@ -100,8 +100,10 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     base = docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("_src"),
                        word_count(F.col(text_col)).alias("_size"),
                        *[F.col(c).alias(f"keep_{c}") for c in keep])
+    # Words are counted once, in one pass over the texts; with ``keep`` the last step makes another.
+    sizes = materialize(base.select("_id", "_src", "_size"), "mix_sizes")
     # The small tables are written, so that Spark knows their sizes when it plans the joins with the documents.
-    sources = base.groupBy("_src").agg(F.sum("_size").alias("_size"))
+    sources = sizes.groupBy("_src").agg(F.sum("_size").alias("_size"))
     sources = source_targets(sources, weights, share, cap)
     sources = materialize(sainte_lague(
         sources, [], ["_at"], "_target",
@@ -109,12 +111,15 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         cap * F.ceil(F.col("_size") / block_tokens)), "mix_sources").withColumnRenamed("_size", "_source_size")
 
     n_shards = F.greatest(F.ceil(F.col("_source_size") / shard_tokens), F.lit(1))
-    placed = (base.join(sources, base["_src"].eqNullSafe(sources["_src"])).drop(sources["_src"])
-              .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), n_shards)))
+
+    def place(rows: DataFrame) -> DataFrame:
+        return (rows.join(sources, rows["_src"].eqNullSafe(sources["_src"])).drop(sources["_src"])
+                .withColumn("_shard", F.pmod(F.xxhash64(F.lit(seed), F.col("_id")), n_shards)))
+
     # Seats go to groups of shards first, so no window holds all shards of a source. Shares are whole numbers of
     # words, whose sums do not depend on the order of rows.
     shards = materialize(
-        placed.groupBy("_at", "_shard").agg(F.sum("_size").alias("_words"), F.first("_seats").alias("_quota"))
+        place(sizes).groupBy("_at", "_shard").agg(F.sum("_size").alias("_words"), F.first("_seats").alias("_quota"))
         .withColumn("_group", F.floor(F.col("_shard") / shard_group))
         .withColumn("_most", cap * F.ceil(F.col("_words") / block_tokens))
         .withColumn("_part", F.col("_words").cast("double")), "mix_parts")
@@ -138,7 +143,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         F.least((first + more) * block_tokens, F.col("_words")).alias("_to"),
         (F.greatest(first + more - blocks, F.lit(0)) * block_tokens).alias("_wrap"))
     laid = Window.partitionBy("_at", "_shard").orderBy(F.xxhash64(F.lit(seed + 2), F.col("_id")), "_id", "_size")
-    laid_docs = (placed.withColumn("_end", F.sum("_size").over(laid.rowsBetween(Window.unboundedPreceding, 0)))
+    laid_docs = (place(base if keep else sizes).withColumn("_end", F.sum("_size").over(laid.rowsBetween(Window.unboundedPreceding, 0)))
                  .withColumn("_start", F.col("_end") - F.col("_size")))
 
     def clip(lo: Column, hi: Column) -> Column:
