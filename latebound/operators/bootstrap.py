@@ -39,19 +39,27 @@ def id_word(ident: Column) -> Column:
     return F.conv(F.substring(F.md5(ident.cast("string").cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def mixed(word: Column) -> Column:
-    """32 bits to 32 bits, well mixed."""
-    x = word
-    for _ in range(2):
-        x = ((F.shiftright(x, 16).bitwiseXOR(x)) * F.lit(MIX)) % F.lit(WORD)
+def turned(x: Column) -> Column:
+    """A round of the hash. It names ``x`` twice, so rounds put into each other double: large tables take a column a round."""
+    return (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX)).bitwiseAND(F.lit(WORD - 1))
+
+
+def started(word: Column, replicate: Column) -> Column:
+    return (word + replicate.cast("long") * F.lit(STEP)).bitwiseAND(F.lit(WORD - 1))
+
+
+def folded(x: Column) -> Column:
     return F.shiftright(x, 16).bitwiseXOR(x)
 
 
+def weight_of(drawn: Column) -> Column:
+    """The weight of a drawn word. Plain comparisons are compiled; a fold over an array of limits is interpreted."""
+    return sum(((drawn >= F.lit(v).cast("long")).cast("int") for v in poisson_limits()), F.lit(0)).cast("long")
+
+
 def poisson_weight(word: Column, replicate: Column) -> Column:
     """The weight of an id (:func:`id_word`) in a repetition."""
-    drawn = mixed((word + replicate.cast("long") * F.lit(STEP)) % F.lit(WORD))
-    return F.aggregate(F.array(*[F.lit(v).cast("long") for v in poisson_limits()]), F.lit(0).cast("long"),
-                       lambda n, v: n + (drawn >= v).cast("long"))
+    return weight_of(folded(turned(turned(started(word, replicate)))))
 
 
 def gap_replicates(profile: DataFrame, replicates: int = 200, long_months: int = 13, basis: str = "span") -> DataFrame:
@@ -62,7 +70,12 @@ def gap_replicates(profile: DataFrame, replicates: int = 200, long_months: int =
         id_word(F.col("seller_id")).alias("word"), (t <= 1).alias("one"),
         *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in sums])
     rows = ends.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    rows = rows.withColumn("w", poisson_weight(F.col("word"), F.col("replicate"))).where("w > 0")
+    # poisson_weight, a column a round. Weights of 0 stay: a filter on them would be computed a second time, below.
+    rows = rows.withColumn("x", started(F.col("word"), F.col("replicate")))
+    for _ in range(2):
+        rows = rows.withColumn("x", turned(F.col("x")))
+    rows = rows.withColumn("x", folded(F.col("x")))
+    rows = rows.withColumn("w", weight_of(F.col("x")))
     totals = rows.groupBy("replicate").agg(*[
         F.sum(F.when(F.col("one") if side == "one" else ~F.col("one"), F.col(c) * F.col("w"))).alias(f"{side}_{c}")
         for side in ("one", "long") for c in sums])

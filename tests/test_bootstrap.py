@@ -75,3 +75,10 @@ def test_repetitions_share_one_aggregate(spark):
     _, df = made(spark)
     plan = op.gap_replicates(df, 50)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange") <= 2 and plan.count("Generate") <= 2
+
+
+def test_weights_are_computed_once_a_row(spark):
+    """The hash's rounds are not put into each other (the plan would hold hundreds of copies), nothing is interpreted."""
+    _, df = made(spark, n=20)
+    plan = op.gap_replicates(df, 50)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "lambda" not in plan and plan.count(str(MIX)) <= 4
