@@ -36,6 +36,10 @@ NO_DEADLINE = 7                              # h2 of lines without a shipping de
 ESTIMATE_MARGIN_DAYS = 9
 
 
+#: Lines that a task of the line fact joins and reduces, about.
+LINES_PER_TASK = 250_000
+
+
 @dataclass(frozen=True)
 class Canonical:
     lines: DataFrame
@@ -74,9 +78,18 @@ def lane_starts() -> list[list[int]]:
     return [[sum(LENGTHS[(r + i) % n] for i in range(j)) for j in range(n)] for r in range(n)]
 
 
+def spread(lines: DataFrame, key: str, n_rows: int, rows_per_task: int = LINES_PER_TASK) -> DataFrame:
+    """``lines`` dealt by ``key`` to as many tasks as their number asks for; few stay as they are. What joins them by
+    ``key`` follows, so a task sorts and groups about ``rows_per_task`` of them however large the table."""
+    tasks = -(-n_rows // rows_per_task)
+    return lines.repartition(tasks, key) if tasks > lines.sparkSession.sparkContext.defaultParallelism else lines
+
+
 def fulfilment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey",
                     "l_linenumber", "l_extendedprice", "l_linestatus")
+    # the count reads the files' footers only
+    li = spread(li, "l_orderkey", li.count())
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus",
                         "o_orderdate", "o_orderpriority")
     part = read_table(spark, sf_dir, "part", "p_partkey", "p_size")
