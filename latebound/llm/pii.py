@@ -20,9 +20,12 @@ these without being equal, and numbers that are clearly not personal
 numbers, undivided digits), of the corpus or put in the places of base spans
 (``decoys``). Other proposals of the corpus have no label and are not trained on.
 Phones written as undivided digits without "+" are therefore not found.
-Only documents drawn by a hash of id and text are searched for them, as many as
-hold about ``train_rows`` labelled proposals, and about ``train_rows`` of what
-they yield is used. All else covers all documents. Base spans always stay.
+All documents are searched for them and all that they yield is used: a quarter, by hash,
+sets the thresholds, the rest fits the trees. Equal rows (features and label) are one row with
+their number as its weight. Base spans always stay.
+
+Texts without "@", a bracketed "at" or seven characters of a number hold neither base spans
+nor proposals and are not sent to Python. Tasks hand on what they found every ``PIECE`` spans.
 
 Cases: a null text is an empty one; offsets are code points, end exclusive;
 every search is linear in the text; repeated rows and ids are documents of
@@ -61,6 +64,12 @@ _LOOSE_AT = re.compile(r"@[A-Za-z0-9-]+|[ ]?[(\[{][ ]?(?:at|AT)[ ]?[)\]}][ ]?[A-
 _ZONE = re.compile(r"[0-9]+(?:[ ().-]{1,3}[0-9]+)*")
 _GROUP = re.compile(r"[0-9]+")
 
+#: What a text with a base span or a proposal holds: each number among them is seven characters of these or more.
+_MAY = r"@|[0-9][ ().0-9-]{6}|[(\[{][ ]?(?:at|AT)[ ]?[)\]}]"
+
+#: Spans that a task holds before it hands them on.
+PIECE = 2_000
+
 Span = tuple[int, int, int]
 SPANS = ArrayType(StructType([StructField(n, IntegerType()) for n in ("kind", "start", "end")]))
 
@@ -252,8 +261,8 @@ def sweep(spans: list[tuple[int, int]]):
 def _scan(batches: Iterator[pd.DataFrame], keep: list[str]) -> Iterator[pd.DataFrame]:
     """Base spans, proposals and the number of proposals whose label is known."""
     for pdf in batches:
-        base_out, cand_out, known_out = [], [], []
-        for text in pdf["_text"]:
+        base_out, cand_out, known_out, done, held = [], [], [], 0, 0
+        for at, text in enumerate(pdf["_text"], 1):
             text = "" if text is None else text
             base = base_spans(text)
             known = set(base)
@@ -267,9 +276,12 @@ def _scan(batches: Iterator[pd.DataFrame], keep: list[str]) -> Iterator[pd.DataF
             base_out.append([{"kind": k, "start": a, "end": b} for k, a, b in base])
             cand_out.append(cands)
             known_out.append(n)
-        out = pdf[keep].copy()
-        out["base"], out["cands"], out["known"] = base_out, cand_out, known_out
-        yield out
+            held += len(base) + len(cands)
+            if held >= PIECE or at == len(pdf):
+                out = pdf[keep].iloc[done:at].copy()
+                out["base"], out["cands"], out["known"] = base_out, cand_out, known_out
+                yield out
+                base_out, cand_out, known_out, done, held = [], [], [], at, 0
 
 
 def training_rows(text: str) -> list[dict]:
@@ -304,14 +316,24 @@ def training_rows(text: str) -> list[dict]:
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = pdf[["doc"]].copy()
-        out["train"] = [training_rows("" if t is None else t) for t in pdf["_text"]]
-        yield out
+        docs, found, held = [], [], 0
+        for doc, text in zip(pdf["doc"], pdf["_text"]):
+            rows = training_rows("" if text is None else text)
+            if rows:
+                docs.append(doc)
+                found.append(rows)
+                held += len(rows)
+            if held >= PIECE:
+                yield pd.DataFrame({"doc": docs, "train": found})
+                docs, found, held = [], [], 0
+        if docs:
+            yield pd.DataFrame({"doc": docs, "train": found})
 
 
 def scan_documents(docs: DataFrame, keep: dict[str, str], text_col: str) -> DataFrame:
     """Written rows: the columns of ``keep`` (new name to old), a row number, base spans, proposals, ``known``."""
-    source = docs.select(*[F.col(c).alias(n) for n, c in keep.items()], F.col(text_col).alias("_text"))
+    source = docs.select(*[F.col(c).alias(n) for n, c in keep.items()],
+                         F.when(F.col(text_col).rlike(_MAY), F.col(text_col)).alias("_text"))
     names = list(keep)
     schema = ", ".join(f"{n} {source.schema[n].dataType.simpleString()}" for n in names)
     found = source.mapInPandas(
@@ -321,39 +343,36 @@ def scan_documents(docs: DataFrame, keep: dict[str, str], text_col: str) -> Data
     return materialize(found.withColumn("row", F.monotonically_increasing_id()), "pii_scan")
 
 
-def draw_training(docs: DataFrame, scan: DataFrame, id_col: str, text_col: str, train_rows: int) -> DataFrame:
-    """Written ``right, f, h`` of documents drawn by a hash of id and text: as many as hold about ``train_rows`` proposals
-    of known label, and all that is made from these documents. Only they are searched again."""
-    known = scan.agg(F.sum("known")).first()[0] or 0
-    part = int(min(1.0, train_rows / max(known, 1)) * (1 << 20))
+def draw_training(docs: DataFrame, scan: DataFrame, id_col: str, text_col: str, train_rows: int | None = None) -> DataFrame:
+    """Written ``right, f, h``: all that is made from all documents. ``train_rows``, for trials only, draws documents by a
+    hash of id and text, as many as hold about so many proposals of known label."""
     doc = F.xxhash64(F.col(id_col), F.col(text_col))
-    drawn = docs.select(doc.alias("doc"), F.col(text_col).alias("_text")).filter(
-        F.pmod(F.shiftright("doc", 22), F.lit(1 << 20)) < part)
-    rows = drawn.mapInPandas(_train, "doc long, train array<struct<right: double, f: array<double>>>")
+    texts = docs.select(doc.alias("doc"), F.col(text_col).alias("_text")).filter(F.col("_text").rlike(_MAY))
+    if train_rows is not None:
+        known = scan.agg(F.sum("known")).first()[0] or 0
+        part = int(min(1.0, train_rows / max(known, 1)) * (1 << 20))
+        texts = texts.filter(F.pmod(F.shiftright("doc", 22), F.lit(1 << 20)) < part)
+    rows = texts.mapInPandas(_train, "doc long, train array<struct<right: double, f: array<double>>>")
     rows = rows.select("doc", F.posexplode("train").alias("at", "t")).select(
         "t.right", "t.f", F.xxhash64("doc", "at").alias("h"))
     return materialize(rows, "pii_drawn")
 
 
-def train_model(rows: DataFrame, train_rows: int, trees: int, depth: int, precision: float):
-    """The model and the threshold per kind, from about ``train_rows`` of ``rows``; None where labels are missing."""
-    totals = rows.agg(F.count(F.lit(1)), F.sum("right")).first()
-    if not totals[0] or totals[1] in (0, totals[0]):
-        return None, {}
-    part = int(min(1.0, train_rows / totals[0]) * (1 << 20))
-    sample = materialize(rows.filter(F.pmod("h", F.lit(1 << 20)) < part)
-                         .select(array_to_vector("f").alias("features"), "right",
-                                 F.col("f")[0].cast("int").alias("kind"),
-                                 (F.pmod(F.shiftright("h", 20), F.lit(4)) == 0).alias("held"), "h")
-                         .coalesce(4).sortWithinPartitions("h"), "pii_train")
-    fit = sample.filter("not held").coalesce(2)
+def train_model(rows: DataFrame, trees: int, depth: int, precision: float):
+    """The model and the threshold per kind, from all ``rows``; None where labels are missing."""
+    held = F.pmod(F.shiftright("h", 20), F.lit(4)) == 0
+    table = materialize(rows.groupBy("right", "f", held.alias("held")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+                        .sortWithinPartitions("right", "f", "held")
+                        .select(array_to_vector("f").alias("features"), "right",
+                                F.col("f")[0].cast("int").alias("kind"), "held", "n"), "pii_train")
+    fit = table.filter("not held")
     if fit.select("right").distinct().count() < 2:
         return None, {}
-    model = GBTClassifier(featuresCol="features", labelCol="right", maxIter=trees, maxDepth=depth, stepSize=0.3,
-                          seed=42).fit(fit)
-    bins = (model.transform(sample.filter("held"))
+    model = GBTClassifier(featuresCol="features", labelCol="right", weightCol="n", maxIter=trees, maxDepth=depth,
+                          stepSize=0.3, seed=42).fit(fit)
+    bins = (model.transform(table.filter("held"))
             .groupBy("kind", F.floor(vector_to_array("probability")[1] * 100).alias("bin"))
-            .agg(F.sum("right").alias("right"), F.count(F.lit(1)).alias("n")).collect())  # 404 rows at most
+            .agg(F.sum(F.col("right") * F.col("n")).alias("right"), F.sum("n").alias("n")).collect())  # 404 rows at most
     limits = {}
     for kind in range(len(KINDS)):
         right = n = 0
@@ -365,12 +384,12 @@ def train_model(rows: DataFrame, train_rows: int, trees: int, depth: int, precis
 
 
 def find_personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                       keep: tuple[str, ...] = (), train_rows: int = 20_000, trees: int = 12, depth: int = 4,
-                       precision: float = 0.99) -> DataFrame:
+                       keep: tuple[str, ...] = (), train_rows: int | None = None, trees: int = 12,
+                       depth: int = 4, precision: float = 0.99) -> DataFrame:
     """``doc_id``, ``base`` and ``spans`` (arrays of kind, start, end ordered by
     kind and start; spans holds base and added ones), and ``keep`` as ``keep_*``."""
     scan = scan_documents(docs, {"id": id_col, **{f"keep_{c}": c for c in keep}}, text_col)
-    model, limits = train_model(draw_training(docs, scan, id_col, text_col, train_rows), train_rows, trees, depth, precision)
+    model, limits = train_model(draw_training(docs, scan, id_col, text_col, train_rows), trees, depth, precision)
     if limits:
         cands = scan.select("row", F.explode("cands").alias("c")).select("row", "c.*", array_to_vector("c.f").alias("features"))
         low = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in limits.items()], F.lit(2.0))

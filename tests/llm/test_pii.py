@@ -171,3 +171,39 @@ def test_training_documents_are_drawn(spark):
     assert len(every) == sum(len(training_rows(t)) for t in texts)
     assert len(every) / 16 < len(few) < len(every) / 4 and set(few) <= set(every)
     assert few == draw(docs.repartition(7), known // 8)
+
+
+def test_all_labelled_rows_train(spark, monkeypatch):
+    """Whatever their number, all rows with a label reach the trees or the thresholds; equal rows are one with a weight."""
+    from latebound.llm import pii
+
+    seen = []
+    plain = pii.materialize
+    monkeypatch.setattr(pii, "materialize", lambda df, name: seen.append((name, plain(df, name))) or seen[-1][1])
+    texts = [f"write to u{i}@mail.example.org or call +1 555 {i % 50:03d} {i % 70:04d} x" for i in range(6000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pii.find_personal_data(docs, trees=1)
+    table = next(t for n, t in seen if n == "pii_train")
+    want = sum(len(pii.training_rows(t)) for t in texts)
+    assert want > 20_000 and table.agg({"n": "sum"}).first()[0] == want and table.count() < want / 10
+
+
+def test_texts_left_out_hold_nothing():
+    from latebound.llm.pii import _MAY, candidate_spans
+
+    rnd, parts = random.Random(5), ["@", "a.b", "1", "23", "4567", "+", " ", "-", ".", "(", ")", "[at]", "{ AT }", "x", "é"]
+    out = 0
+    for _ in range(20_000):
+        text = "".join(rnd.choice(parts) for _ in range(rnd.randint(1, 12)))
+        if not re.search(_MAY, text):
+            out += 1
+            assert not base_spans(text) and not candidate_spans(text), text
+    assert out > 1000
+
+
+def test_pieces_are_the_whole():
+    texts = [" ".join(f"+49 30 {i:07d}" for i in range(n)) for n in (0, 900, 2500, 3, 1)] + [None]
+    frame = pd.DataFrame({"_text": texts, "id": range(6)})
+    pieces = list(_scan(iter([frame]), ["id"]))
+    assert len(pieces) > 1 and [i for p in pieces for i in p["id"]] == list(range(6))
+    assert [len(b) for p in pieces for b in p["base"]] == [len(base_spans(t or "")) for t in texts]
